@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from polyweave.llm import substring_dedup
+from polyweave.llm import ngram_jaccard, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op7_ngram_jaccard_join": ngram_jaccard.query,
 }
 
 ORACLES: dict[str, str] = {}
