@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from polyweave.llm import ngram_jaccard, substring_dedup
+from polyweave.llm import line_dedup, ngram_jaccard, packing, source_mixing, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_line_dedup": line_dedup.query,
+    "op5_packing": packing.query,
     "op7_ngram_jaccard_join": ngram_jaccard.query,
+    "op8_source_mixing": source_mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_source_mixing": source_mixing.ORACLE,
+}

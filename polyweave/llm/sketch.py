@@ -25,8 +25,8 @@ from polyweave.llm.textkit import mix64
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
 
-PARTIAL = "block int, cells binary, counts binary"
-_PARTIAL = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+PARTIAL = "block int, cells binary, counts binary, tags binary"
+_PARTIAL = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("tags", pa.binary())])
 _MERGED = pa.schema([("block", pa.int32()), ("many", pa.binary()), ("heavy", pa.binary())])
 
 #: Keys that a task gathers before it writes them out as partition sketch rows.
@@ -69,9 +69,41 @@ class Counter:
             yield A.batch(
                 _PARTIAL, blocks[at].astype(np.int32) + shift,
                 A.ragged((cells & np.uint32(BLOCK - 1)).astype(np.uint16), offsets, pa.binary()), A.ragged(counts, offsets, pa.binary()),
+                [None] * len(at),
             )
 
 
+class TagCounter:
+    """Partition sketch, of one row, that counts the distinct tags of every cell up to two."""
+
+    def __init__(self, bits: int):
+        self.bits, self.held = bits, []
+
+    def add(self, keys: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((cells_of(keys, 0, self.bits), tags))
+        if sum(len(c) for c, _ in self.held) >= _GATHER:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        cells, tags = (np.concatenate(x) for x in zip(*self.held))
+        self.held = []
+        order = np.lexsort((tags, cells))
+        cells, tags = cells[order], tags[order]
+        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        last = np.append(first[1:], len(cells)) - 1
+        counts = np.where(tags[first] != tags[last], 2, 1).astype(np.uint8)
+        cells, tags = cells[first], tags[first]
+        blocks = cells >> BLOCK_BITS
+        at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+        offsets = np.append(at, len(cells))
+        yield A.batch(
+            _PARTIAL, blocks[at].astype(np.int32), A.ragged((cells & (BLOCK - 1)).astype(np.uint16), offsets, pa.binary()),
+            A.ragged(counts, offsets, pa.binary()), A.ragged(tags, offsets, pa.binary()),
+        )
+
+
 class Planes:
     """The merged sketch as later passes see it."""
 
@@ -101,7 +133,7 @@ def merge(partial: DataFrame, bits: int, depth: int, heavy: int = 255) -> Planes
     """Add up the partition sketches; every reducer holds the counters of one block at a time."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, np.zeros(BLOCK, np.uint16)
+        now, counts, seen = None, np.zeros(BLOCK, np.uint16), np.zeros(BLOCK, np.uint64)
 
         def ended() -> pa.RecordBatch:
             many = np.packbits(counts >= 2, bitorder="little")
@@ -109,14 +141,19 @@ def merge(partial: DataFrame, bits: int, depth: int, heavy: int = 255) -> Planes
             return A.batch(_MERGED, [now], [zlib.compress(many.tobytes(), 1)], [most.tobytes()])
 
         for b in batches:
-            for block, cells, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for block, cells, n, tags in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
                 if block != now:
                     if now is not None:
                         yield ended()
                     now = block
                     counts[:] = 0
-                cells = np.frombuffer(cells.as_buffer(), np.uint16)
-                counts[cells] = np.minimum(counts[cells] + np.frombuffer(n.as_buffer(), np.uint8), 255)
+                    seen[:] = 0
+                cells, n = np.frombuffer(cells.as_buffer(), np.uint16), np.frombuffer(n.as_buffer(), np.uint8)
+                if tags.is_valid:  # a cell with this tag only gains nothing
+                    tags = np.frombuffer(tags.as_buffer(), np.uint64)
+                    n = np.where((counts[cells] == 1) & (seen[cells] == tags) & (n == 1), 0, n)
+                    seen[cells] = tags
+                counts[cells] = np.minimum(counts[cells] + n, 255)
         if now is not None:
             yield ended()
 
