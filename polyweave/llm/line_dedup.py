@@ -15,12 +15,13 @@ Method: deletion-neighbourhood join.
    Each line enters its halves (in the lengths that an equally long, shorter
    or longer partner would use) into a sketch that counts distinct lines per
    cell, so that exact copies do not count. This loses no pair.
-2. Lines with a half that another line may share emit the hashed keys of their
-   variants: the line itself and the line less one word, for the words of the
-   half opposite the shared one. Lines less the word at the same place that
-   have equal keys differ in that word only; a line whose own key equals
-   another's variant is that one less a word. Within a batch only the earliest
-   line of equal keys goes on.
+2. Lines with a half that another line may share are written out as candidates.
+   Their variants are the line itself and the line less one word, for the words
+   of the half opposite the shared one; a second sketch counts the variants'
+   keys, and keys that are certainly unique are not emitted. Lines less the
+   word at the same place that have equal keys differ in that word only; a line
+   whose own key equals another's variant is that one less a word. Within a
+   batch only the earliest line of equal keys goes on.
 3. Equal keys meet in one shuffle; every later line gets the earliest as its
    witness. The pair is then verified on the words themselves.
 4. The marks of a document meet its text in one join.
@@ -48,10 +49,14 @@ _MASK = (1 << 64) - 1
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in T.BASES)
 
 _LINES = pa.schema([
-    ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("repeat", pa.bool_()), ("words", pa.binary()),
-    ("cut", pa.list_(pa.int32())), ("v1", pa.list_(pa.int64())), ("v2", pa.list_(pa.int64())), ("wdoc", pa.int64()), ("wline", pa.int32()),
+    ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("repeat", pa.bool_()),
+    ("words", pa.string()), ("low", pa.bool_()), ("high", pa.bool_()), *S.PARTIAL_FIELDS,
 ])
-_LINES_SQL = "k1 long, k2 long, doc long, line int, repeat boolean, words binary, cut array<int>, v1 array<long>, v2 array<long>, wdoc long, wline int"
+_LINES_SQL = f"k1 long, k2 long, doc long, line int, repeat boolean, words string, low boolean, high boolean, {S.PARTIAL}"
+_KEYS = pa.schema([
+    ("v1", pa.int64()), ("v2", pa.int64()), ("cut", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("wdoc", pa.int64()), ("wline", pa.int32()),
+])
+_KEYS_SQL = "v1 long, v2 long, cut int, doc long, line int, wdoc long, wline int"
 _OUT = pa.schema([("doc", pa.int64()), ("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
 
@@ -65,8 +70,8 @@ class _Lines:
     """The lines of some rows with prefix sums of their word hashes."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        low = T.LOWER[raw]
-        self.raw, self.starts, self.ends, _ = low, *T.word_spans(low, offsets)
+        self.low = low = T.LOWER[raw]
+        self.starts, self.ends, _ = T.word_spans(low, offsets)
         breaks = np.flatnonzero(raw == 0x0A)
         per_row = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
         self.row = np.repeat(np.arange(len(per_row)), per_row)
@@ -102,7 +107,7 @@ class _Lines:
         return T.mix64(rest + (z - f - 1).astype(np.uint64) * np.uint64(T.BASES[1 - h]))
 
     def words(self, line: int) -> bytes:
-        return b" ".join(self.raw[self.starts[self.first[line]] : self.ends[self.last[line] - 1]].tobytes().split())
+        return self.low[self.starts[self.first[line]] : self.ends[self.last[line] - 1]].tobytes()
 
 
 def _within_one(x: list[bytes], y: list[bytes]) -> bool:
@@ -117,7 +122,7 @@ def _within_one(x: list[bytes], y: list[bytes]) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [_within_one(x.split(b" "), y.split(b" ")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        ok = [_within_one(x.encode().split(), y.encode().split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -138,7 +143,7 @@ def _spread(lines: _Lines, chosen: np.ndarray, low: np.ndarray, high: np.ndarray
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 26) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 28) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_removed) for each row of ``documents(doc_id, text)``."""
     return _dedup(documents.select(row_id().alias("doc"), "text"), min_words, near_words, bits).select(
         given_id("doc").alias("doc_id"), "kept_text", "n_lines", "n_removed"
@@ -165,31 +170,39 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, carry: s
 
     planes = spark.sparkContext.broadcast(S.merge(texts.mapInArrow(count, S.PARTIAL), bits, 1))
 
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = S.Counter(bits - 1, 1)
         for b in batches:
             for ids, lines in _slices(b):
-                yield from _profile(planes.value, ids, lines, min_words, near_words)
-
-    table = land(texts.mapInArrow(variants, _LINES_SQL), "lines")
+                found, keys = _profile(planes.value, ids, lines, min_words, near_words)
+                yield from found
+                yield from map(_sketch_rows, counter.add(keys))
+        yield from map(_sketch_rows, counter.rows())
+
+    table = land(texts.mapInArrow(candidates, _LINES_SQL), "lines")
+    partial = table.select("block", "cells", "counts", "tags")
+    shared = spark.sparkContext.broadcast(S.merge(partial, bits - 1, 1))
+    table = table.where("block is null")
     place = F.struct("doc", "line")
 
     # equal lines: a row per line and slice at most
     first = F.min(place).over(Window.partitionBy("k1", "k2"))
-    exact = table.where("not repeat and wdoc is null").select("doc", "line", "k1", "k2").withColumn("first", first)
+    exact = table.where("not repeat").select("doc", "line", first.alias("first"))
     gone = exact.where(place > F.col("first")).select("doc", "line").union(table.where("repeat").select("doc", "line"))
 
-    # lines within an edit: a row per variant, line and slice at most
-    near = table.where("words is not null")
-    cuts = near.select("doc", "line", F.explode(F.arrays_zip("cut", "v1", "v2")).alias("v")).select("v.v1", "v.v2", "v.cut", place.alias("at"))
-    keys = cuts.union(near.select("k1", "k2", F.lit(-1), place))
+    # lines within an edit: a row per variant, line and batch at most
+    near = table.where("words is not null").select("doc", "line", "words", "k1", "k2", "low", "high")
+    keys = near.mapInArrow(lambda it: _variants(it, shared.value), _KEYS_SQL)
+    at = F.struct("doc", "line")
     of = Window.partitionBy("v1", "v2")
-    whole, less = F.when(F.col("cut") < 0, F.col("at")), F.when(F.col("cut") >= 0, F.col("at"))
-    met = keys.select("v1", "v2", "cut", "at", F.count("*").over(of).alias("m"), F.min(whole).over(of).alias("whole"), F.min(less).over(of).alias("less")).where("m > 1")
-    same = F.min("at").over(Window.partitionBy("v1", "v2", "cut"))
-    met = met.select("at", F.when(F.col("cut") < 0, F.col("less")).otherwise(F.least(F.col("whole"), same)).alias("by")).where("by < at")
-    known = table.where("wdoc is not null").select(place.alias("at"), F.struct(F.col("wdoc").alias("doc"), F.col("wline").alias("line")).alias("by"))
-    pairs = met.union(known).groupBy("at").agg(F.min("by").alias("by")).select("at.*", F.col("by.doc").alias("wdoc"), F.col("by.line").alias("wline"))
-    words = near.select("doc", "line", "words").dropDuplicates(["doc", "line"])
+    whole, less = F.when(F.col("cut") == -1, at), F.when(F.col("cut") >= 0, at)
+    same = F.min(at).over(Window.partitionBy("v1", "v2", "cut"))
+    met = keys.select("doc", "line", "cut", "wdoc", "wline", F.min(whole).over(of).alias("whole"), F.min(less).over(of).alias("less"), same.alias("same"))
+    known = F.when(F.col("wdoc").isNotNull(), F.struct(F.col("wdoc").alias("doc"), F.col("wline").alias("line")))
+    by = F.coalesce(known, F.when(F.col("cut") == -1, F.col("less")).otherwise(F.least(F.col("whole"), F.col("same"))))
+    met = met.select("doc", "line", by.alias("by")).where(F.col("by") < at)
+    pairs = met.groupBy("doc", "line").agg(F.min("by").alias("by")).select("doc", "line", F.col("by.doc").alias("wdoc"), F.col("by.line").alias("wline"))
+    words = near.select("doc", "line", "words")
     other = words.select(F.col("doc").alias("wdoc"), F.col("line").alias("wline"), F.col("words").alias("earlier"))
     pairs = pairs.join(words, ["doc", "line"]).join(other, ["wdoc", "wline"]).select("doc", "line", "words", "earlier")
     gone = gone.union(pairs.mapInArrow(_verify, "doc long, line int"))
@@ -220,11 +233,16 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, carry: s
     return out.mapInArrow(keep, f"doc long, kept_text string, n_lines long, n_removed long{carry}")
 
 
-def _profile(planes: S.Planes, ids: np.ndarray, lines: _Lines, min_words: int, near_words: int) -> Iterator[pa.RecordBatch]:
-    """The lines of a slice: earliest of equal ones, repeats, and the variants of those that may have a near line."""
+def _sketch_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
+    none = [None] * rows.num_rows
+    return A.batch(_LINES, *[none] * 8, *rows.columns)
+
+
+def _profile(planes: S.Planes, ids: np.ndarray, lines: _Lines, min_words: int, near_words: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
+    """The lines of a slice, with their words where a near line may exist, and the keys of the latter's variants."""
     own = np.flatnonzero(lines.n >= min_words)
     if not len(own):
-        return
+        return [], np.zeros(0, np.uint64)
     zero = np.zeros(len(own), np.int64)
     k1, k2 = (lines.part(own, zero, lines.n[own], h).view(np.int64) for h in (0, 1))
     doc, number = ids[lines.row[own]], lines.number[own]
@@ -234,37 +252,49 @@ def _profile(planes: S.Planes, ids: np.ndarray, lines: _Lines, min_words: int, n
     new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     repeat = (doc != doc[head]) | (number != number[head])
-    words, cut, v1, v2 = ([None] * len(own) for _ in range(4))
-    known: list[tuple[int, int, int, int]] = []
 
     near = np.flatnonzero(new & (lines.n[own] >= near_words))
     heads, tails = lines.halves(own[near])
     heads, tails = (np.stack([planes.repeated(k) for k in keys]) for keys in (heads, tails))
     may = heads.any(axis=0) | tails.any(axis=0)
-    near, low, high = near[may], tails[1][may], heads[1][may]
-    if len(near):
-        owner, place = _spread(lines, own[near], low, high)
-        x1, x2 = (lines.without(own[near][owner], place, h).view(np.int64) for h in (0, 1))
-        at = near[owner]
-        o = np.lexsort((number[at], doc[at], place, x2, x1))  # of equal keys only the earliest line goes on
-        same = (x1[o][1:] == x1[o][:-1]) & (x2[o][1:] == x2[o][:-1]) & (place[o][1:] == place[o][:-1])
-        lead = np.concatenate(([0], np.where(same, 0, np.arange(1, len(o))))) if len(o) else np.zeros(0, np.int64)
-        lead = np.maximum.accumulate(lead) if len(o) else lead
-        earliest = at[o][lead]
-        later = at[o] != earliest
-        for i, w in set(zip(at[o][later].tolist(), earliest[later].tolist())):
-            known.append((int(doc[i]), int(number[i]), int(doc[w]), int(number[w])))
-        goes = np.sort(o[~later])
-        bounds = np.searchsorted(owner[goes], np.arange(len(near) + 1))
-        for j, i in enumerate(near.tolist()):
-            mine = goes[bounds[j] : bounds[j + 1]]
-            words[i], cut[i], v1[i], v2[i] = lines.words(int(own[i])), place[mine].astype(np.int32), x1[mine], x2[mine]
+    near, low, high = near[may], np.zeros(len(own), bool), np.zeros(len(own), bool)
+    low[near], high[near] = tails[1][may], heads[1][may]
+    words: list[bytes | None] = [None] * len(own)
+    for i in near.tolist():
+        words[i] = lines.words(own[i])
+    owner, place = _spread(lines, own[near], low[near], high[near])
+    keys = np.concatenate((lines.without(own[near][owner], place, 0), k1[near].view(np.uint64)))
     none = [None] * len(own)
-    yield A.batch(_LINES, k1, k2, doc, number.astype(np.int32), repeat, words, cut, v1, v2, none, none)
-    if known:
-        d, n, wd, wn = (list(x) for x in zip(*known))
-        none = [None] * len(d)
-        yield A.batch(_LINES, none, none, d, n, [False] * len(d), none, none, none, none, wd, wn)
+    return [A.batch(_LINES, k1, k2, doc, number.astype(np.int32), repeat, words, low, high, none, none, none, none)], keys
+
+
+def _variants(batches: Iterator[pa.RecordBatch], planes: S.Planes) -> Iterator[pa.RecordBatch]:
+    """Repeated keys of the candidates: less one word (cut: which) and whole (cut -1); pairs met within the batch (cut -2)."""
+    for b in batches:
+        doc, number, k1, k2, low, high = (A.ints(b.column(i)) for i in (0, 1, 3, 4, 5, 6))
+        raw, offsets = T.text_buffer(b.column(2))
+        lines = _Lines(raw, offsets)
+        every = np.arange(len(doc))
+        owner, place = _spread(lines, every, low, high)
+        x1 = lines.without(owner, place, 0)
+        met = planes.repeated(x1)
+        owner, place, x1 = owner[met], place[met].astype(np.int32), x1[met].view(np.int64)
+        x2 = lines.without(owner, place, 1).view(np.int64)
+        order = np.lexsort((number[owner], doc[owner], place, x2, x1))  # of equal keys only the earliest line goes on
+        owner, place, x1, x2 = owner[order], place[order], x1[order], x2[order]
+        new = np.ones(len(owner), dtype=bool)
+        new[1:] = (x1[1:] != x1[:-1]) | (x2[1:] != x2[:-1]) | (place[1:] != place[:-1])
+        earliest = owner[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(owner) else owner
+        later = (doc[owner] != doc[earliest]) | (number[owner] != number[earliest])
+        goes, none = owner[new], [None] * int(new.sum())
+        yield A.batch(_KEYS, x1[new], x2[new], place[new], doc[goes], number[goes], none, none)
+        pair = np.unique(np.stack((owner[later], earliest[later])), axis=1)
+        spread = T.mix64(doc[pair[0]].view(np.uint64) ^ number[pair[0]].astype(np.uint64)).view(np.int64)
+        fixed = np.full(len(spread), -2, np.int32)
+        yield A.batch(_KEYS, spread, spread, fixed, doc[pair[0]], number[pair[0]], doc[pair[1]], number[pair[1]])
+        whole = every[planes.repeated(k1.view(np.uint64))]
+        none = [None] * len(whole)
+        yield A.batch(_KEYS, k1[whole], k2[whole], np.full(len(whole), -1, np.int32), doc[whole], number[whole], none, none)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
 
 PARTIAL = "block int, cells binary, counts binary, tags binary"
-_PARTIAL = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("tags", pa.binary())])
+PARTIAL_FIELDS = [("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("tags", pa.binary())]
+_PARTIAL = pa.schema(PARTIAL_FIELDS)
 _MERGED = pa.schema([("block", pa.int32()), ("many", pa.binary()), ("heavy", pa.binary())])
 
 #: Keys that a task gathers before it writes them out as partition sketch rows.
