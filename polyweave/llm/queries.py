@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from polyweave.llm import line_dedup, ngram_jaccard, packing, source_mixing, substring_dedup
+from polyweave.llm import language_id, line_dedup, media, ngram_jaccard, packing, quality, source_mixing, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_language_id": language_id.query,
     "op5_packing": packing.query,
     "op7_ngram_jaccard_join": ngram_jaccard.query,
     "op8_source_mixing": source_mixing.query,
+    "op9_quality_classifier": quality.query,
+    "op10_media_columns": media.query,
 }
 
 ORACLES = {
