@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from polyweave.llm import arrowkit as A
 from polyweave.llm import sketch as S
@@ -150,7 +151,19 @@ def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, b
     )
 
 
-def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, carry: str = "", carried: tuple = ()) -> DataFrame:
+def rewrite(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all lines dropped."""
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    given = documents.select(row_id().alias("doc"), "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    done = _dedup(given, **{"min_words": 3, "near_words": 8, "bits": 28} | options)
+    left = done.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"doc_id": given_id("doc"), "text": F.col("kept_text")}
+    if "n_chars" in others:
+        back["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
+    return left.select(*(back[c].alias(c) for c in documents.columns))
+
+
+def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataFrame:
     """As dedup_lines, over (doc, text) and any columns to carry along."""
     spark = docs.sparkSession
     ship(spark)
@@ -209,7 +222,8 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, carry: s
 
     marks = gone.groupBy("doc").agg(F.collect_set("line").alias("gone"))
     columns = [c for c in docs.columns if c not in ("doc", "text")]
-    schema = pa.schema([*_OUT, *carried])
+    fields = [f for f in docs.schema if f.name in columns]
+    schema = StructType([*StructType.fromDDL("doc long, kept_text string, n_lines long, n_removed long"), *fields])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,10 +241,11 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, carry: s
                 else:
                     removed.append(0)
                     kept.append(text)
-            yield A.batch(schema, b.column(0), kept, n, removed, *(b.column(3 + i) for i in range(len(columns))))
+            made = A.batch(_OUT, b.column(0), kept, n, removed)
+            yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[3:]], names=[*_OUT.names, *columns])
 
     out = docs.join(marks, "doc", "left").select("doc", "text", "gone", *columns)
-    return out.mapInArrow(keep, f"doc long, kept_text string, n_lines long, n_removed long{carry}")
+    return out.mapInArrow(keep, schema)
 
 
 def _sketch_rows(rows: pa.RecordBatch) -> pa.RecordBatch:

@@ -276,6 +276,13 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, b
     return out.select(given_id("doc").alias("doc_id"), "n_shingles", given_id("component").alias("component_id"))
 
 
+def keep_first(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with the smallest id of every component only."""
+    found = jaccard_components(documents, **options)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: the size of its set and its component."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

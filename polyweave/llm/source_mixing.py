@@ -111,6 +111,19 @@ def mix(documents: DataFrame, quality: DataFrame | None = None, seed: int = 8, t
     return out.withColumn("taken", (F.col("epochs") * F.col("size") + some).cast("long")).drop("s", "epochs", "rest", "cut", "_key")
 
 
+def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: each document as often as it is taken, the one at a source's cut with its first words only."""
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    rows = mixed.where("taken > 0").withColumns({"_whole": whole, "_rest": rest})
+    rows = rows.withColumn("_turn", F.explode(F.expr("sequence(1, _whole + if(_rest > 0, 1, 0))")))
+    some = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest("_rest", F.lit(1))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_turn") <= F.col("_whole"), F.col("text")).otherwise(some))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(mixed.schema["n_chars"].dataType))
+    return rows.select(*columns)
+
+
 def label_weights(spark, sf_dir: str) -> DataFrame:
     """Sampling weights from the quality labels: good documents 4, unlabelled 1 (by default), poor 0.25."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
