@@ -94,11 +94,11 @@ class _Lines:
         return T.mix64((s[f + b] - s[f + a]) * self.inverse[h][a] + (b - a).astype(np.uint64) * np.uint64(T.BASES[1 - h]))
 
     def halves(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of two beginnings and two ends of each line; the second index of each is the one a longer partner uses."""
+        """Keys of two beginnings and of two ends of each line: half a word less and half a word more than half, rounded."""
         n = self.n[lines]
         zero = np.zeros(len(n), np.int64)
-        heads = [self.part(lines, zero, (n + d) // 2, 0) for d in (-1, 0, 1)]
-        tails = [self.part(lines, n - (n + d + 1) // 2, n, 0) ^ np.uint64(_MASK) for d in (-1, 0, 1)]
+        heads = [self.part(lines, zero, (n + d) // 2, 0) for d in (-1, 1)]
+        tails = [self.part(lines, n - (n + d + 1) // 2, n, 0) ^ np.uint64(_MASK) for d in (-1, 1)]
         return np.stack(heads), np.stack(tails)
 
     def without(self, lines: np.ndarray, cut: np.ndarray, h: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def _spread(lines: _Lines, chosen: np.ndarray, low: np.ndarray, high: np.ndarray
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 28) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 27) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_removed) for each row of ``documents(doc_id, text)``."""
     return _dedup(documents.select(row_id().alias("doc"), "text"), min_words, near_words, bits).select(
         given_id("doc").alias("doc_id"), "kept_text", "n_lines", "n_removed"
@@ -155,7 +155,7 @@ def rewrite(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all lines dropped."""
     others = [c for c in documents.columns if c not in ("doc_id", "text")]
     given = documents.select(row_id().alias("doc"), "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
-    done = _dedup(given, **{"min_words": 3, "near_words": 8, "bits": 28} | options)
+    done = _dedup(given, **{"min_words": 3, "near_words": 8, "bits": 27} | options)
     left = done.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"doc_id": given_id("doc"), "text": F.col("kept_text")}
     if "n_chars" in others:
@@ -181,10 +181,10 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
                     yield from counter.add(keys, tags)
         yield from counter.rows()
 
-    planes = spark.sparkContext.broadcast(S.merge(texts.mapInArrow(count, S.PARTIAL), bits, 1))
+    planes = spark.sparkContext.broadcast(S.merge(texts.mapInArrow(count, S.PARTIAL), bits, 2))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = S.Counter(bits - 1, 1)
+        counter = S.Counter(bits - 1, 2)
         for b in batches:
             for ids, lines in _slices(b):
                 found, keys = _profile(planes.value, ids, lines, min_words, near_words)
@@ -194,7 +194,7 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
 
     table = land(texts.mapInArrow(candidates, _LINES_SQL), "lines")
     partial = table.select("block", "cells", "counts", "tags")
-    shared = spark.sparkContext.broadcast(S.merge(partial, bits - 1, 1))
+    shared = spark.sparkContext.broadcast(S.merge(partial, bits - 1, 2))
     table = table.where("block is null")
     place = F.struct("doc", "line")
 
@@ -273,7 +273,8 @@ def _profile(planes: S.Planes, ids: np.ndarray, lines: _Lines, min_words: int, n
     heads, tails = (np.stack([planes.repeated(k) for k in keys]) for keys in (heads, tails))
     may = heads.any(axis=0) | tails.any(axis=0)
     near, low, high = near[may], np.zeros(len(own), bool), np.zeros(len(own), bool)
-    low[near], high[near] = tails[1][may], heads[1][may]
+    even = lines.n[own[near]] % 2 == 0  # which of the two keys is the line's own half
+    low[near], high[near] = np.where(even, tails[0][may], tails[1][may]), np.where(even, heads[1][may], heads[0][may])
     words: list[bytes | None] = [None] * len(own)
     for i in near.tolist():
         words[i] = lines.words(own[i])

@@ -52,17 +52,17 @@ class Counter:
         if self.held >= _GATHER:
             yield from self.rows()
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """What was gathered, as rows; counts stop at 255."""
+    def rows(self, first: int = 0) -> Iterator[pa.RecordBatch]:
+        """What was gathered, as rows, from one row of the sketch on; counts stop at 255."""
         if not self.held:
             return
         keys = np.concatenate(self.keys)
         self.keys, self.held = [], 0
-        for row in range(self.depth):
+        for row in range(first, self.depth):
             cells = np.sort(cells_of(keys, row, self.bits).astype(np.uint32))
-            first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-            counts = np.minimum(np.diff(np.append(first, len(cells))), 255).astype(np.uint8)
-            cells = cells[first]
+            new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            counts = np.minimum(np.diff(np.append(new, len(cells))), 255).astype(np.uint8)
+            cells = cells[new]
             blocks = cells >> np.uint32(BLOCK_BITS)
             at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
             offsets = np.append(at, len(cells))
@@ -75,21 +75,26 @@ class Counter:
 
 
 class TagCounter:
-    """Partition sketch, of one row, that counts the distinct tags of every cell up to two."""
+    """Partition sketch of two rows: distinct tags per cell, up to two, and plain counts."""
 
     def __init__(self, bits: int):
-        self.bits, self.held = bits, []
+        self.bits, self.parts, self.held = bits, [], 0
 
     def add(self, keys: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((cells_of(keys, 0, self.bits), tags))
-        if sum(len(c) for c, _ in self.held) >= _GATHER:
+        self.parts.append((keys, tags))
+        self.held += len(keys)
+        if self.held >= _GATHER:
             yield from self.rows()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        cells, tags = (np.concatenate(x) for x in zip(*self.held))
-        self.held = []
+        keys, tags = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.held = [], 0
+        plain = Counter(self.bits, 2)
+        plain.keys, plain.held = [keys], len(keys)
+        yield from plain.rows(first=1)
+        cells = cells_of(keys, 0, self.bits)
         order = np.lexsort((tags, cells))
         cells, tags = cells[order], tags[order]
         first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
