@@ -10,7 +10,8 @@ Method: Efraimidis-Spirakis sampling. A document's key is ``-ln(u) / weight``
 with u from a hash of seed and id, and documents enter the fraction in the
 order of their keys until the prefix sum of their words reaches the rest of the
 target; the document at the cut gives only its first words. The keys give each
-document the chance that its quality weight sets; reruns agree.
+document the chance that its quality weight, computed from its text, sets;
+reruns agree.
 
 Only (source, key, words) is gathered: sums per source and key range, then the
 prefix sum within the one key range of each source that holds the cut. Each
@@ -35,6 +36,7 @@ from polyweave.llm.tables import land
 RANGES = 4096
 
 WORDS = r"[^\x20\x09-\x0D]+"
+SIGNS = r"[!#$%&*+<=>@^_|~]+"
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -66,17 +68,20 @@ def targets(sizes: DataFrame, total: float = 1.5, cap: float = 2.0, weights: tup
     return table.withColumn("level", level).select("source", "source_size", F.least("most", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(documents: DataFrame, quality: DataFrame | None = None, seed: int = 8, total: float = 1.5, cap: float = 2.0) -> DataFrame:
+def prose(text: str) -> Column:
+    """Quality weight of a text: 1 for plain prose, less the more runs of signs stand among its words."""
+    size = words_in(text).cast("double")
+    runs = F.coalesce(F.regexp_count(text, F.lit(SIGNS)), F.lit(0))
+    return F.when(size > 0, size / (size + F.lit(3.0) * runs)).otherwise(1.0)
+
+
+def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``documents`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
-    ``quality(doc_id, weight)`` gives the sampling weights; documents without one weigh 1.
+    ``weight`` is the positive sampling weight of a row, by default the prose weight of its text.
     """
-    key = -F.log(uniform(seed))
+    key = -F.log(uniform(seed)) / (prose("text") if weight is None else weight)
     rows = documents.select("doc_id", "source", words_in("text").alias("size"), key.alias("key"))
-    if quality is not None:
-        weight = quality.groupBy(F.col("doc_id").alias("qid")).agg(F.max("weight").alias("weight"))
-        rows = rows.join(weight, F.col("doc_id") == F.col("qid"), "left").drop("qid")
-        rows = rows.withColumn("key", F.col("key") / F.coalesce("weight", F.lit(1.0))).drop("weight")
     part = F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")
     rows = land(rows.withColumn("part", part), "mix")
 
@@ -101,9 +106,6 @@ def mix(documents: DataFrame, quality: DataFrame | None = None, seed: int = 8, t
 
     given = documents.drop(*(c for c in ADDED if c in documents.columns))
     given = given.withColumns({"size": words_in("text"), "_key": key})
-    if quality is not None:
-        given = given.join(weight, F.col("doc_id") == F.col("qid"), "left").drop("qid")
-        given = given.withColumn("_key", F.col("_key") / F.coalesce("weight", F.lit(1.0))).drop("weight")
     mine = F.struct(F.col("_key").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     edge = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"))
     some = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (mine < edge), F.col("size")).when(mine == edge, F.least("size", F.col("cut.left"))).otherwise(0)
@@ -124,26 +126,20 @@ def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
-def label_weights(spark, sf_dir: str) -> DataFrame:
-    """Sampling weights from the quality labels: good documents 4, unlabelled 1 (by default), poor 0.25."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 4.0).otherwise(0.25).alias("weight"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: its words, its source's words and target, and the words the mix takes."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(documents, label_weights(spark, sf_dir)).select("doc_id", *ADDED)
+    return mix(documents).select("doc_id", *ADDED)
 
 
 ORACLE = r"""
-with base as (
-    select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-        -ln((('0x' || substr(md5('8:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
-            / coalesce(l.weight, 1.0) as k
-    from documents d left join (
-        select doc_id as qid, max(case when quality = 1 then 4.0::double else 0.25::double end) as weight
-        from labels where quality is not null group by 1) l on d.doc_id = l.qid
+with counted as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+        coalesce(len(regexp_extract_all(text, '[!#$%&*+<=>@^_|~]+')), 0) as runs from documents
+), base as (
+    select doc_id, source, size, -ln((('0x' || substr(md5('8:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+        / case when size > 0 then size::double / (size::double + 3.0::double * runs) else 1.0::double end as k
+    from counted
 ), sizes as (
     select source, sum(size)::bigint as source_size from base group by 1
 ), shares as (
