@@ -37,8 +37,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
-    mixed = source_mixing.mix(docs, source_mixing.label_weights(spark, sf_dir))
-    return source_mixing.taken_rows(mixed, docs.columns)
+    return source_mixing.taken_rows(source_mixing.mix(docs), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
