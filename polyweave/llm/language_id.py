@@ -47,6 +47,21 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sample(rows: DataFrame, group: str, most: int, seed: int) -> DataFrame:
+    """(doc_id, group) of ``most`` rows of each group at most, by hash of the id.
+
+    Rows whose hash is far beyond the ``most`` smallest of their group, as its size tells, are not ranked.
+    """
+    sizes = rows.groupBy(group).count().collect()  # as many as the model has classes
+    if not sizes:
+        return land(rows.select("doc_id", group), "sample")
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], min(4.0 * most / r[1], 2.0))))
+    near = rows.select("doc_id", group, F.xxhash64(F.lit(seed), "doc_id").alias("_turn"))
+    near = near.where(F.shiftright("_turn", 1) + (1 << 62) < share.getItem(F.col(group)) * float(1 << 63))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_turn", "doc_id"))
+    return land(near.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", group), "sample")
+
+
 def presence(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> np.ndarray:
     """Rows of 0 and 1: which n-grams each text contains."""
     n = len(offsets) - 1
@@ -120,9 +135,7 @@ def fit(documents: DataFrame, per_language: int = 400, landmarks: int = 128, buc
     """Model from the documents with a language outside the held-out fold, ``per_language`` of each at most."""
     ship(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(held_out) != 0))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id"))
-    chosen = land(known.select("doc_id", "lang", F.xxhash64(F.lit(4), "doc_id").alias("turn")).withColumn("n", turn).where(F.col("n") <= per_language), "sample")
-    ids = chosen.select("doc_id").distinct()
+    ids = sample(known, "lang", per_language, seed=4).select("doc_id").distinct()
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")  # per_language rows a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

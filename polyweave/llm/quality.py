@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyweave.llm import arrowkit as A
 from polyweave.llm import textkit as T
-from polyweave.llm.language_id import fold
-from polyweave.llm.tables import land, ship
+from polyweave.llm.language_id import fold, sample
+from polyweave.llm.tables import ship
 
 #: Hash buckets of words, and as many of byte n-grams.
 BUCKETS = 1 << 15
@@ -107,8 +107,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = 600, held_out:
     ship(documents.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    turn = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id"))
-    chosen = land(known.withColumn("n", turn).where(F.col("n") <= per_label).select("doc_id", "quality"), "sample")
+    chosen = sample(known, "quality", per_label, seed=9)
     texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
