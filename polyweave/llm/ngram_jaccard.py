@@ -278,9 +278,10 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, b
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the smallest id of every component only."""
-    found = jaccard_components(documents, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = jaccard_components(documents.select("doc_id", "text"), **options)
+    kept = "_".join(["kept", *documents.columns])  # a name that no column has
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return documents.join(first, F.col("doc_id").eqNullSafe(F.col(f"`{kept}`")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

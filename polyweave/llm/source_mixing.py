@@ -104,13 +104,15 @@ def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total
     plan = plan.join(at, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "cut")
     plan = land(plan, "mix-cuts")
 
-    given = documents.drop(*(c for c in ADDED if c in documents.columns))
-    given = given.withColumns({"size": words_in("text"), "_key": key})
-    mine = F.struct(F.col("_key").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    # columns of the input keep out of the way of the plan's under names of their own
+    others = [c for c in documents.columns if c.lower() not in ADDED]
+    given = documents.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)), "doc_id", "source", words_in("text").alias("size"), key.alias("key"))
+    mine = F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     edge = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"))
     some = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (mine < edge), F.col("size")).when(mine == edge, F.least("size", F.col("cut.left"))).otherwise(0)
     out = given.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
-    return out.withColumn("taken", (F.col("epochs") * F.col("size") + some).cast("long")).drop("s", "epochs", "rest", "cut", "_key")
+    out = out.withColumn("taken", (F.col("epochs") * F.col("size") + some).cast("long"))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(others)), *ADDED)
 
 
 def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,18 +8,15 @@ empty (a local test) a folder of this machine is used instead.
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyweave.shipping import ship  # noqa: F401
+
 _local: str | None = None
-_shipped: set[str] = set()
 
 #: Stands for a null id inside an operator; such a row sorts after all others.
 NO_ID = (1 << 63) - 1
@@ -42,22 +39,6 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, for its Python stages."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    where = os.path.join(tempfile.mkdtemp(prefix="polyweave-"), f"{top.name}.zip")
-    Path(where).write_bytes(packed.getvalue())
-    spark.sparkContext.addPyFile(where)
-
-
 def row_id(name: str = "doc_id") -> Column:
     """The id column as a long, with NO_ID for null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
