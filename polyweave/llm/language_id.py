@@ -57,7 +57,7 @@ def sample(rows: DataFrame, group: str, most: int, seed: int) -> DataFrame:
         return land(rows.select("doc_id", group), "sample")
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], min(4.0 * most / r[1], 2.0))))
     near = rows.select("doc_id", group, F.xxhash64(F.lit(seed), "doc_id").alias("_turn"))
-    near = near.where(F.shiftright("_turn", 1) + (1 << 62) < share.getItem(F.col(group)) * float(1 << 63))
+    near = near.where(F.shiftright("_turn", 1) + (1 << 62) < share[F.col(group)] * float(1 << 63))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_turn", "doc_id"))
     return land(near.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", group), "sample")
 

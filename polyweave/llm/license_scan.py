@@ -72,7 +72,7 @@ def scan(documents: DataFrame) -> DataFrame:
                 r["id"].alias("id"), r["label"].alias("label"), r["weight"].alias("weight"), r["base"].alias("base"),
             )
 
-        return F.filter(F.transform(rules.getItem(h["w"]), one), lambda d: -d["end"] > d["start"])
+        return F.filter(F.transform(rules[h["w"]], one), lambda d: -d["end"] > d["start"])
 
     rows = rows.select("doc_id", "n_words", F.array_sort(F.flatten(F.transform("hits", detect))).alias("found"))
     reach = SPAN * most
