@@ -44,7 +44,7 @@ from pyspark.sql.types import StructType
 from polyweave.llm import arrowkit as A
 from polyweave.llm import sketch as S
 from polyweave.llm import textkit as T
-from polyweave.llm.tables import given_id, land, row_id, ship
+from polyweave.llm.tables import given_id, land, row_id, set_aside, ship
 
 _MASK = (1 << 64) - 1
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in T.BASES)
@@ -153,14 +153,14 @@ def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, b
 
 def rewrite(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all lines dropped."""
-    others = [c for c in documents.columns if c not in ("doc_id", "text")]
-    given = documents.select(row_id().alias("doc"), "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
-    done = _dedup(given, **{"min_words": 3, "near_words": 8, "bits": 27} | options)
+    rows, back = set_aside(documents)
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    done = _dedup(rows.select(row_id().alias("doc"), "text", *others), **{"min_words": 3, "near_words": 8, "bits": 27} | options)
     left = done.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"doc_id": given_id("doc"), "text": F.col("kept_text")}
+    made = {"doc_id": given_id("doc"), "text": F.col("kept_text")}
     if "n_chars" in others:
-        back["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
-    return left.select(*(back[c].alias(c) for c in documents.columns))
+        made["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
+    return left.select(*(made.get(c, F.col(c)).alias(c) for c in rows.columns)).select(*back)
 
 
 def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataFrame:

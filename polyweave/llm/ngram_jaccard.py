@@ -277,7 +277,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, b
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the smallest id of every component only."""
+    """``documents`` with the smallest id of every component only; rows that repeat this id all stay, as do all of a null id's component."""
     found = jaccard_components(documents.select("doc_id", "text"), **options)
     kept = "_".join(["kept", *documents.columns])  # a name that no column has
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()

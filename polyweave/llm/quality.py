@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from polyweave.llm import arrowkit as A
 from polyweave.llm import textkit as T
 from polyweave.llm.language_id import fold, sample
-from polyweave.llm.tables import ship
+from polyweave.llm.tables import set_aside, ship
 
 #: Hash buckets of words, and as many of byte n-grams.
 BUCKETS = 1 << 15
@@ -154,6 +154,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return given.mapInArrow(run, given.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema)
 
 
+def keep_good(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` predicted good, with the columns given."""
+    rows, back = set_aside(documents)
+    return score(rows, model).where("predicted = 1").select(*back)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of three folds in four."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

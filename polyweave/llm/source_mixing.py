@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyweave.llm.tables import land
+from polyweave.llm.tables import land, set_aside
 
 #: Ranges into which the keys of a source are summed before its cut is sought.
 RANGES = 4096
@@ -128,6 +128,12 @@ def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
+def mixture(documents: DataFrame, **options) -> DataFrame:
+    """The rows of the mix of ``documents``, with the columns given."""
+    rows, back = set_aside(documents)
+    return taken_rows(mix(rows, **options), rows.columns).select(*back)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: its words, its source's words and target, and the words the mix takes."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -47,3 +47,9 @@ def row_id(name: str = "doc_id") -> Column:
 def given_id(key: str) -> Column:
     """The inverse of row_id."""
     return F.when(F.col(key) != F.lit(NO_ID), F.col(key))
+
+
+def set_aside(rows: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with all columns but ``own`` under names that no operator adds, and the columns that bring the given names back."""
+    names = {c: c if c in own else f"_given{i}" for i, c in enumerate(rows.columns)}
+    return rows.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]

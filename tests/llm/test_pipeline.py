@@ -32,3 +32,28 @@ def test_stages(spark):
     for r in pieces:
         fill[r.sequence_id] += r.length
     assert sum(n != 4096 for n in fill.values()) <= 1
+
+
+def test_stages_on_edge_cases(spark):
+    """Nulls in every column, blank and long texts, repeated rows, no rows, columns that share names with what operators add."""
+    from polyweave.llm.tables import land
+
+    line = "the quick brown fox jumps over the lazy dog and then goes home to rest a while"
+    rows = [
+        (1, line, "en", "a", 5), (1, line, "en", "a", 5), (2, line + " now", "en", None, 5), (None, "seven words that no other line has", None, "a", None),
+        (3, None, "en", "b", 0), (4, "", None, None, 0), (None, None, None, None, None), (5, " \n\t", "de", "b", 3), (6, "x" * 200_000, "en", "a", 9),
+        (7, (line + "\n") * 5000, "en", "b", 1), (8, "a b", "fr", "b", 1),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    added = ["score", "predicted", "taken", "size", "target", "source_size", "_whole", "_rest", "_turn", "doc", "doc_i", "k", "component", "n.m"]
+    more = ", ".join(f"`{c}` string" for c in added)
+    plain, clash = spark.createDataFrame(rows, schema), spark.createDataFrame([(*r, *added) for r in rows], f"{schema}, {more}")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = [land(stage(spark, d, sf), "edge") for d in (plain, clash, plain.where("false"), clash.where("false"))]
+        found = [sorted(map(str, (tuple(r)[:5] for r in o.collect()))) for o in out]
+        assert found[0] == found[1] and found[0] and not found[2] + found[3], name
+        assert [o.columns for o in out] == [plain.columns, clash.columns] * 2
+        assert {tuple(r)[5:] for r in out[1].collect()} == {tuple(added)}, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, clash, sf).count() >= len(rows) and pack(spark, plain.where("false"), sf).count() == 0
