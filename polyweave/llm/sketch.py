@@ -2,9 +2,10 @@
 
 Every task counts its own keys into a sparse partition sketch (only the cells
 that it touched); the partition sketches are merged block by block, and what
-the later passes need, a bit per cell that says "at least two" and the few
-cells that say "very many", is broadcast. The broadcast has a fixed size of
-``depth * 2**bits / 8`` bytes whatever the corpus; a larger corpus makes the
+the later passes need, a bit per cell that says "at least two" and, where asked,
+one per cell of the first row that says "very many", is broadcast. The broadcast
+has a fixed size of ``(depth + 1) * 2**bits / 8`` bytes at most whatever the
+corpus, as has what the driver gathers; a larger corpus makes the
 estimates larger, never smaller, so users of the sketch lose nothing and only
 pass on more rows. Choose ``bits`` with the corpus: about one cell per key.
 """
@@ -116,7 +117,7 @@ class Planes:
     def __init__(self, bits: int, depth: int):
         self.bits, self.depth = bits, depth
         self.many = np.zeros((depth, max(1 << bits, BLOCK) >> 3), dtype=np.uint8)
-        self.heavy = np.zeros(0, dtype=np.int64)
+        self.heavy: np.ndarray | None = None
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key is estimated to have been counted twice or more."""
@@ -128,23 +129,22 @@ class Planes:
 
     def is_heavy(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key is estimated to have the heavy count; by the first row of the sketch."""
-        if not len(self.heavy):
+        if self.heavy is None:
             return np.zeros(len(keys), dtype=bool)
         cells = cells_of(keys, 0, self.bits)
-        at = np.minimum(np.searchsorted(self.heavy, cells), len(self.heavy) - 1)
-        return self.heavy[at] == cells
+        return (self.heavy[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 != 0
 
 
-def merge(partial: DataFrame, bits: int, depth: int, heavy: int = 255) -> Planes:
-    """Add up the partition sketches; every reducer holds the counters of one block at a time."""
+def merge(partial: DataFrame, bits: int, depth: int, heavy: int | None = None) -> Planes:
+    """Add up the partition sketches; every reducer holds the counters of one block at a time. ``heavy`` (255 at most) is the count that is very many."""
+    per_row = 1 << max(bits - BLOCK_BITS, 0)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counts, seen = None, np.zeros(BLOCK, np.uint16), np.zeros(BLOCK, np.uint64)
 
         def ended() -> pa.RecordBatch:
-            many = np.packbits(counts >= 2, bitorder="little")
-            most = np.flatnonzero(counts >= heavy).astype(np.uint16)
-            return A.batch(_MERGED, [now], [zlib.compress(many.tobytes(), 1)], [most.tobytes()])
+            many, most = (zlib.compress(np.packbits(counts >= least, bitorder="little").tobytes(), 1) for least in (2, heavy or 256))
+            return A.batch(_MERGED, [now], [many], [most if heavy and now < per_row else None])
 
         for b in batches:
             for block, cells, n, tags in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
@@ -164,14 +164,13 @@ def merge(partial: DataFrame, bits: int, depth: int, heavy: int = 255) -> Planes
             yield ended()
 
     out = Planes(bits, depth)
-    per_row = 1 << max(bits - BLOCK_BITS, 0)
-    most = []
+    if heavy:
+        out.heavy = np.zeros_like(out.many[0])
     merged = partial.where(F.col("block").isNotNull()).repartition("block").sortWithinPartitions("block")
     for r in merged.mapInArrow(fold, "block int, many binary, heavy binary").collect():
         row, block = divmod(r.block, per_row)
-        out.many[row, block * BLOCK >> 3 : (block + 1) * BLOCK >> 3] = np.frombuffer(zlib.decompress(bytes(r.many)), np.uint8)
-        if row == 0 and r.heavy:
-            most.append(np.frombuffer(bytes(r.heavy), np.uint16).astype(np.int64) + block * BLOCK)
-    if most:
-        out.heavy = np.sort(np.concatenate(most))
+        at = slice(block * BLOCK >> 3, (block + 1) * BLOCK >> 3)
+        out.many[row, at] = np.frombuffer(zlib.decompress(bytes(r.many)), np.uint8)
+        if r.heavy:
+            out.heavy[at] = np.frombuffer(zlib.decompress(bytes(r.heavy)), np.uint8)
     return out
