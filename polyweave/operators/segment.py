@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from polyweave.functions import fixed as X
 from polyweave.functions import text as T
 
 
+#: Starts of spans that one row holds before they are told apart.
+CHUNK = 256
+
+
 def pieces(text: Column) -> Column:
     """Text cut after each run of boundary characters, trimmed, without blank pieces."""
     found = F.regexp_extract_all(text, F.lit(f"(?s)([^{X.BOUNDARY[1:-1]}]*{X.BOUNDARY}+\\s*|[^{X.BOUNDARY[1:-1]}]+$)"), F.lit(1))
@@ -27,19 +33,20 @@ def strict(parts: Column, min_len: int, min_chars: int) -> Column:
 def buffered(parts: Column, min_len: int, min_chars: int) -> Column:
     """Short pieces joined to the sentence before them; leading ones are a sentence of their own."""
     short = lambda p: ((F.length(p) <= min_len) & (F.size(T.words(p)) < min_len)) | (F.length(p) < min_chars) | blank(p)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
 
-    def flushed(s: Column) -> Column:
-        last = F.concat_ws(" ", F.element_at(s["done"], -1), s["held"])
-        joined = F.concat(F.slice(s["done"], 1, F.greatest(F.size(s["done"]) - 1, F.lit(0))), F.array(last))
-        return F.when(s["held"].isNull(), s["done"]).when(F.size(s["done"]) == 0, F.array(s["held"])).otherwise(joined)
+    def joined(p: Column, begin: Column) -> Column:
+        return F.transform(begin, lambda at, k: F.array_join(F.slice(p, at, F.coalesce(F.get(begin, k + 1), F.size(p) + 1) - at), " "))
+
+    def cut(p: Column) -> Column:
+        begin = F.filter(F.transform(p, lambda s, i: F.when((i == 0) | ~short(s), i + 1)), lambda i: i.isNotNull())
+        return _bound(begin, lambda b: joined(p, b))
+
+    return _bound(parts, cut)
 
-    def step(s: Column, p: Column) -> Column:
-        keep = F.struct(s["done"].alias("done"), F.concat_ws(" ", s["held"], p).alias("held"))
-        emit = F.struct(F.concat(flushed(s), F.array(p)).alias("done"), F.lit(None).cast("string").alias("held"))
-        return F.when(short(p), keep).otherwise(emit)
 
-    return F.aggregate(parts, start, step, flushed)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is looked at."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sentences(df: DataFrame, text: str, keys: list[str], min_len: int = 5, min_chars: int = 3, buffer: bool = True) -> DataFrame:
@@ -57,13 +64,21 @@ def widths(duplicates: bool = False) -> list[int]:
 
 def spans(df: DataFrame, text: str, keys: list[str], min_chars: int = X.MIN_SPAN_CHARS, duplicates: bool = False, script: str | None = None) -> DataFrame:
     """(keys, s, e, span): every run of the allowed widths, without those that hold a word of mixed script."""
-    rows = df.select(*keys, T.words(F.col(text)).alias("_w"))
-    bad = F.transform("_w", lambda w: F.when(T.mixes_scripts(w, script), 1).otherwise(0)) if script else None
-    rows = rows.withColumn("_bad", bad) if script else rows
-    width = F.array(*(F.lit(w) for w in widths(duplicates)))
-    rows = rows.withColumn("_n", F.size("_w")).withColumn("_width", F.explode(F.filter(width, lambda w: w <= F.size("_w"))))
-    rows = rows.withColumn("s", F.explode(F.expr("sequence(0, _n - _width)"))).withColumn("e", F.col("s") + F.col("_width"))
+    lengths = widths(duplicates)
+    most = max(lengths)
+    words = df.select(*keys, T.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    word = lambda w: F.struct(w.alias("t"), (T.mixes_scripts(w, script) if script else F.lit(False)).alias("bad"))
+    words = words.select(*keys, F.transform("_w", word).alias("_w"))
+
+    # rows carry a chunk of the words, then those of one start only, and not the whole text
+    chunk = lambda at: F.struct(at.alias("at"), F.slice("_w", at + 1, CHUNK + most - 1).alias("w"))
+    chunks = words.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(CHUNK)), chunk)).alias("_c"))
+    start = lambda i: F.struct((F.col("_c.at") + i).alias("s"), F.slice(F.col("_c.w"), i + 1, most).alias("w"))
+    starts = chunks.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("_c.w"), F.lit(CHUNK)) - 1), start)).alias("_s"))
+
+    fits = F.filter(F.array(*map(F.lit, lengths)), lambda w: w <= F.size("_s.w"))
     if script:
-        rows = rows.where(~F.exists(F.slice("_bad", F.col("s") + 1, F.col("_width")), lambda x: x > 0))
-    rows = rows.withColumn("span", F.array_join(F.slice("_w", F.col("s") + 1, F.col("_width")), " "))
-    return rows.where(F.length("span") >= min_chars).select(*keys, "s", "e", "span")
+        fits = F.filter(fits, lambda w: ~F.exists(F.slice(F.col("_s.w"), 1, w), lambda x: x["bad"]))
+    made = starts.select(*keys, F.col("_s.s").alias("s"), F.col("_s.w.t").alias("_t"), F.explode(fits).alias("_width"))
+    made = made.select(*keys, "s", (F.col("s") + F.col("_width")).alias("e"), F.array_join(F.slice("_t", F.lit(1), F.col("_width")), " ").alias("span"))
+    return made.where(F.length("span") >= min_chars)
