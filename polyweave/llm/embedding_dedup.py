@@ -13,6 +13,8 @@ Method: pivot partitioning.
    pivot, and is copied to the cells that its neighbours may be at home in: by
    the triangle inequality, and the bisector of two pivots it implies, a vector
    of cell j is at least ``(d(x, p_j)^2 - d(x, p_i)^2) / (2 d(p_i, p_j))`` away.
+   Pivots are ``APART`` from each other at least, so that rounding (1e-14 at
+   most in a squared distance) moves this bound by far less than its slack.
 3. Cells join on their own: at home against all, in blocks of ``BLOCK`` rows, by
    matrix products. A cell larger than a block is dealt out over all pairs of
    its blocks, so no task holds more than two. A vector's links are all found in
@@ -49,6 +51,8 @@ CELL = 2048
 BLOCK = 8192
 PIVOT_BYTES = 32 << 20
 PIVOTS = 256
+#: Least distance of two pivots of a label.
+APART = 0.01
 
 _UNITS = pa.schema([("vec", pa.int64()), ("g", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("w", pa.int64()), ("unit", pa.binary())])
 _UNITS_SQL = "vec long, g long, k1 long, k2 long, w long, unit binary"
@@ -88,6 +92,16 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield A.batch(_UNITS, vec, g, k1, k2, w, units)
 
 
+def _apart(pivots: list[np.ndarray]) -> np.ndarray:
+    """The pivots as a matrix, without those closer than APART to one before."""
+    every = np.stack(pivots)
+    kept: list[int] = []
+    for i, p in enumerate(every):
+        if not kept or ((every[kept] - p) ** 2).sum(axis=1).min() >= APART**2:
+            kept.append(i)
+    return every[kept]
+
+
 def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], radius: float) -> Iterator[pa.RecordBatch]:
     """Home cell of every vector, and the other cells that hold vectors within the radius of it, as far as pivots can tell."""
     for b in batches:
@@ -99,11 +113,11 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], ra
             if p is None or len(p) < 2:
                 yield A.batch(_CELLS, g[rows], np.zeros(len(rows), np.int32), [True] * len(rows), rep[rows], weight[rows], units)
                 continue
-            apart = np.maximum(2 - 2 * (p @ p.T), 0)  # squared distances of the pivots
+            apart = np.maximum(2 - 2 * (p @ p.T), APART**2 / 2)  # squared distances of the pivots; of one and itself it is not used
             far = np.maximum(2 - 2 * (_matrix(units) @ p.T), 0)
             home = far.argmin(axis=1)
             line = np.arange(len(rows))
-            least = (far - far[line, home][:, None]) / (2 * np.sqrt(np.maximum(apart[home], 1e-30)))
+            least = (far - far[line, home][:, None]) / (2 * np.sqrt(apart[home]))
             goes = least <= radius
             goes[line, home] = True
             x, cell = np.nonzero(goes)
@@ -167,7 +181,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     pivots: dict[int, list] = {}
     for r in sorted(some, key=lambda r: (r.g, r.at)):
         pivots.setdefault(r.g, []).append(np.frombuffer(bytes(r.unit), np.float64))
-    shared = spark.sparkContext.broadcast({g: np.unique(np.stack(p), axis=0) for g, p in pivots.items()})
+    shared = spark.sparkContext.broadcast({g: _apart(p) for g, p in pivots.items()})
 
     cells = reps.select("g", "rep", "weight", "unit").mapInArrow(
         lambda it: _assign(it, shared.value, radius), "g long, cell int, home boolean, rep long, weight long, unit binary"

@@ -294,6 +294,27 @@ def test_embeddings(spark, cell, monkeypatch):
     assert {r.vec_id: tuple(r)[1:] for r in got if r.vec_id is not None} == want and len(got) == len(rows)
 
 
+def test_embeddings_of_rescaled_copies(spark, monkeypatch):
+    """Pivots that differ in the last bits only: copies of one vector by FLOAT factors, and vectors at the edge of the radius around them."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=16)
+    base /= np.linalg.norm(base)
+    vectors = [(base * s).astype(np.float32) for s in rng.uniform(0.5, 2, 400)]
+    for angle in np.arccos(0.98) + rng.uniform(-0.02, 0.02, 300):
+        side = rng.normal(size=16)
+        side -= (side @ base) * base
+        vectors.append((np.cos(angle) * base + np.sin(angle) * side / np.linalg.norm(side)).astype(np.float32))
+    x = np.array(vectors, np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    unclear = np.abs(near - 0.98) < 1e-12
+    assert not unclear.any() and len(np.unique(x, axis=0)) > 500
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: int(n) - 1 for i, n in enumerate((near >= 0.98).sum(axis=1))}
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
