@@ -10,14 +10,15 @@ Method: Efraimidis-Spirakis sampling. A document's key is ``-ln(u) / weight``
 with u from a hash of seed and id, and documents enter the fraction in the
 order of their keys until the prefix sum of their words reaches the rest of the
 target; the document at the cut gives only its first words. The keys give each
-document the chance that its quality weight, computed from its text, sets;
-reruns agree.
+document the chance that its quality weight sets; reruns agree. The weight is
+computed from the text, by the signs in it (``prose``) or, where a model of
+operator 9 is given, by the quality it predicts (``learned``); neither needs a join.
 
 Only (source, key, words) is gathered: sums per source and key range, then the
 prefix sum within the one key range of each source that holds the cut. Each
 document then decides by comparing its key with its source's cut, so that a
-source of any size is neither sorted nor moved. All of it runs as DataFrame
-expressions.
+source of any size is neither sorted nor moved. All but the model's score runs
+as DataFrame expressions.
 
 Defined results: a null or blank text has size 0 and nothing is taken of it; a
 null id hashes as the empty text; rows that repeat an id share one key, and
@@ -30,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyweave.llm import quality
 from polyweave.llm.tables import land, set_aside
 
 #: Ranges into which the keys of a source are summed before its cut is sought.
@@ -75,6 +77,11 @@ def prose(text: str) -> Column:
     return F.when(size > 0, size / (size + F.lit(3.0) * runs)).otherwise(1.0)
 
 
+def learned(score: str) -> Column:
+    """Quality weight of a score of operator 9: 4 for a good text, 1 where undecided, 0.25 for a poor one."""
+    return F.pow(F.lit(4.0), 2 * F.round(score, 4) - 1)  # rounded, as the score is computed twice and both keys have to agree
+
+
 def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``documents`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
@@ -128,10 +135,13 @@ def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
-def mixture(documents: DataFrame, **options) -> DataFrame:
-    """The rows of the mix of ``documents``, with the columns given."""
+def mixture(documents: DataFrame, model: quality.Model | None = None, **options) -> DataFrame:
+    """The rows of the mix of ``documents``, with the columns given; sampled by what ``model`` predicts of the texts, if given."""
     rows, back = set_aside(documents)
-    return taken_rows(mix(rows, **options), rows.columns).select(*back)
+    columns = rows.columns
+    if model is not None:
+        rows, options = quality.score(rows, model), {"weight": learned("score")} | options
+    return taken_rows(mix(rows, **options), columns).select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

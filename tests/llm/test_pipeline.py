@@ -34,6 +34,22 @@ def test_stages(spark):
     assert sum(n != 4096 for n in fill.values()) <= 1
 
 
+def test_mixing_prefers_good_texts(spark):
+    """Of texts without signs, those labelled good enter the fraction of an epoch more often than those labelled poor."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    plain = docs.where(r"not text rlike '[!#$%&*+<=>@^_|~]'").join(labels.select("doc_id", "quality"), "doc_id").orderBy("doc_id").collect()
+    rows, quality = [], {}
+    for wanted in (0, 1):
+        for i, r in enumerate([r for r in plain if r.quality == wanted][:7]):
+            for k in range(30):
+                quality[at := 1000 * wanted + 100 * i + k] = wanted
+                rows.append((at, " ".join(r.text.split()[:60]), "a"))
+    out = corpus_pipeline.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf)
+    twice = collections.Counter(quality[i] for i, n in collections.Counter(r.doc_id for r in out.collect()).items() if n == 2)
+    assert twice[1] > 2 * twice[0] and twice[1] > 0.5 * sum(quality.values())
+
+
 def test_stages_on_edge_cases(spark):
     """Nulls in every column, blank and long texts, repeated rows, no rows, columns that share names with what operators add."""
     from polyweave.llm.tables import land
