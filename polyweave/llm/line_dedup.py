@@ -7,7 +7,8 @@ document and earlier line). A line of ``near_words`` or more also goes if an
 earlier line of as many words as that turns into it by inserting, deleting or
 replacing one word. Lines are judged on the input, not on what is left. A
 document that loses all its lines of ``min_words`` or more loses the shorter
-ones too, as they have no context left.
+ones too, as they have no context left. The query and the pipeline compare
+lines of any word (``WHOLE``).
 
 Method: deletion-neighbourhood join.
 
@@ -46,6 +47,10 @@ from polyweave.llm import sketch as S
 from polyweave.llm import textkit as T
 from polyweave.llm.tables import given_id, land, row_id, set_aside, ship
 
+#: What the query and the pipeline compare: lines of any word up to equality, lines of three or more up to an edit.
+#: A line of one or two words less one would equal lines that share a word or nothing.
+WHOLE = {"min_words": 1, "near_words": 3}
+
 _MASK = (1 << 64) - 1
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in T.BASES)
 
@@ -155,7 +160,7 @@ def rewrite(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all lines dropped."""
     rows, back = set_aside(documents)
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    done = _dedup(rows.select(row_id().alias("doc"), "text", *others), **{"min_words": 3, "near_words": 8, "bits": 27} | options)
+    done = _dedup(rows.select(row_id().alias("doc"), "text", *others), **{"bits": 27} | WHOLE | options)
     left = done.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     made = {"doc_id": given_id("doc"), "text": F.col("kept_text")}
     if "n_chars" in others:
@@ -317,4 +322,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and the SHA-256 of the text kept."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
-    return dedup_lines(documents).select("doc_id", "n_lines", "n_removed", kept)
+    return dedup_lines(documents, **WHOLE).select("doc_id", "n_lines", "n_removed", kept)

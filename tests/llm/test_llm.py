@@ -315,6 +315,40 @@ def test_embeddings_of_rescaled_copies(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == {i: int(n) - 1 for i, n in enumerate((near >= 0.98).sum(axis=1))}
 
 
+def brute_whole_lines(rows):
+    """Lines gone, as (document, line): equal ones of any word, and ones of three words or more within an edit of an earlier one."""
+    seen, full, less, gone = {}, set(), set(), set()
+    for i, t in distinct(rows):
+        for k, line in enumerate((t or "").encode().split(b"\n")):
+            w = tuple(line.translate(LOWER).split())
+            if w and seen.setdefault(w, (i, k)) != (i, k):
+                gone.add((i, k))
+            if 3 <= len(w) < 1000:
+                cuts = [(w[:c] + w[c + 1 :], c) for c in range(len(w))]
+                if (w, None) in less or any(v in less or v[0] in full for v in cuts):
+                    gone.add((i, k))
+                less.update(cuts, ((v, None) for v, _ in cuts))
+                full.add(w)
+    return gone
+
+
+def test_line_dedup_query_on_short_lines(spark, sf, tmp_path):
+    """What op3 and the pipeline's stage leave, of short lines among others."""
+    short = [(1, "One.\na b c\nnew here"), (2, "one.\na b d\nalso new"), (3, "a c\na b c d\nnew here\nlast"), (4, "x y z u v w\nx y u v w\nx z u v\ntwo words"), (5, "two wards")]
+    made = spark.createDataFrame(short, "doc_id long, text string")
+    given = short + [(100 + i, t) for i, t in real(spark, sf)[1]]
+    spark.createDataFrame(given, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    gone, want = brute_whole_lines(given), {}
+    for i, t in given:
+        own = (t or "").split("\n")
+        left = [s for k, s in enumerate(own) if (i, k) not in gone]
+        if any(s.encode().split() for s in left):
+            want[i] = (len(own), len(own) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(given) and {i: got[i] for i in want} == want and got[2][:2] == (3, 2)
+    assert {r.doc_id: r.text for r in line_dedup.rewrite(made, bits=20).collect()} == {1: short[0][1], 2: "also new", 3: "a c\nlast", 4: "x y z u v w\nx z u v\ntwo words", 5: "two wards"}
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
