@@ -7,8 +7,9 @@ document and earlier line). A line of ``near_words`` or more also goes if an
 earlier line of as many words as that turns into it by inserting, deleting or
 replacing one word. Lines are judged on the input, not on what is left. A
 document that loses all its lines of ``min_words`` or more loses the shorter
-ones too, as they have no context left. The query and the pipeline compare
-lines of any word (``WHOLE``).
+ones too if ``orphans`` is set. The query and the pipeline compare lines of any
+word and remove no others (``WHOLE``); the pipeline drops a document of which
+no word is left.
 
 Method: deletion-neighbourhood join.
 
@@ -49,7 +50,7 @@ from polyweave.llm.tables import given_id, land, row_id, set_aside, ship
 
 #: What the query and the pipeline compare: lines of any word up to equality, lines of three or more up to an edit.
 #: A line of one or two words less one would equal lines that share a word or nothing.
-WHOLE = {"min_words": 1, "near_words": 3}
+WHOLE = {"min_words": 1, "near_words": 3, "orphans": False}
 
 _MASK = (1 << 64) - 1
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in T.BASES)
@@ -149,26 +150,26 @@ def _spread(lines: _Lines, chosen: np.ndarray, low: np.ndarray, high: np.ndarray
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 27) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 27, orphans: bool = True) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_removed) for each row of ``documents(doc_id, text)``."""
-    return _dedup(documents.select(row_id().alias("doc"), "text"), min_words, near_words, bits).select(
+    return _dedup(documents.select(row_id().alias("doc"), "text"), min_words, near_words, bits, orphans).select(
         given_id("doc").alias("doc_id"), "kept_text", "n_lines", "n_removed"
     )
 
 
 def rewrite(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all lines dropped."""
+    """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all words dropped."""
     rows, back = set_aside(documents)
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
     done = _dedup(rows.select(row_id().alias("doc"), "text", *others), **{"bits": 27} | WHOLE | options)
-    left = done.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    left = done.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     made = {"doc_id": given_id("doc"), "text": F.col("kept_text")}
     if "n_chars" in others:
         made["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
     return left.select(*(made.get(c, F.col(c)).alias(c) for c in rows.columns)).select(*back)
 
 
-def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataFrame:
+def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, orphans: bool) -> DataFrame:
     """As dedup_lines, over (doc, text) and any columns to carry along."""
     spark = docs.sparkSession
     ship(spark)
@@ -239,7 +240,7 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
                 if gone:
                     drop = set(gone)
                     left = [s for i, s in enumerate(own) if i not in drop]
-                    if not any(len(s.encode().split()) >= min_words for s in left):
+                    if orphans and not any(len(s.encode().split()) >= min_words for s in left):
                         left = []
                     removed.append(len(own) - len(left))
                     kept.append("\n".join(left))

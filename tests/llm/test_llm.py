@@ -349,6 +349,18 @@ def test_line_dedup_query_on_short_lines(spark, sf, tmp_path):
     assert {r.doc_id: r.text for r in line_dedup.rewrite(made, bits=20).collect()} == {1: short[0][1], 2: "also new", 3: "a c\nlast", 4: "x y z u v w\nx z u v\ntwo words", 5: "two wards"}
 
 
+def test_line_dedup_removes_repeats_only(spark, tmp_path):
+    """Lines that occur nowhere earlier stay, whatever else their document loses."""
+    footer = "all rights of this page are reserved"
+    rows = [(1, "first\n" + footer), (2, "oak\nelm tree\n\n" + footer), (3, "\n" + footer + "\n "), (4, footer), (5, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {1: rows[0][1], 2: "oak\nelm tree\n", 3: "\n ", 4: "", 5: ""}
+    want = {(i, len((t or "").split("\n")), int(i in (2, 3, 4)), hashlib.sha256(kept[i].encode()).hexdigest()) for i, t in rows}
+    assert {tuple(r) for r in line_dedup.query(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.rewrite(made, bits=20).collect()} == {1: kept[1], 2: kept[2], 5: None}
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
