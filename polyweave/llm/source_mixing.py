@@ -9,7 +9,8 @@ times as a whole; the rest of the target is a fraction of one more epoch.
 Method: Efraimidis-Spirakis sampling. A document's key is ``-ln(u) / weight``
 with u from a hash of seed and id, and documents enter the fraction in the
 order of their keys until the prefix sum of their words reaches the rest of the
-target; the document at the cut gives only its first words. The keys give each
+target; the document at the cut gives only its first words or, where texts are
+to stay ``entire``, comes whole or not at all, whichever is nearer. The keys give each
 document the chance that its quality weight sets; reruns agree. The weight is
 computed from the text, by the signs in it (``prose``) or, where a model of
 operator 9 is given, by the quality it predicts (``learned``); neither needs a join.
@@ -22,7 +23,7 @@ as DataFrame expressions.
 
 Defined results: a null or blank text has size 0 and nothing is taken of it; a
 null id hashes as the empty text; rows that repeat an id share one key, and
-those at the cut share its words evenly. Columns of the input that have one of
+those at the cut share its words evenly (entire: come all or none). Columns of the input that have one of
 the added names are replaced.
 """
 
@@ -82,7 +83,7 @@ def learned(score: str) -> Column:
     return F.pow(F.lit(4.0), 2 * F.round(score, 4) - 1)  # rounded, as the score is computed twice and both keys have to agree
 
 
-def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total: float = 1.5, cap: float = 2.0, entire: bool = False) -> DataFrame:
     """``documents`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
     ``weight`` is the positive sampling weight of a row, by default the prose weight of its text.
@@ -107,6 +108,8 @@ def mix(documents: DataFrame, weight: Column | None = None, seed: int = 8, total
     upto = F.col("base") + F.sum("words").over(Window.partitionBy("s").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     at = near.withColumn("upto", upto).where("upto > rest and upto - words <= rest and words > 0")
     left = F.floor((F.col("rest") - F.col("upto") + F.col("words")) / F.col("n")).cast("long")
+    if entire:
+        left = F.when(2 * (F.col("rest") - F.col("upto") + F.col("words")) >= F.col("words"), F.lit((1 << 63) - 1)).otherwise(F.lit(0)).cast("long")
     at = at.groupBy("s").agg(F.min(F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), left.alias("left"))).alias("cut"))
     plan = plan.join(at, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "cut")
     plan = land(plan, "mix-cuts")
@@ -136,12 +139,12 @@ def taken_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def mixture(documents: DataFrame, model: quality.Model | None = None, **options) -> DataFrame:
-    """The rows of the mix of ``documents``, with the columns given; sampled by what ``model`` predicts of the texts, if given."""
+    """The rows of the mix of ``documents``, each text entire, with the columns given; sampled by what ``model`` predicts of the texts, if given."""
     rows, back = set_aside(documents)
     columns = rows.columns
     if model is not None:
         rows, options = quality.score(rows, model), {"weight": learned("score")} | options
-    return taken_rows(mix(rows, **options), columns).select(*back)
+    return taken_rows(mix(rows, **{"entire": True} | options), columns).select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -361,6 +361,22 @@ def test_line_dedup_removes_repeats_only(spark, tmp_path):
     assert {r.doc_id: r.text for r in line_dedup.rewrite(made, bits=20).collect()} == {1: kept[1], 2: kept[2], 5: None}
 
 
+def test_mixture_holds_entire_texts(spark):
+    """No text of the mix is cut, and a source misses its target by half the document at its cut at most."""
+    rows = [(i, "\n".join(prose(100 * i + k, 5 + i) for k in range(1 + i % 4)), "ab"[i % 2], i) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int").repartition(3)
+    got = source_mixing.mixture(made)
+    assert got.columns == made.columns
+    got = got.collect()
+    assert {tuple(r) for r in got} <= set(rows)
+    target = {r.source: r.target for r in source_mixing.mix(made).collect()}
+    for s in "ab":
+        taken = sum(len(r.text.split()) for r in got if r.source == s)
+        assert abs(taken - target[s]) <= max(len(t.split()) for _, t, x, _ in rows if x == s) / 2 + 1
+    one = spark.createDataFrame([(1, prose(1, 99), "a"), (2, "few words", "b")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.size, r.taken) for r in source_mixing.mix(one, entire=True).collect()} <= {(1, 99, 0), (1, 99, 99), (1, 99, 198), (2, 2, 2), (2, 2, 4)}
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
