@@ -16,7 +16,7 @@ the partition that tokenizes, and over the partitions before it, per source.
 
 The ids are written once as a table (two bytes an id) and read once; documents
 are not shuffled. Words are tokenized once per worker and kept (``KEEP`` of
-them at most, then anew): the tokenizer splits at white space and at each
+them, or those of one slice of text if more, then anew): the tokenizer splits at white space and at each
 change between letters, digits and other signs, so a text's ids are those of
 its parts.
 
@@ -107,8 +107,6 @@ class Words:
         return np.where(self.keys[k] == keys, k, -1)
 
     def learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > KEEP:
-            self.clear()
         found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
         n = np.array([len(x) for x in found], np.int64)
         at = len(self.ids) + np.cumsum(n) - n
@@ -122,13 +120,13 @@ class Words:
         hashes = T.word_hashes(T.LOWER[raw], begin, stop)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if (new := np.flatnonzero(self.find(keys) < 0)).size:
-            before = len(self.keys)
+            if len(self.keys) + len(new) > KEEP:  # anew, with all parts of this slice, however many
+                self.clear()
+                new = np.arange(len(keys))
             data = raw.tobytes()
             self.learn(keys[new], [data[begin[i] : stop[i]] for i in first[new]])
-            if len(self.keys) < before + len(new):  # started anew: the rest of this slice is needed too
-                rest = np.flatnonzero(self.find(keys) < 0)
-                self.learn(keys[rest], [data[begin[i] : stop[i]] for i in first[rest]]) if rest.size else None
         place = self.find(keys)[back]
+        assert (place >= 0).all(), "a word part has no ids"
         n, at = self.n[place], self.at[place]
         ends = np.concatenate(([0], np.cumsum(n)))
         return self.ids[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])], ends[rows]

@@ -377,6 +377,17 @@ def test_mixture_holds_entire_texts(spark):
     assert {(r.doc_id, r.size, r.taken) for r in source_mixing.mix(one, entire=True).collect()} <= {(1, 99, 0), (1, 99, 99), (1, 99, 198), (2, 2, 2), (2, 2, 4)}
 
 
+def test_packing_of_more_words_than_kept(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KEEP", 8)
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("one two three", "one two three " + " ".join(f"word{chr(97 + i)}" for i in range(20)), "three more", "", prose(3, 50)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, rows = words.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids and rows.tolist() == [0, len(ids)]
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
