@@ -2,35 +2,44 @@
 
 A line is a piece of the text between newlines; its words are lower-cased (A-Z)
 runs of bytes outside 0x20 and 0x09-0x0D. A line of ``min_words`` words or more
-goes if an equal line starts earlier in the corpus (smaller id, or same
-document and earlier line). A line of ``near_words`` or more also goes if an
-earlier line of as many words as that turns into it by inserting, deleting or
-replacing one word. Lines are judged on the input, not on what is left. A
-document that loses all its lines of ``min_words`` or more loses the shorter
-ones too if ``orphans`` is set. The query and the pipeline compare lines of any
-word and remove no others (``WHOLE``); the pipeline drops a document of which
-no word is left.
+(1: any that is not blank) goes if an equal line starts earlier in the corpus:
+in a document with a smaller id, or in the same document above it. A line of
+``near_words`` words or more also goes if an earlier line of as many words as
+that turns into it by inserting, deleting or replacing one word. By default
+that is 3, as any two lines of one word are an edit apart, and any two of two
+words that share one; 1 compares all lines so. Lines are judged on the input,
+not on what is left, and no others are removed.
 
 Method: deletion-neighbourhood join.
 
 1. An edit of one word leaves the first or the second half of a line intact.
    Each line enters its halves (in the lengths that an equally long, shorter
    or longer partner would use) into a sketch that counts distinct lines per
-   cell, so that exact copies do not count. This loses no pair.
-2. Lines with a half that another line may share are written out as candidates.
-   Their variants are the line itself and the line less one word, for the words
-   of the half opposite the shared one; a second sketch counts the variants'
-   keys, and keys that are certainly unique are not emitted. Lines less the
-   word at the same place that have equal keys differ in that word only; a line
-   whose own key equals another's variant is that one less a word. Within a
-   batch only the earliest line of equal keys goes on.
-3. Equal keys meet in one shuffle; every later line gets the earliest as its
-   witness. The pair is then verified on the words themselves.
-4. The marks of a document meet its text in one join.
+   cell, so that exact copies do not count, and itself into another row of it.
+   This loses no pair. Lines that certainly have neither a copy nor a half that
+   another line may share are done.
+2. Equal lines are settled first: the smallest place of each group, by partial
+   aggregation, joined back to the group's rows, one per batch. All but the
+   earliest line of a group go; only the earliest takes part in what follows, as
+   any other copy goes anyway and the earliest can witness for it.
+3. The variants of a line are its words less one (key: the words left and the
+   place of the gap) and, for a partner with a word more, its words with a gap
+   (key: all words and the place), for the places in the half opposite a shared
+   one. Two lines with an equal variant are an edit apart. A second sketch counts
+   the variants' keys, and keys that are certainly unique are not emitted;
+   within a batch only the earliest line of an equal key goes on.
+4. Equal keys meet: the smallest place per key, joined back; every later line
+   gets an earlier one as its witness. The pair is then verified on the words.
+5. The marks of a document meet its text in one join.
+
+Both joins are of a group's rows with one row per group, so adaptive execution
+can split the rows of a hot line or variant. ``bits`` sets the cells of the
+sketches; by default they follow the size of the input up to 2^27.
 
 Defined results: a null or empty text has one empty line and is kept; a null id
-counts as the largest; rows that repeat an id are the same document. Other
-columns are ignored.
+counts as the largest; rows that repeat an id, null included, are documents of
+their own, in the order of a 63-bit hash of their texts, and the same document
+only if their texts are equal too. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,32 +48,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from polyweave.llm import arrowkit as A
 from polyweave.llm import sketch as S
 from polyweave.llm import textkit as T
-from polyweave.llm.tables import given_id, land, row_id, set_aside, ship
-
-#: What the query and the pipeline compare: lines of any word up to equality, lines of three or more up to an edit.
-#: A line of one or two words less one would equal lines that share a word or nothing.
-WHOLE = {"min_words": 1, "near_words": 3, "orphans": False}
+from polyweave.llm.tables import keyed, land, set_aside, ship
 
 _MASK = (1 << 64) - 1
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in T.BASES)
 
-_LINES = pa.schema([
-    ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("repeat", pa.bool_()),
-    ("words", pa.string()), ("low", pa.bool_()), ("high", pa.bool_()), *S.PARTIAL_FIELDS,
-])
-_LINES_SQL = f"k1 long, k2 long, doc long, line int, repeat boolean, words string, low boolean, high boolean, {S.PARTIAL}"
-_KEYS = pa.schema([
-    ("v1", pa.int64()), ("v2", pa.int64()), ("cut", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("wdoc", pa.int64()), ("wline", pa.int32()),
-])
-_KEYS_SQL = "v1 long, v2 long, cut int, doc long, line int, wdoc long, wline int"
-_OUT = pa.schema([("doc", pa.int64()), ("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
+#: A line's place in the corpus.
+AT = ["doc", "tag", "line"]
+_AT = [("doc", pa.int64()), ("tag", pa.int64()), ("line", pa.int32())]
+_BY = [("wdoc", pa.int64()), ("wtag", pa.int64()), ("wline", pa.int32())]
+
+_LINES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), *_AT, ("repeat", pa.bool_()), ("alone", pa.bool_()), ("sides", pa.int32()), ("words", pa.string())])
+_LINES_SQL = "k1 long, k2 long, doc long, tag long, line int, repeat boolean, alone boolean, sides int, words string"
+_KEYS = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), *_AT, *_BY])
+_KEYS_SQL = "v1 long, v2 long, doc long, tag long, line int, wdoc long, wtag long, wline int"
+
+#: Halves of a line whose words may be left out (in front, at the end), and those that may have a gap; bits of ``sides``.
+_CUT_LOW, _CUT_HIGH, _GAP_LOW, _GAP_HIGH = 1, 2, 4, 8
+
+#: Rows of the first sketch: two for halves, one for entire lines.
+_HALF, _WHOLE = (0, 1), (2,)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -129,198 +139,196 @@ def _within_one(x: list[bytes], y: list[bytes]) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [_within_one(x.encode().split(), y.encode().split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        ok = [_within_one(x.encode().split(), y.encode().split()) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        yield b.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, _Lines]]:
-    ids = A.ints(b.column(0))
-    raw, offsets = T.text_buffer(b.column(1))
+def _slices(b: pa.RecordBatch, text: int) -> Iterator[tuple[int, _Lines]]:
+    """First row and lines of every slice."""
+    raw, offsets = T.text_buffer(b.column(text))
     for lo, hi in T.slices(offsets):
-        yield ids[lo:hi], _Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-
-
-def _spread(lines: _Lines, chosen: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and place of each word to leave out: those below half and from half on, where asked."""
-    n = lines.n[chosen]
-    start = np.where(low, 0, n // 2)
-    stop = np.where(high, n, n // 2)
+        yield lo, _Lines(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def _earliest(doc: np.ndarray, tag: np.ndarray, line: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by keys and place, where in it a key begins, and the number of each row's earliest row of equal keys, both in that order."""
+    order = np.lexsort((line, tag, doc, *reversed(keys)))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, new, order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+
+
+def _profile(planes: S.Planes, b: pa.RecordBatch, min_words: int, near_words: int) -> Iterator[pa.RecordBatch]:
+    """The lines of a batch that may have a copy or a near line, the latter with their words."""
+    docs, tags = A.ints(b.column(0)), A.ints(b.column(1))
+    found, words = [], []
+    for lo, lines in _slices(b, 2):
+        own = np.flatnonzero(lines.n >= min_words)
+        if not len(own):
+            continue
+        n = lines.n[own]
+        k1, k2 = (lines.part(own, np.zeros(len(own), np.int64), n, h) for h in (0, 1))
+        copied = planes.repeated(k1, _WHOLE)
+        heads, tails = (np.stack([planes.repeated(k, _HALF) for k in keys]) for keys in lines.halves(own))
+        even = n % 2 == 0  # which of the two keys is the line's own half; the longer ones are those of a partner with a word more
+        sides = np.where(even, tails[0], tails[1]) * _CUT_LOW + np.where(even, heads[1], heads[0]) * _CUT_HIGH + tails[1] * _GAP_LOW + heads[1] * _GAP_HIGH
+        sides[n < near_words] = 0
+        use = np.flatnonzero(copied | (sides > 0))
+        row = lo + lines.row[own[use]]
+        found.append((docs[row], tags[row], lines.number[own[use]].astype(np.int32), k1[use].view(np.int64), k2[use].view(np.int64), ~copied[use], sides[use].astype(np.int32)))
+        words += [lines.words(own[i]) if sides[i] else None for i in use.tolist()]
+    if not found:
+        return
+    doc, tag, line, k1, k2, alone, sides = (np.concatenate(x) for x in zip(*found))
+    order, new, head = _earliest(doc, tag, line, k1, k2, alone)
+    same = ~new & ((doc[order] != doc[head]) | (tag[order] != tag[head]) | (line[order] != line[head]))
+    keep = order[new | same]  # a repeated row of the table is one document
+    repeat = same[new | same]
+    given = [None if r else words[i] for i, r in zip(keep.tolist(), repeat.tolist())]
+    yield A.batch(_LINES, k1[keep], k2[keep], doc[keep], tag[keep], line[keep], repeat, alone[keep], sides[keep], given)
+
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of each number from ``start`` up to ``stop``."""
     count = np.maximum(stop - start, 0)
-    owner = np.repeat(np.arange(len(chosen)), count)
+    owner = np.repeat(np.arange(len(count)), count)
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8, bits: int = 27, orphans: bool = True) -> DataFrame:
+def _variant_keys(lines: _Lines, sides: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of each variant: words less one, then words with a gap."""
+    n, has = lines.n, lambda side: (sides & side) != 0
+    owner, cut = _spread(np.where(has(_CUT_LOW), 0, n // 2), np.where(has(_CUT_HIGH), n, n // 2))
+    holder, gap = _spread(np.where(has(_GAP_LOW), 0, (n + 1) // 2), np.where(has(_GAP_HIGH), n + 1, (n + 1) // 2))
+    whole = lines.part(np.arange(len(n)), np.zeros(len(n), np.int64), n, h)
+    keys = np.concatenate((lines.without(owner, cut, h), whole[holder]))
+    return np.concatenate((owner, holder)), T.mix64(keys ^ T.mix64(np.concatenate((cut, gap)).astype(np.uint64) + np.uint64(1)))
+
+
+def _variants(b: pa.RecordBatch, planes: S.Planes) -> Iterator[pa.RecordBatch]:
+    """Keys of the variants that another line may have; lines that met in the batch go as a pair with their witness."""
+    found = []
+    for lo, lines in _slices(b, 4):
+        rows = slice(lo, lo + len(lines.n))
+        owner, v1 = _variant_keys(lines, A.ints(b.column(3))[rows], 0)
+        met = np.flatnonzero(planes.repeated(v1))
+        found.append((owner[met] + lo, v1[met].view(np.int64), _variant_keys(lines, A.ints(b.column(3))[rows], 1)[1][met].view(np.int64)))
+    if not found:
+        return
+    owner, v1, v2 = (np.concatenate(x) for x in zip(*found))
+    doc, tag, line = (A.ints(b.column(i)) for i in range(3))
+    order, new, head = _earliest(doc[owner], tag[owner], line[owner], v1, v2)
+    goes = order[new]
+    none = [None] * len(goes)
+    yield A.batch(_KEYS, v1[goes], v2[goes], doc[owner[goes]], tag[owner[goes]], line[owner[goes]], none, none, none)
+    later, witness = owner[order[~new]], owner[head[~new]]
+    other = (doc[later] != doc[witness]) | (tag[later] != tag[witness]) | (line[later] != line[witness])
+    later, witness = np.unique(np.stack((later, witness))[:, other], axis=1)
+    none = [None] * len(later)
+    yield A.batch(_KEYS, none, none, doc[later], tag[later], line[later], doc[witness], tag[witness], line[witness])
+
+
+def dedup_lines(documents: DataFrame, min_words: int = 1, near_words: int = 3, bits: int | None = None) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_removed) for each row of ``documents(doc_id, text)``."""
-    return _dedup(documents.select(row_id().alias("doc"), "text"), min_words, near_words, bits, orphans).select(
-        given_id("doc").alias("doc_id"), "kept_text", "n_lines", "n_removed"
-    )
+    rows = keyed(documents, F.col("doc_id").alias("_id"))
+    return _dedup(rows, min_words, near_words, bits or _bits(documents)).select(F.col("_id").alias("doc_id"), "kept_text", "n_lines", "n_removed")
 
 
-def rewrite(documents: DataFrame, **options) -> DataFrame:
+def rewrite(documents: DataFrame, min_words: int = 1, near_words: int = 3, bits: int | None = None) -> DataFrame:
     """``documents`` with the repeated lines gone from ``text``, ``n_chars`` to match, and documents that lost all words dropped."""
     rows, back = set_aside(documents)
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    done = _dedup(rows.select(row_id().alias("doc"), "text", *others), **{"bits": 27} | WHOLE | options)
+    done = _dedup(keyed(rows, F.col("doc_id").alias("_id"), *others), min_words, near_words, bits or _bits(documents))
     left = done.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    made = {"doc_id": given_id("doc"), "text": F.col("kept_text")}
+    made = {"doc_id": F.col("_id"), "text": F.col("kept_text")}
     if "n_chars" in others:
         made["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
     return left.select(*(made.get(c, F.col(c)).alias(c) for c in rows.columns)).select(*back)
 
 
-def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int, orphans: bool) -> DataFrame:
-    """As dedup_lines, over (doc, text) and any columns to carry along."""
+def _bits(documents: DataFrame) -> int:
+    return S.bits_for(documents, 4, 27)
+
+
+def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataFrame:
+    """As dedup_lines, over (doc, tag, text) and any columns to carry along."""
+    if not 1 <= min_words <= near_words:
+        raise ValueError("lines within an edit have to be among those that are compared at all")
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select("doc", "text")
+    texts = docs.select("doc", "tag", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = S.TagCounter(bits)
+        halves, wholes = S.TagCounter(bits), S.Counter(bits, 3, first=2)
         for b in batches:
-            for _, lines in _slices(b):
+            for _, lines in _slices(b, 0):
+                own = np.flatnonzero(lines.n >= min_words)
+                yield from wholes.add(lines.part(own, np.zeros(len(own), np.int64), lines.n[own], 0))
                 near = np.flatnonzero(lines.n >= near_words)
-                if not len(near):
-                    continue
                 tags = lines.part(near, np.zeros(len(near), np.int64), lines.n[near], 1) | np.uint64(1)
                 for keys in np.concatenate(lines.halves(near)):
-                    yield from counter.add(keys, tags)
-        yield from counter.rows()
+                    yield from halves.add(keys, tags)
+        yield from halves.rows()
+        yield from wholes.rows()
+
+    first = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 3))
+    table = land(texts.mapInArrow(lambda it: (x for b in it for x in _profile(first.value, b, min_words, near_words)), _LINES_SQL), "lines")
+    first.destroy()
+
+    # equal lines: a row per line and batch at most
+    place = F.struct(*AT)
+    copied = table.where("not repeat and not alone").select("k1", "k2", *AT, "sides", "words")
+    earliest = copied.groupBy("k1", "k2").agg(F.min(place).alias("first"))
+    settled = copied.join(earliest, ["k1", "k2"]).withColumn("later", place > F.col("first"))
+    settled = land(settled.where("later or words is not null").select(*AT, "sides", F.when(~F.col("later"), F.col("words")).alias("words"), "later"), "settled")
+    gone = settled.where("later").select(*AT).union(table.where("repeat").select(*AT))
 
-    planes = spark.sparkContext.broadcast(S.merge(texts.mapInArrow(count, S.PARTIAL), bits, 2))
+    # lines within an edit: a row per variant, line and batch at most
+    columns = [*AT, "sides", "words"]
+    near = table.where("alone and not repeat and words is not null").select(*columns).union(settled.where("words is not null").select(*columns))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = S.Counter(bits - 1, 2)
         for b in batches:
-            for ids, lines in _slices(b):
-                found, keys = _profile(planes.value, ids, lines, min_words, near_words)
-                yield from found
-                yield from map(_sketch_rows, counter.add(keys))
-        yield from map(_sketch_rows, counter.rows())
-
-    table = land(texts.mapInArrow(candidates, _LINES_SQL), "lines")
-    partial = table.select("block", "cells", "counts", "tags")
-    shared = spark.sparkContext.broadcast(S.merge(partial, bits - 1, 2))
-    table = table.where("block is null")
-    place = F.struct("doc", "line")
-
-    # equal lines: a row per line and slice at most
-    first = F.min(place).over(Window.partitionBy("k1", "k2"))
-    exact = table.where("not repeat").select("doc", "line", first.alias("first"))
-    gone = exact.where(place > F.col("first")).select("doc", "line").union(table.where("repeat").select("doc", "line"))
+            for lo, lines in _slices(b, 4):
+                yield from counter.add(_variant_keys(lines, A.ints(b.column(3))[lo : lo + len(lines.n)], 0)[1])
+        yield from counter.rows()
 
-    # lines within an edit: a row per variant, line and batch at most
-    near = table.where("words is not null").select("doc", "line", "words", "k1", "k2", "low", "high")
-    keys = near.mapInArrow(lambda it: _variants(it, shared.value), _KEYS_SQL)
-    at = F.struct("doc", "line")
-    of = Window.partitionBy("v1", "v2")
-    whole, less = F.when(F.col("cut") == -1, at), F.when(F.col("cut") >= 0, at)
-    same = F.min(at).over(Window.partitionBy("v1", "v2", "cut"))
-    met = keys.select("doc", "line", "cut", "wdoc", "wline", F.min(whole).over(of).alias("whole"), F.min(less).over(of).alias("less"), same.alias("same"))
-    known = F.when(F.col("wdoc").isNotNull(), F.struct(F.col("wdoc").alias("doc"), F.col("wline").alias("line")))
-    by = F.coalesce(known, F.when(F.col("cut") == -1, F.col("less")).otherwise(F.least(F.col("whole"), F.col("same"))))
-    met = met.select("doc", "line", by.alias("by")).where(F.col("by") < at)
-    pairs = met.groupBy("doc", "line").agg(F.min("by").alias("by")).select("doc", "line", F.col("by.doc").alias("wdoc"), F.col("by.line").alias("wline"))
-    words = near.select("doc", "line", "words")
-    other = words.select(F.col("doc").alias("wdoc"), F.col("line").alias("wline"), F.col("words").alias("earlier"))
-    pairs = pairs.join(words, ["doc", "line"]).join(other, ["wdoc", "wline"]).select("doc", "line", "words", "earlier")
-    gone = gone.union(pairs.mapInArrow(_verify, "doc long, line int"))
-
-    marks = gone.groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    columns = [c for c in docs.columns if c not in ("doc", "text")]
+    second = spark.sparkContext.broadcast(S.merge(near.mapInArrow(count_variants, S.PARTIAL), bits - 1, 2))
+    keys = land(near.mapInArrow(lambda it: (x for b in it for x in _variants(b, second.value)), _KEYS_SQL), "variants")
+    second.destroy()
+    best = keys.where("wdoc is null").groupBy("v1", "v2").agg(F.min(place).alias("by"))
+    met = keys.where("wdoc is null").join(best, ["v1", "v2"]).where(F.col("by") < place).select(*AT, "by")
+    known = keys.where("wdoc is not null").select(*AT, F.struct(F.col("wdoc").alias("doc"), F.col("wtag").alias("tag"), F.col("wline").alias("line")).alias("by"))
+    pairs = met.union(known).groupBy(*AT).agg(F.min("by").alias("by"))
+    pairs = pairs.select(*AT, F.col("by.doc").alias("wdoc"), F.col("by.tag").alias("wtag"), F.col("by.line").alias("wline"))
+    words = near.select(*AT, "words")
+    other = words.select(F.col("doc").alias("wdoc"), F.col("tag").alias("wtag"), F.col("line").alias("wline"), F.col("words").alias("earlier"))
+    pairs = pairs.join(words, AT).join(other, ["wdoc", "wtag", "wline"]).select(*AT, "words", "earlier")
+    gone = gone.union(pairs.mapInArrow(_verify, "doc long, tag long, line int"))
+
+    marks = gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("gone"))
+    columns = [c for c in docs.columns if c not in ("doc", "tag", "text")]
     fields = [f for f in docs.schema if f.name in columns]
-    schema = StructType([*StructType.fromDDL("doc long, kept_text string, n_lines long, n_removed long"), *fields])
+    schema = StructType([*StructType.fromDDL("kept_text string, n_lines long, n_removed long"), *fields])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n, removed = [], [], []
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = (text or "").split("\n")
+            for text, gone in zip(b.column(0), b.column(1)):
+                own = (text.as_py() or "").split("\n")
                 n.append(len(own))
-                if gone:
-                    drop = set(gone)
-                    left = [s for i, s in enumerate(own) if i not in drop]
-                    if orphans and not any(len(s.encode().split()) >= min_words for s in left):
-                        left = []
-                    removed.append(len(own) - len(left))
-                    kept.append("\n".join(left))
-                else:
-                    removed.append(0)
-                    kept.append(text)
-            made = A.batch(_OUT, b.column(0), kept, n, removed)
-            yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[3:]], names=[*_OUT.names, *columns])
-
-    out = docs.join(marks, "doc", "left").select("doc", "text", "gone", *columns)
-    return out.mapInArrow(keep, schema)
-
+                drop = set(gone.as_py()) if gone.is_valid else ()
+                removed.append(len(drop))
+                kept.append("\n".join(s for i, s in enumerate(own) if i not in drop) if drop else text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *b.columns[2:]], names=[f.name for f in schema])
 
-def _sketch_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
-    none = [None] * rows.num_rows
-    return A.batch(_LINES, *[none] * 8, *rows.columns)
-
-
-def _profile(planes: S.Planes, ids: np.ndarray, lines: _Lines, min_words: int, near_words: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
-    """The lines of a slice, with their words where a near line may exist, and the keys of the latter's variants."""
-    own = np.flatnonzero(lines.n >= min_words)
-    if not len(own):
-        return [], np.zeros(0, np.uint64)
-    zero = np.zeros(len(own), np.int64)
-    k1, k2 = (lines.part(own, zero, lines.n[own], h).view(np.int64) for h in (0, 1))
-    doc, number = ids[lines.row[own]], lines.number[own]
-    order = np.lexsort((number, doc, k2, k1))
-    own, k1, k2, doc, number = own[order], k1[order], k2[order], doc[order], number[order]
-    new = np.ones(len(own), dtype=bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    repeat = (doc != doc[head]) | (number != number[head])
-
-    near = np.flatnonzero(new & (lines.n[own] >= near_words))
-    heads, tails = lines.halves(own[near])
-    heads, tails = (np.stack([planes.repeated(k) for k in keys]) for keys in (heads, tails))
-    may = heads.any(axis=0) | tails.any(axis=0)
-    near, low, high = near[may], np.zeros(len(own), bool), np.zeros(len(own), bool)
-    even = lines.n[own[near]] % 2 == 0  # which of the two keys is the line's own half
-    low[near], high[near] = np.where(even, tails[0][may], tails[1][may]), np.where(even, heads[1][may], heads[0][may])
-    words: list[bytes | None] = [None] * len(own)
-    for i in near.tolist():
-        words[i] = lines.words(own[i])
-    owner, place = _spread(lines, own[near], low[near], high[near])
-    keys = np.concatenate((lines.without(own[near][owner], place, 0), k1[near].view(np.uint64)))
-    none = [None] * len(own)
-    return [A.batch(_LINES, k1, k2, doc, number.astype(np.int32), repeat, words, low, high, none, none, none, none)], keys
-
-
-def _variants(batches: Iterator[pa.RecordBatch], planes: S.Planes) -> Iterator[pa.RecordBatch]:
-    """Repeated keys of the candidates: less one word (cut: which) and whole (cut -1); pairs met within the batch (cut -2)."""
-    for b in batches:
-        doc, number, k1, k2, low, high = (A.ints(b.column(i)) for i in (0, 1, 3, 4, 5, 6))
-        raw, offsets = T.text_buffer(b.column(2))
-        lines = _Lines(raw, offsets)
-        every = np.arange(len(doc))
-        owner, place = _spread(lines, every, low, high)
-        x1 = lines.without(owner, place, 0)
-        met = planes.repeated(x1)
-        owner, place, x1 = owner[met], place[met].astype(np.int32), x1[met].view(np.int64)
-        x2 = lines.without(owner, place, 1).view(np.int64)
-        order = np.lexsort((number[owner], doc[owner], place, x2, x1))  # of equal keys only the earliest line goes on
-        owner, place, x1, x2 = owner[order], place[order], x1[order], x2[order]
-        new = np.ones(len(owner), dtype=bool)
-        new[1:] = (x1[1:] != x1[:-1]) | (x2[1:] != x2[:-1]) | (place[1:] != place[:-1])
-        earliest = owner[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(owner) else owner
-        later = (doc[owner] != doc[earliest]) | (number[owner] != number[earliest])
-        goes, none = owner[new], [None] * int(new.sum())
-        yield A.batch(_KEYS, x1[new], x2[new], place[new], doc[goes], number[goes], none, none)
-        pair = np.unique(np.stack((owner[later], earliest[later])), axis=1)
-        spread = T.mix64(doc[pair[0]].view(np.uint64) ^ number[pair[0]].astype(np.uint64)).view(np.int64)
-        fixed = np.full(len(spread), -2, np.int32)
-        yield A.batch(_KEYS, spread, spread, fixed, doc[pair[0]], number[pair[0]], doc[pair[1]], number[pair[1]])
-        whole = every[planes.repeated(k1.view(np.uint64))]
-        none = [None] * len(whole)
-        yield A.batch(_KEYS, k1[whole], k2[whole], np.full(len(whole), -1, np.int32), doc[whole], number[whole], none, none)
+    out = docs.join(marks, ["doc", "tag"], "left").select("text", "gone", *columns)
+    return out.mapInArrow(keep, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and the SHA-256 of the text kept."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
-    return dedup_lines(documents, **WHOLE).select("doc_id", "n_lines", "n_removed", kept)
+    return dedup_lines(documents).select("doc_id", "n_lines", "n_removed", kept)

@@ -7,11 +7,12 @@ one per cell of the first row that says "very many", is broadcast. The broadcast
 has a fixed size of ``(depth + 1) * 2**bits / 8`` bytes at most whatever the
 corpus, as has what the driver gathers; a larger corpus makes the
 estimates larger, never smaller, so users of the sketch lose nothing and only
-pass on more rows. Choose ``bits`` with the corpus: about one cell per key.
+pass on more rows. ``bits_for`` chooses ``bits`` with the corpus, up to a bound.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,12 @@ _MERGED = pa.schema([("block", pa.int32()), ("many", pa.binary()), ("heavy", pa.
 _GATHER = 1 << 22
 
 
+def bits_for(rows: DataFrame, bytes_per_cell: float, most: int, least: int = 16) -> int:
+    """Bits of a sketch with a cell for so many bytes of ``rows``, as the plan estimates their size."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(math.ceil(math.log2(max(size / bytes_per_cell, 1))), least), most)
+
+
 def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Cell of every key in one row of the sketch."""
     salt = np.uint64(((row + 1) * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1))
@@ -42,10 +49,10 @@ def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 class Counter:
-    """Partition sketch of one task."""
+    """Partition sketch of one task: the rows of a sketch from ``first`` up to ``depth``."""
 
-    def __init__(self, bits: int, depth: int):
-        self.bits, self.depth, self.keys, self.held = bits, depth, [], 0
+    def __init__(self, bits: int, depth: int, first: int = 0):
+        self.bits, self.first, self.depth, self.keys, self.held = bits, first, depth, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)
@@ -53,13 +60,13 @@ class Counter:
         if self.held >= _GATHER:
             yield from self.rows()
 
-    def rows(self, first: int = 0) -> Iterator[pa.RecordBatch]:
-        """What was gathered, as rows, from one row of the sketch on; counts stop at 255."""
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """What was gathered, as rows; counts stop at 255."""
         if not self.held:
             return
         keys = np.concatenate(self.keys)
         self.keys, self.held = [], 0
-        for row in range(first, self.depth):
+        for row in range(self.first, self.depth):
             cells = np.sort(cells_of(keys, row, self.bits).astype(np.uint32))
             new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             counts = np.minimum(np.diff(np.append(new, len(cells))), 255).astype(np.uint8)
@@ -92,9 +99,9 @@ class TagCounter:
             return
         keys, tags = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.held = [], 0
-        plain = Counter(self.bits, 2)
+        plain = Counter(self.bits, 2, first=1)
         plain.keys, plain.held = [keys], len(keys)
-        yield from plain.rows(first=1)
+        yield from plain.rows()
         cells = cells_of(keys, 0, self.bits)
         order = np.lexsort((tags, cells))
         cells, tags = cells[order], tags[order]
@@ -119,10 +126,10 @@ class Planes:
         self.many = np.zeros((depth, max(1 << bits, BLOCK) >> 3), dtype=np.uint8)
         self.heavy: np.ndarray | None = None
 
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key is estimated to have been counted twice or more."""
+    def repeated(self, keys: np.ndarray, rows: tuple[int, ...] | None = None) -> np.ndarray:
+        """Whether each key is estimated to have been counted twice or more, by all rows of the sketch or those given."""
         out = np.ones(len(keys), dtype=bool)
-        for row in range(self.depth):
+        for row in range(self.depth) if rows is None else rows:
             cells = cells_of(keys, row, self.bits)
             out &= (self.many[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 != 0
         return out

@@ -2,8 +2,13 @@
 
 An intermediate result that several jobs use, or that would be costly to
 compute again after an executor is lost, is written as Parquet below the folder
-that the session names in ``spark.checkpoint.dir``. Only where that setting is
-empty (a local test) a folder of this machine is used instead.
+that the session names in ``spark.checkpoint.dir``. Only on a local master that
+names none (a test) a folder of this machine is used instead; a cluster without
+a shared folder is an error, as each executor would write to a disk of its own.
+
+The tables of an application are in one folder. They are read as long as a
+result that was made of them is, so no operator deletes them: ``clear`` does,
+once the results are written.
 """
 
 from __future__ import annotations
@@ -23,13 +28,15 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables."""
+    """Folder for the intermediate tables of this application."""
     global _local
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         _local = _local or tempfile.mkdtemp(prefix="polyweave-")
         where = f"file://{_local}"
-    return f"{where.rstrip('/')}/polyweave"
+    return f"{where.rstrip('/')}/polyweave/{spark.sparkContext.applicationId}"
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +46,23 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has landed; results that were not written out can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(documents: DataFrame, *columns: str) -> DataFrame:
+    """``documents`` with the key of each row: ``doc``, its id (NO_ID for null), and ``tag``, 63 bits of hash of its text.
+
+    Rows that repeat an id, null ids among them, are documents of their own unless their texts are equal too.
+    Keys are in the order of ids, null last, then of tags; those of null ids are not negative.
+    """
+    tag = F.xxhash64(F.col("text")).bitwiseAND(F.lit((1 << 63) - 1))
+    tag = F.when(F.col("doc_id").isNull(), tag).otherwise(tag.bitwiseOR(F.lit(-(1 << 63))))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), "text", *columns)
+
+
 def row_id(name: str = "doc_id") -> Column:
     """The id column as a long, with NO_ID for null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
