@@ -19,15 +19,16 @@ Method: a count-min prefilter, then exact grouping.
    and a scan over the sorted rows marks all but the earliest.
 3. The marks of a document meet its text in one join.
 
-The sketch has ``2 * 2**bits`` cells; 27 bits suit some ten GB of text. With
-more text for its size it passes on more windows, up to all; results do not
-change. Shuffled are the windows passed on (about 25 bytes each), the marks and
+The sketch has ``2 * 2**bits`` cells; by default ``bits`` follows the size of
+the input up to 27, which suits some ten GB of text. With more text for its
+size it passes on more windows, up to all; results do not change. Shuffled are the windows passed on (about 25 bytes each), the marks and
 the text once.
 
 Defined results: a null or empty text has no words and keeps the empty string;
 a document of fewer than ``window`` words keeps all; a null id counts as the
-largest; rows that repeat an id are the same document, and marks of that id
-apply to each of them. Other columns are ignored.
+largest; rows that repeat an id, null included, are documents of their own, in
+the order of a 63-bit hash of their texts, and the same document only if their
+texts are equal too. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ from pyspark.sql import functions as F
 from polyweave.llm import arrowkit as A
 from polyweave.llm import sketch as S
 from polyweave.llm import textkit as T
-from polyweave.llm.tables import given_id, row_id, ship
+from polyweave.llm.tables import keyed, ship
 
-_ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-_MARKS = pa.schema([("doc", pa.int64()), ("span", pa.int64())])
-_OUT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
+_ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
 
 def _anchors(hashes: np.ndarray, row: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,101 +68,104 @@ def _anchors(hashes: np.ndarray, row: np.ndarray, window: int, anchor: int) -> t
     return starts, at[:n][starts], runs
 
 
-def _slices(b: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, word hashes, row of each word and word offsets, slice by slice."""
-    ids = A.ints(b.column(0))
-    raw, offsets = T.text_buffer(b.column(1))
+def _slices(texts: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word hashes, row of each word and word offsets of the rows, slice by slice; rows count from the batch's first."""
+    raw, offsets = T.text_buffer(texts)
     for lo, hi in T.slices(offsets):
         part = raw[offsets[lo] : offsets[hi]]
         starts, ends, at = T.word_spans(part, offsets[lo : hi + 1] - offsets[lo])
         if len(starts) >= window:
-            yield ids[lo:hi], T.word_hashes(part, starts, ends), T.row_of(at), at
+            row = T.row_of(at)
+            yield T.word_hashes(part, starts, ends), row + lo, np.arange(len(row)) - at[row]
 
 
-def _merged(docs: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
     """Word spans of equal length joined where they touch, by document."""
-    order = np.lexsort((starts, docs))
-    docs, starts, stops = docs[order], starts[order], stops[order]
+    order = np.lexsort((starts, tags, docs))
+    docs, tags, starts, stops = docs[order], tags[order], starts[order], stops[order]
     new = np.ones(len(docs), dtype=bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > stops[:-1])
+    new[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]) | (starts[1:] > stops[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(docs)) - 1 if len(first) else first
-    return docs[first], starts[first], stops[last]
+    return docs[first], tags[first], starts[first], stops[last]
 
 
-def dedup_substrings(documents: DataFrame, window: int = 20, anchor: int = 10, bits: int = 27) -> DataFrame:
+def _repeats(h1: np.ndarray, h2: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows sorted by hash and place: the first of each hash, and which of them stand later than that."""
+    new = np.ones(len(h1), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)
+    head = first[np.cumsum(new) - 1] if len(first) else first
+    return first, np.logical_or.reduce([p != p[head] for p in place])
+
+
+def dedup_substrings(documents: DataFrame, window: int = 20, anchor: int = 10, bits: int | None = None) -> DataFrame:
     """(doc_id, kept_text, n_words, n_removed) for each row of ``documents(doc_id, text)``."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(row_id().alias("doc"), "text")
+    docs = keyed(documents, F.col("doc_id").cast("long"))
+    bits = bits or S.bits_for(documents, 2, 27)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = S.Counter(bits, 2)
         for b in batches:
-            for _, hashes, row, _ in _slices(b, window):
+            for hashes, row, _ in _slices(b.column(0), window):
                 _, at, runs = _anchors(hashes, row, window, anchor)
                 yield from counter.add(runs[np.unique(at)])
         yield from counter.rows()
 
-    planes = S.merge(docs.mapInArrow(count, S.PARTIAL), bits, 2)
+    planes = S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 2)
     shared = spark.sparkContext.broadcast(planes)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = shared.value.repeated
         for b in batches:
+            docs, tags = A.ints(b.column(0)), A.ints(b.column(1))
             found = []
-            for ids, hashes, row, offsets in _slices(b, window):
+            for hashes, row, number in _slices(b.column(2), window):
                 starts, at, runs = _anchors(hashes, row, window, anchor)
                 places, back = np.unique(at, return_inverse=True)
                 starts = starts[repeated(runs[places])[back]]
                 h1, h2 = (T.ngrams(hashes, window, base)[starts].view(np.int64) for base in T.BASES)
-                found.append((h1, h2, ids[row[starts]], (starts - offsets[row[starts]]).astype(np.int32)))
+                found.append((h1, h2, docs[row[starts]], tags[row[starts]], number[starts].astype(np.int32)))
             if not found:
                 continue
-            h1, h2, doc, start = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((start, doc, h2, h1))
-            h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-            new = np.ones(len(h1), dtype=bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            first = np.flatnonzero(new)
-            yield A.batch(_ROWS, h1[first], h2[first], doc[first], start[first], np.full(len(first), -1, np.int32))
-            head = first[np.cumsum(new) - 1]
-            later = (doc != doc[head]) | (start != start[head])
-            d, a, z = _merged(doc[later], start[later], start[later] + window)
+            h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((start, tag, doc, h2, h1))
+            h1, h2, doc, tag, start = h1[order], h2[order], doc[order], tag[order], start[order]
+            first, later = _repeats(h1, h2, doc, tag, start)
+            yield A.batch(_ROWS, h1[first], h2[first], doc[first], tag[first], start[first], np.full(len(first), -1, np.int32))
+            d, g, a, z = _merged(doc[later], tag[later], start[later], start[later] + window)
             spread = T.mix64(d.view(np.uint64) ^ a.astype(np.uint64)).view(np.int64)
-            yield A.batch(_ROWS, spread, np.zeros(len(d), np.int64), d, a, z)
+            yield A.batch(_ROWS, spread, np.zeros(len(d), np.int64), d, g, a, z)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            h1, h2, doc, start, stop = (A.ints(c) for c in b.columns)
-            known = stop >= 0
+            rows = [A.ints(c) for c in b.columns]
+            known = rows[5] >= 0
             if known.any():
-                yield A.batch(_MARKS, doc[known], start[known].astype(np.int64) << 32 | stop[known])
-                h1, h2, doc, start = h1[~known], h2[~known], doc[~known], start[~known]
-            if not len(h1):
+                yield A.batch(_MARKS, rows[2][known], rows[3][known], rows[4][known].astype(np.int64) << 32 | rows[5][known])
+                rows = [c[~known] for c in rows]
+            if not len(rows[0]):
                 continue
             if held is not None:
-                h1, h2, doc, start = (np.concatenate(([x], y)) for x, y in zip(held, (h1, h2, doc, start)))
-            new = np.ones(len(h1), dtype=bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            held = (h1[-1], h2[-1], doc[head[-1]], start[head[-1]])
-            later = (doc != doc[head]) | (start != start[head])
-            d, a, z = _merged(doc[later], start[later], start[later] + window)
-            yield A.batch(_MARKS, d, a.astype(np.int64) << 32 | z)
-
-    rows = docs.mapInArrow(windows, "h1 long, h2 long, doc long, start int, stop int")
-    marks = rows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start").mapInArrow(mark, "doc long, span long")
-    spans = marks.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+                rows = [np.concatenate(([x], y)) for x, y in zip(held, rows)]
+            h1, h2, doc, tag, start, _ = rows
+            first, later = _repeats(h1, h2, doc, tag, start)
+            held = [c[first[-1]] for c in rows]
+            d, g, a, z = _merged(doc[later], tag[later], start[later], start[later] + window)
+            yield A.batch(_MARKS, d, g, a.astype(np.int64) << 32 | z)
+
+    rows = docs.select("doc", "tag", "text").mapInArrow(windows, "h1 long, h2 long, doc long, tag long, start int, stop int")
+    marks = rows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "tag", "start").mapInArrow(mark, "doc long, tag long, span long")
+    spans = marks.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, kept = [], [], []
-            raw = b.column(1).cast(pa.large_binary())
-            spans = b.column(2)
-            for text, cut in zip(raw.to_pylist(), spans):
-                words = text.split() if text else []
+            for text, cut in zip(b.column(1).cast(pa.large_binary()), b.column(2)):
+                words = text.as_py().split() if text.is_valid else []
                 n.append(len(words))
                 if cut.is_valid and len(words):
                     span = cut.values.to_numpy(zero_copy_only=False)
@@ -174,9 +178,9 @@ def dedup_substrings(documents: DataFrame, window: int = 20, anchor: int = 10, b
                 kept.append(b" ".join(words))
             yield A.batch(_OUT, b.column(0), n, gone, pa.array(kept, pa.large_binary()).cast(pa.large_string()))
 
-    whole = docs.join(spans, "doc", "left").select("doc", "text", "spans")
-    out = whole.mapInArrow(keep, "doc long, n_words long, n_removed long, kept_text string")
-    return out.select(given_id("doc").alias("doc_id"), "kept_text", "n_words", "n_removed")
+    whole = docs.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    out = whole.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return out.select("doc_id", "kept_text", "n_words", "n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
