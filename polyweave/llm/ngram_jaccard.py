@@ -12,7 +12,7 @@ Method: prefix filtering with set-relation skipping.
    then by hash. Linked sets share a shingle among the first
    ``n - ceil(t n) + 1`` of both; unique ones have no list and are skipped, so
    most documents drop out here without being shuffled.
-2. Equal sets become one, known by its smallest document.
+2. Equal sets become one, known by the number of one of its rows.
 3. Index lists: per shingle the sets by size, with the first position that any
    set of that size has it at. A set skips a whole size block when even this
    position leaves too few shingles; a set that skips every block leaves the
@@ -32,8 +32,11 @@ meet all blocks. The sketch has ``2**bits`` cells (28: 32 MB broadcast); with
 more text for its size fewer sets drop out in step 1.
 
 Defined results: null, empty and blank texts have size 0 and stand alone; a
-null id counts as the largest and is returned as null, as is its component;
-rows that repeat an id and its text share its component.
+null id counts as the largest, so a component of null ids only is null; rows
+that repeat an id, null included, are documents of their own and share a
+component if their texts link. ``keep_first`` leaves all rows without words and
+of every component one row: of the smallest id, of its rows that of the smallest
+hash of the text, of equal rows one.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +53,7 @@ from polyweave.llm import arrowkit as A
 from polyweave.llm import sketch as S
 from polyweave.llm import textkit as T
 from polyweave.llm.graph import components
-from polyweave.llm.tables import given_id, land, row_id, ship
+from polyweave.llm.tables import NO_ID, keyed, land, set_aside, ship
 
 #: Members of a hub that one task compares with as many others.
 BLOCK = 2048
@@ -58,9 +62,10 @@ BLOCK = 2048
 FREQUENT = 64
 
 _SETS = pa.schema([
-    ("doc", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32()),
+    ("row", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32()),
     ("u", pa.int32()), ("toks", pa.list_(pa.int64())), ("grams", pa.binary()),
 ])
+_SETS_SQL = "row long, doc long, tag long, fp1 long, fp2 long, n int, u int, toks array<long>, grams binary"
 _STAR = pa.schema([
     ("hub", pa.int64()), ("sid", pa.int64()), ("nh", pa.int32()), ("n", pa.int32()),
     ("core", pa.bool_()), ("lacks", pa.binary()), ("adds", pa.binary()),
@@ -68,10 +73,9 @@ _STAR = pa.schema([
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingle_sets(b: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, the rows' sorted distinct shingle hashes end to end, and their offsets; slice by slice."""
-    ids = A.ints(b.column(0))
-    raw, offsets = T.text_buffer(b.column(1))
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts' sorted distinct shingle hashes end to end, and their offsets; slice by slice."""
+    raw, offsets = T.text_buffer(texts)
     for lo, hi in T.slices(offsets):
         part = T.LOWER[raw[offsets[lo] : offsets[hi]]]
         starts, ends, at = T.word_spans(part, offsets[lo : hi + 1] - offsets[lo])
@@ -97,7 +101,7 @@ def shingle_sets(b: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.
         new[1:] = flat[1:] != flat[:-1]
         new[offs[:-1][count > 0]] = True
         offs = np.concatenate(([0], np.cumsum(new)))[offs]
-        yield ids[lo:hi], flat[new], offs
+        yield flat[new], offs
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -106,7 +110,7 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _profile(planes: S.Planes, ids: np.ndarray, flat: np.ndarray, offs: np.ndarray, percent: int) -> pa.RecordBatch:
+def _profile(planes: S.Planes, rows: np.ndarray, b: pa.RecordBatch, flat: np.ndarray, offs: np.ndarray, percent: int) -> pa.RecordBatch:
     """Fingerprint and size of every set; prefix shingles and the set itself for those that may have links."""
     n = np.diff(offs)
     fp1 = _sums(T.mix64(flat), offs).view(np.int64)
@@ -115,17 +119,17 @@ def _profile(planes: S.Planes, ids: np.ndarray, flat: np.ndarray, offs: np.ndarr
     unique = n - _sums(repeated.astype(np.int64), offs)
     prefix = n - (percent * n + 99) // 100 + 1
     may = (n > 0) & (unique < prefix)
-    order = np.lexsort((ids, fp2, fp1))  # of equal sets the smallest document stands for this batch
+    order = np.lexsort((fp2, fp1))  # of equal sets the first stands for this batch
     same = (fp1[order][1:] == fp1[order][:-1]) & (fp2[order][1:] == fp2[order][:-1])
     may[order[1:][same]] = False
-    toks, grams = [None] * len(ids), [None] * len(ids)
+    toks, grams = [None] * len(n), [None] * len(n)
     for i in np.flatnonzero(may):
         own = flat[offs[i] : offs[i + 1]]
         shared = own[repeated[offs[i] : offs[i + 1]]]
         most = planes.is_heavy(shared)
         toks[i] = np.concatenate((shared[~most], shared[most]))[: prefix[i] - unique[i]].view(np.int64)
         grams[i] = own.tobytes()
-    return A.batch(_SETS, ids, fp1, fp2, n.astype(np.int32), unique.astype(np.int32), toks, grams)
+    return A.batch(_SETS, rows, b.column(0), b.column(1), fp1, fp2, n.astype(np.int32), unique.astype(np.int32), toks, grams)
 
 
 def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -211,32 +215,40 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield A.batch(_EDGES, out_a, out_b)
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, bits: int = 28) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``documents(doc_id, text)``."""
+def _components(documents: DataFrame, size: int, percent: int, bits: int | None) -> DataFrame:
+    """(doc, tag, n, label, component) for each row of ``documents(doc_id, text)``: the component's number and smallest id."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(row_id().alias("doc"), "text")
+    docs = keyed(documents, F.col("doc_id").cast("long").alias("id")).select("id", "tag", "text")
+    bits = bits or S.bits_for(documents, 1, 28)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = S.Counter(bits, 1)
         for b in batches:
-            for _, flat, _ in shingle_sets(b, size):
+            for flat, _ in shingle_sets(b.column(0), size):
                 yield from counter.add(flat)
         yield from counter.rows()
 
-    planes = spark.sparkContext.broadcast(S.merge(docs.mapInArrow(count, S.PARTIAL), bits, 1, heavy=FREQUENT))
+    planes = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 1, heavy=FREQUENT))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
         for b in batches:
-            for ids, flat, offs in shingle_sets(b, size):
-                yield _profile(planes.value, ids, flat, offs, percent)
-
-    schema = "doc long, fp1 long, fp2 long, n int, u int, toks array<long>, grams binary"
-    sets = land(docs.mapInArrow(profile, schema), "sets")
+            if not b.num_rows:
+                continue
+            flat, offs = (list(x) for x in zip(*shingle_sets(b.column(2), size)))
+            ends = np.cumsum([0, *(o[-1] for o in offs)])
+            offs = np.concatenate([o[:-1] + e for o, e in zip(offs, ends)] + [ends[-1:]])
+            yield _profile(planes.value, np.arange(at, at + b.num_rows), b, np.concatenate(flat), offs, percent)
+            at += b.num_rows
+
+    sets = land(docs.mapInArrow(profile, _SETS_SQL), "sets")
+    planes.destroy()
     fp = ["fp1", "fp2"]
-    classes = land(sets.where("n > 0").groupBy(*fp).agg(F.min("doc").alias("sid")), "classes")
-    own = sets.where("toks is not null").join(classes, fp).where("doc = sid").select("sid", "n", "u", "toks", "grams")
-    own = land(own, "representatives")
+    stands = F.min(F.when(F.col("toks").isNotNull(), F.col("row"))).alias("sid")
+    classes = land(sets.where("n > 0").groupBy(*fp).agg(F.min("row").alias("row"), stands, F.min("doc").alias("doc")), "classes")
+    own = sets.where("toks is not null").join(classes.select("sid").where("sid is not null"), F.col("row") == F.col("sid"))
+    own = land(own.select("sid", "n", "u", "toks", "grams"), "representatives")
 
     entries = own.select("sid", "n", "u", F.posexplode("toks").alias("k", "tok")).withColumn("pos", F.col("u") + F.col("k"))
     blocks = entries.groupBy("tok", "n").agg(F.min("pos").alias("p"), F.count("*").alias("c"), F.min("sid").alias("s"))
@@ -268,20 +280,30 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, b
     edges = star.where("core").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     edges = edges.union(rest.mapInArrow(lambda it: _links(it, percent), "a long, b long"))
 
-    found = classes.join(components(edges), F.col("sid") == F.col("node"), "left")
-    found = land(found.select(*fp, F.coalesce("component", "sid").alias("component")), "components")
-    out = sets.select("doc", *fp, "n").join(found, fp, "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component")
-    out = out.select("doc", F.col("n").cast("long").alias("n_shingles"), component)
-    return out.select(given_id("doc").alias("doc_id"), "n_shingles", given_id("component").alias("component_id"))
+    linked = land(components(edges).join(classes.select("sid", "doc"), F.col("node") == F.col("sid")).select("sid", "component", "doc"), "linked")
+    least = linked.groupBy("component").agg(F.min("doc").alias("least"))
+    linked = linked.select("sid", "component").join(least, "component")
+    found = classes.join(linked, "sid", "left")
+    least = F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least"))
+    found = land(found.select(*fp, F.coalesce("component", "row").alias("label"), least.alias("component")), "components")
+    return sets.select("doc", "tag", *fp, "n").join(found, fp, "left").select("doc", "tag", "n", "label", "component")
 
 
-def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the smallest id of every component only; rows that repeat this id all stay, as do all of a null id's component."""
-    found = jaccard_components(documents.select("doc_id", "text"), **options)
-    kept = "_".join(["kept", *documents.columns])  # a name that no column has
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    return documents.join(first, F.col("doc_id").eqNullSafe(F.col(f"`{kept}`")), "left_semi")
+def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``documents(doc_id, text)``."""
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id")
+    return _components(documents, size, percent, bits).select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component)
+
+
+def keep_first(documents: DataFrame, size: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
+    """``documents`` without words, and one row of every component of the others."""
+    rows, back = set_aside(documents)
+    found = _components(rows, size, percent, bits).where(F.col("doc").eqNullSafe(F.col("component")) & (F.col("n") > 0))
+    first = found.groupBy("label").agg(F.coalesce(F.min("doc"), F.lit(NO_ID)).alias("doc"), F.min("tag").alias("tag")).select("doc", "tag")
+    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = keyed(rows, F.struct(*(F.col(c) for c in rows.columns)).alias("_row"), word.alias("_word"))
+    one = whole.where("_word").groupBy("doc", "tag").agg(F.first("_row").alias("_row")).join(first, ["doc", "tag"]).select("_row.*")
+    return rows.where(~word).union(one).select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -63,16 +63,6 @@ def keyed(documents: DataFrame, *columns: str) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), "text", *columns)
 
 
-def row_id(name: str = "doc_id") -> Column:
-    """The id column as a long, with NO_ID for null."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
-
-
-def given_id(key: str) -> Column:
-    """The inverse of row_id."""
-    return F.when(F.col(key) != F.lit(NO_ID), F.col(key))
-
-
 def set_aside(rows: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, list[Column]]:
     """``rows`` with all columns but ``own`` under names that no operator adds, and the columns that bring the given names back."""
     names = {c: c if c in own else f"_given{i}" for i, c in enumerate(rows.columns)}
