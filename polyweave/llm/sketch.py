@@ -33,7 +33,7 @@ _PARTIAL = pa.schema(PARTIAL_FIELDS)
 _MERGED = pa.schema([("block", pa.int32()), ("many", pa.binary()), ("heavy", pa.binary())])
 
 #: Keys that a task gathers before it writes them out as partition sketch rows.
-_GATHER = 1 << 22
+_GATHER = 1 << 20
 
 
 def bits_for(rows: DataFrame, bytes_per_cell: float, most: int, least: int = 16) -> int:

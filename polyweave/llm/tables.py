@@ -19,7 +19,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyweave.shipping import ship  # noqa: F401
+from polyweave import shipping
+
+#: Bytes of a batch that Python workers get at a time, where the session sets none; bounds their working set.
+BATCH_BYTES = 8 << 20
 
 _local: str | None = None
 
@@ -27,6 +30,13 @@ _local: str | None = None
 NO_ID = (1 << 63) - 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors the package, and batches of bounded size."""
+    shipping.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for the intermediate tables of this application."""
     global _local
