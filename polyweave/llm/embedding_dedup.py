@@ -2,14 +2,16 @@
 
 Vectors of equal, non-null label link when their cosine, in double precision,
 is at least ``threshold``. On unit vectors that is a distance of at most
-``r = sqrt(2 - 2 threshold)``.
+``r = sqrt(2 - 2 threshold)``. Vectors are scaled by a power of two before their
+length is taken, so that no finite one over- or underflows.
 
 Method: pivot partitioning.
 
-1. Equal vectors become one with a weight, known by its smallest id; within a
-   batch before anything is moved.
-2. A label of more than ``CELL`` vectors gets pivots, about one per ``CELL``, from
-   a sample of it by hash. Each vector is at home in the cell of its nearest
+1. Equal vectors become one with a weight, known by the number of one of its
+   rows; within a batch before anything is moved.
+2. A label of more than ``CELL`` vectors gets pivots from a sample of it by hash:
+   one per ``CELL`` vectors, and with millions of vectors as many as the square
+   root of their number, which balances finding cells and joining them. Each vector is at home in the cell of its nearest
    pivot, and is copied to the cells that its neighbours may be at home in: by
    the triangle inequality, and the bisector of two pivots it implies, a vector
    of cell j is at least ``(d(x, p_j)^2 - d(x, p_i)^2) / (2 d(p_i, p_j))`` away.
@@ -21,7 +23,8 @@ Method: pivot partitioning.
    its home cell; of the links only counts and a spanning forest leave the task.
 4. Alternating star contraction of the forests yields the components.
 
-The pivots are the only broadcast; ``PIVOT_BYTES`` bounds it: with more labels
+Labels are known by a 64-bit hash whose seed is changed until it tells all of
+them apart. The pivots are the only broadcast; ``PIVOT_BYTES`` bounds it: with more labels
 or vectors there are fewer pivots and larger cells, with equal results. In
 many dimensions vectors that are all far from each other are nearly equally
 far from every pivot; cells then overlap and the join nears a blocked product
@@ -30,16 +33,19 @@ of the label with itself.
 Defined results: a vector that is null, empty, zero or holds a null or
 non-finite component, has a null label or a null id links with nothing and is
 its own component (null for a null id); vectors of different length do not
-link; rows that repeat an id are vectors of their own with one component.
+link; rows that repeat an id are vectors of their own, and each has the links
+and the component of its own vector.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +56,14 @@ from polyweave.llm.tables import land, ship
 CELL = 2048
 BLOCK = 8192
 PIVOT_BYTES = 32 << 20
-PIVOTS = 256
 #: Least distance of two pivots of a label.
 APART = 0.01
 
-_UNITS = pa.schema([("vec", pa.int64()), ("g", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("w", pa.int64()), ("unit", pa.binary())])
-_UNITS_SQL = "vec long, g long, k1 long, k2 long, w long, unit binary"
+_UNITS = pa.schema([
+    ("row", pa.int64()), ("vec", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("g", pa.int64()),
+    ("k1", pa.int64()), ("k2", pa.int64()), ("w", pa.int64()), ("unit", pa.binary()),
+])
+_UNITS_SQL = "row long, vec long, label string, dim int, g long, k1 long, k2 long, w long, unit binary"
 _CELLS = pa.schema([("g", pa.int64()), ("cell", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("weight", pa.int64()), ("unit", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -66,40 +74,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unit vectors with a digest; of equal ones in a batch only the smallest id keeps the vector, with their number."""
+    """Unit vectors with a digest; of equal ones in a batch only the first keeps the vector, with their number."""
+    number = TaskContext.get().partitionId() << 33
     for b in batches:
-        vec, label = b.column(0), A.ints(b.column(1))
-        vectors = b.column(2)
+        vec, group = b.column(0), A.ints(b.column(3))
+        vectors = b.column(4)
         offsets, flat = A.ints(vectors.offsets), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        ok = np.asarray(vectors.is_valid()) & np.asarray(vec.is_valid()) & np.asarray(b.column(3))
-        found = []
-        for i in np.flatnonzero(ok & (np.diff(offsets) > 0)):
+        ok = np.asarray(vectors.is_valid()) & np.asarray(vec.is_valid()) & np.asarray(b.column(1).is_valid())
+        k1, k2, w, units = ([None] * b.num_rows for _ in range(4))
+        first: dict[tuple, int] = {}
+        for i in np.flatnonzero(ok & (np.diff(offsets) > 0)).tolist():
             x = flat[offsets[i] : offsets[i + 1]]
-            length = np.sqrt(x @ x)
-            if np.isfinite(length) and length > 0:
-                unit = (x / length).tobytes()
-                d = hashlib.blake2b(unit, digest_size=16).digest()
-                found.append((int(label[i]) ^ (len(x) * 0x9E3779B97F4A7 & 0x7FFFFFFFFFFFFFFF), d, vec[i].as_py(), unit, i))
-        k1, k2, g, w, units = ([None] * b.num_rows for _ in range(5))
-        best: dict[tuple, int] = {}
-        for at, d, v, _, i in sorted(found, key=lambda f: f[2]):
-            g[i], k1[i], k2[i] = at, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-            first = best.setdefault((at, d), i)
-            w[first] = (w[first] or 0) + 1
-        for at, d, _, unit, i in found:
-            if best[at, d] == i:
+            largest = np.abs(x).max()
+            if not (np.isfinite(largest) and largest > 0):
+                continue
+            x = np.ldexp(x, -np.frexp(largest)[1])
+            unit = (x / np.sqrt(x @ x)).tobytes()
+            d = hashlib.blake2b(unit, digest_size=16).digest()
+            k1[i], k2[i] = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+            at = first.setdefault((int(group[i]), d), i)
+            w[at] = (w[at] or 0) + 1
+            if at == i:
                 units[i] = unit
-        yield A.batch(_UNITS, vec, g, k1, k2, w, units)
+        yield A.batch(_UNITS, np.arange(number, number + b.num_rows), vec, b.column(1), b.column(2), b.column(3), k1, k2, w, units)
+        number += b.num_rows
 
 
 def _apart(pivots: list[np.ndarray]) -> np.ndarray:
     """The pivots as a matrix, without those closer than APART to one before."""
-    every = np.stack(pivots)
-    kept: list[int] = []
-    for i, p in enumerate(every):
-        if not kept or ((every[kept] - p) ** 2).sum(axis=1).min() >= APART**2:
-            kept.append(i)
-    return every[kept]
+    kept, n = np.empty((len(pivots), len(pivots[0]))), 0
+    for p in pivots:
+        if not n or (kept[:n] @ p).max() <= 1 - APART**2 / 2:
+            kept[n] = p
+            n += 1
+    return kept[:n]
 
 
 def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], radius: float) -> Iterator[pa.RecordBatch]:
@@ -107,21 +115,21 @@ def _assign(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], ra
     for b in batches:
         g, rep, weight = (A.ints(b.column(i)) for i in (0, 1, 2))
         for label in np.unique(g):
-            rows = np.flatnonzero(g == label)
-            units = b.column(3).take(pa.array(rows))
+            every = np.flatnonzero(g == label)
             p = pivots.get(int(label))
             if p is None or len(p) < 2:
-                yield A.batch(_CELLS, g[rows], np.zeros(len(rows), np.int32), [True] * len(rows), rep[rows], weight[rows], units)
+                yield A.batch(_CELLS, g[every], np.zeros(len(every), np.int32), [True] * len(every), rep[every], weight[every], b.column(3).take(pa.array(every)))
                 continue
-            apart = np.maximum(2 - 2 * (p @ p.T), APART**2 / 2)  # squared distances of the pivots; of one and itself it is not used
-            far = np.maximum(2 - 2 * (_matrix(units) @ p.T), 0)
-            home = far.argmin(axis=1)
-            line = np.arange(len(rows))
-            least = (far - far[line, home][:, None]) / (2 * np.sqrt(apart[home]))
-            goes = least <= radius
-            goes[line, home] = True
-            x, cell = np.nonzero(goes)
-            yield A.batch(_CELLS, g[rows][x], cell.astype(np.int32), cell == home[x], rep[rows][x], weight[rows][x], units.take(pa.array(x)))
+            for rows in np.split(every, range(512, len(every), 512)):  # two matrices of 512 by all pivots at a time
+                units = b.column(3).take(pa.array(rows))
+                far = np.maximum(2 - 2 * (_matrix(units) @ p.T), 0)
+                home = far.argmin(axis=1)
+                apart = np.maximum(2 - 2 * (p[home] @ p.T), APART**2 / 2)  # squared distances of the pivots; of one and itself it is not used
+                line = np.arange(len(rows))
+                goes = (far - far[line, home][:, None]) / (2 * np.sqrt(apart)) <= radius
+                goes[line, home] = True
+                x, cell = np.nonzero(goes)
+                yield A.batch(_CELLS, g[rows][x], cell.astype(np.int32), cell == home[x], rep[rows][x], weight[rows][x], units.take(pa.array(x)))
 
 
 def _join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -160,16 +168,18 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     spark = embeddings.sparkSession
     ship(spark)
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    given = embeddings.select(
-        F.col("vec_id").cast("long").alias("vec"), F.xxhash64(F.col("label").cast("string")).alias("label"),
-        F.col("embedding").cast("array<double>"), F.col("label").isNotNull().alias("ok"),
-    )
-    vectors = land(given.mapInArrow(_units, _UNITS_SQL), "vectors")
+    label, dim = F.col("label").cast("string"), F.size("embedding")
+    for seed in itertools.count():
+        group = F.xxhash64(F.lit(seed), label, dim).alias("g")
+        given = embeddings.select(F.col("vec_id").cast("long").alias("vec"), label.alias("label"), dim.alias("dim"), group, F.col("embedding").cast("array<double>"))
+        vectors = land(given.mapInArrow(_units, _UNITS_SQL), "vectors")
+        if not vectors.where("k1 is not null").select("g", "label", "dim").distinct().groupBy("g").count().where("count > 1").head(1):
+            break
     key = ["g", "k1", "k2"]
-    whole = vectors.where("unit is not null")
-    reps = land(whole.groupBy(*key).agg(F.min("vec").alias("rep"), F.sum("w").alias("weight"), F.first("unit").alias("unit")), "representatives")
+    whole = vectors.where("unit is not null").groupBy(*key)
+    reps = land(whole.agg(F.min("row").alias("rep"), F.sum("w").alias("weight"), F.first("unit").alias("unit")), "representatives")
 
-    wanted = F.least(F.ceil(F.col("n") / CELL), F.lit(PIVOTS)).cast("double")
+    wanted = F.ceil(F.least(F.col("n") / CELL, F.sqrt("n"))).cast("double")
     sizes = reps.groupBy("g").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).where(F.col("n") > CELL)
     sizes = sizes.withColumn("k", wanted).withColumn("all", F.sum(F.col("k") * F.col("bytes")).over(Window.partitionBy()))
     sizes = land(sizes.withColumn("k", F.floor(F.col("k") * F.least(F.lit(1.0), PIVOT_BYTES / F.col("all")))).where("k >= 2"), "sizes")
@@ -201,10 +211,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     found = land(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _join(it, threshold), "a long, b long, links long"), "links")
 
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    parts_of = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    known = reps.select(*key, "rep", "weight").join(links, "rep", "left").join(parts_of, "rep", "left")
-    known = land(known.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
-    out = vectors.select("vec", *key).join(known, key, "left")
+    smallest = vectors.where("k1 is not null").groupBy(*key).agg(F.min("vec").alias("least"))
+    known = reps.select(*key, "rep", "weight").join(smallest, key).join(links, "rep", "left").join(components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep"), "rep", "left")
+    known = land(known.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("of"), "least"), "known")
+    names = known.groupBy("of").agg(F.min("least").alias("component"))
+    out = vectors.select("vec", *key).join(known.join(names, "of").select(*key, "links", "component"), key, "left")
     component = F.coalesce("component", "vec")
     return out.select(
         F.col("vec").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
