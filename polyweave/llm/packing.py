@@ -2,33 +2,41 @@
 
 A document's ids are those of the tokenizer, then ``end``. The ids of a source
 form a queue in reading order; a window takes from every queue its quantum, the
-source's share of all ids times the window's length. What a quantum leaves over
-as a fraction is the queue's deficit; it is carried to the next window, and the
-places that the whole parts leave free go to the queues whose next id is due
-first. All queues run dry together at the end, so every window but the last is
-full and has the target proportions to within an id per source.
+target share of the window's length. Targets are ``weights`` by source (sources
+that it doesn't name share one queue of weight ``rest``) or, by default, each
+source's share of all ids; then the ``queues`` largest sources have a queue each
+and the others share one. What a quantum leaves over as a fraction is the
+queue's deficit; it is carried to the next window, and the places that the whole
+parts leave free go to the queues whose next id is due first. When a queue runs
+dry, the others share its quantum by their weights. So every window but the last
+is full and has the proportions of the queues that are left, to within an id per
+queue; by default all run dry together at the end.
 
 Method: deficit round-robin. What all windows up to w have taken from a queue
-hangs on the sources' totals alone, so no window needs the one before it:
-deficits carry over windows and partitions by this count, and each document
-finds its places from its position in its queue. Positions are sums: within
-the partition that tokenizes, and over the partitions before it, per source.
-
-The ids are written once as a table (two bytes an id) and read once; documents
-are not shuffled. Words are tokenized once per worker and kept (``KEEP`` of
-them, or those of one slice of text if more, then anew): the tokenizer splits at white space and at each
-change between letters, digits and other signs, so a text's ids are those of
-its parts.
+hangs on the queues' totals and weights alone, so no window needs the one before
+it: deficits carry over windows and partitions by this count (``Quotas``), and
+each document finds its places from its position in its queue, at a cost that
+follows its own ids, not the windows that it spans. Positions are sums: within
+the partition that tokenizes, and over the partitions before it, per queue.
+
+The ids are written once as a table (two bytes an id) and read once. They are
+not shuffled as long as a row per source and partition can be broadcast; beyond,
+the join with these rows shuffles them. Words are tokenized once per worker and
+kept (``KEEP`` of them, or those of one slice of text if more, then anew): the
+tokenizer splits at white space and at each change between letters, digits and
+other signs, so a text's ids are those of its parts.
 
 Defined results: a null or empty text has the id ``end`` alone; a null id or
-source is kept as null (null sources are one queue); repeated rows are packed
+source is kept as null (null is a source of its own); repeated rows are packed
 each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +49,13 @@ from polyweave.llm import textkit as T
 from polyweave.llm.tables import land, ship
 
 #: Distinct word parts that one worker keeps with their ids.
-KEEP = 1 << 20
+KEEP = 1 << 19
+
+#: Bytes of text that are tokenized at a time; each slice merges its new words into those kept.
+SLICE = 4 << 20
+
+#: Windows that are worked out at a time.
+WINDOWS = 1 << 13
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _TOKENS_SQL = "doc_id long, source string, part int, before long, n long, ids binary"
@@ -142,7 +156,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     part, before = TaskContext.get().partitionId(), {}
     for b in batches:
         raw, offsets = T.text_buffer(b.column(2))
-        for lo, hi in T.slices(offsets):
+        for lo, hi in T.slices(offsets, SLICE):
             flat, at = words.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             flat = np.insert(flat, at[1:], end)
             at = at + np.arange(len(at))
@@ -155,75 +169,146 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
             yield A.batch(_TOKENS, b.column(0).slice(lo, hi - lo), sources, np.full(len(n), part, np.int32), start, n, A.ragged(flat, at, pa.binary()))
 
 
-def quotas(windows: np.ndarray, totals: np.ndarray, length: int) -> np.ndarray:
-    """What the first w windows hold of every queue, for each w of ``windows``: whole quanta, then the ids due first."""
-    everything = int(totals.sum())
-    served = np.array([[int(w) * length * int(t) // everything for t in totals] for w in windows], dtype=np.int64).reshape(len(windows), len(totals))
-    served = np.minimum(served, totals)
-    free = np.minimum(windows * length, everything) - served.sum(axis=1)
-    while (free > 0).any():
-        due = np.where(served < totals, (served + 1) / np.maximum(totals, 1), np.inf)
-        turn = np.argmin(due, axis=1)
-        rows = np.flatnonzero(free > 0)
-        served[rows, turn[rows]] += 1
-        free[rows] -= 1
-    return served
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], names: list, totals: np.ndarray, length: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    number = {s: i for i, s in enumerate(names)}
-    everything = int(totals.sum())
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 512):
-            b = whole.slice(lo, 512)
-            source = np.array([number[s] for s in b.column(1).to_pylist()], np.int64)
-            start, n = A.ints(b.column(2)), A.ints(b.column(3))
-            rate = totals[source].astype(float) * length / everything
-            first = np.maximum((start / rate).astype(np.int64) - 2, 0)
-            last = ((start + n) / rate).astype(np.int64) + 3
-            windows = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)]))
-            upto = quotas(windows, totals, length)
-            out: list[list] = [[] for _ in range(7)]
-            ids_of = b.column(4)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                s, at, stop = source[i], int(start[i]), int(start[i] + n[i])
-                ids = np.frombuffer(ids_of[i].as_buffer(), dtype).astype("<u4")
-                w = int(np.searchsorted(windows, first[i]))
-                z = int(np.searchsorted(windows, last[i]))
-                w += int(np.searchsorted(upto[w : z + 1, s], at, side="right")) - 1
+class Quotas:
+    """What the windows take from queues of given totals by given whole weights."""
+
+    def __init__(self, totals: list[int], weights: list[int], length: int):
+        self.totals, self.weights, self.length = np.array(totals, np.int64), weights, length
+        dries = sorted((i for i, n in enumerate(totals) if n), key=lambda i: (totals[i] / weights[i], i))
+        self.stages: list[tuple[int, int, list[int]]] = []  # until its end: ids of queues gone dry before it, weight and queues of those left
+        self.ends: list[int] = []
+        times, upto = [0.0], [0.0]
+        gone, left = 0, dries
+        for i in dries:
+            weight = sum(weights[j] for j in left)
+            self.stages.append((gone, weight, left))
+            self.ends.append(gone + weight * totals[i] // weights[i])
+            times.append(totals[i] / weights[i])
+            upto.append(gone + weight * (totals[i] / weights[i]))
+            gone, left = gone + totals[i], left[1:]
+        self.everything, self._times, self._upto = gone, times, upto
+
+    def upto(self, windows: np.ndarray) -> np.ndarray:
+        """What the first w windows hold of every queue, for each w of ``windows``: whole quanta, then the ids due first."""
+        served = np.zeros((len(windows), len(self.totals)), np.int64)
+        for row, w in zip(served, windows.tolist()):
+            at = min(w * self.length, self.everything)
+            k = min(bisect_left(self.ends, at), len(self.stages) - 1)
+            if k >= 0:
+                gone, weight, left = self.stages[k]
+                row[:] = self.totals
+                row[left] = [self.weights[j] * (at - gone) // weight for j in left]
+        served = np.minimum(served, self.totals)
+        free = np.minimum(windows * self.length, self.everything) - served.sum(axis=1)
+        each = np.array(self.weights, np.float64)
+        while (rows := np.flatnonzero(free > 0)).size:
+            due = np.where(served[rows] < self.totals, (served[rows] + 1) / each, np.inf)
+            served[rows, np.argmin(due, axis=1)] += 1
+            free[rows] -= 1
+        return served
+
+    def near(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The window of each place of a queue, to within one."""
+        at = np.interp((place + 1) / np.array(self.weights, np.float64)[queue], self._times, self._upto)
+        return (at / self.length).astype(np.int64)
+
+    def around(self, queue: int, start: int, stop: int) -> np.ndarray:
+        """Windows that may hold the places of a run, and the one after each."""
+        first, last = self.near(np.array([queue, queue]), np.array([start, stop])).tolist()
+        if last - first <= 5 * (stop - start):
+            return np.arange(max(first - 2, 0), last + 4)
+        near = self.near(np.full(stop - start, queue), np.arange(start, stop))
+        return np.maximum((near[:, None] + np.arange(-2, 4)).ravel(), 0)
+
+
+def _runs(quotas: Quotas, queue: list[int], start: list[int], n: list[int]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+    """Runs of ids (document, from, to) with the windows that may hold them, so many at a time that their windows are bounded."""
+    held, windows, size = [], [], 0
+    for i, (q, at, count) in enumerate(zip(queue, start, n)):
+        for lo in range(0, count, WINDOWS):
+            hi = min(lo + WINDOWS, count)
+            held.append((i, at + lo, at + hi))
+            windows.append(quotas.around(q, at + lo, at + hi))
+            size += len(windows[-1])
+            if size >= WINDOWS:
+                yield held, np.unique(np.concatenate(windows))
+                held, windows, size = [], [], 0
+    if held:
+        yield held, np.unique(np.concatenate(windows))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], quotas: Quotas, dtype: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        queue, start, n = (A.ints(b.column(i)).tolist() for i in (1, 2, 3))
+        doc, ids = b.column(0), b.column(4)
+        last: tuple | None = None  # a piece may go on in the next run
+        for runs, windows in _runs(quotas, queue, start, n):
+            upto = quotas.upto(windows)
+            before = np.cumsum(np.diff(upto, axis=0), axis=1)  # of windows that stand next to each other
+            found = []
+            for i, at, stop in runs:
+                q = queue[i]
+                of = upto[:, q]
+                w = int(np.searchsorted(of, at, side="right")) - 1
                 while at < stop:
-                    edge = min(int(upto[w + 1, s]), stop)
-                    if edge > at:
-                        held = int((upto[w + 1, :s] - upto[w, :s]).sum())
-                        a = at - int(start[i])
-                        row = (doc, a, edge - at, int(n[i]), int(windows[w]), held + at - int(upto[w, s]), ids[a : a + edge - at].tobytes())
-                        for c, v in zip(out, row):
-                            c.append(v)
-                    at, w = edge, w + 1
-            yield A.batch(_PIECES, *out)
-
-
-def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> DataFrame:
+                    while w + 1 < len(of) and of[w + 1] <= at:
+                        w += 1
+                    edge = min(int(of[w + 1]), stop)
+                    offset = (int(before[w, q - 1]) if q else 0) + at - int(of[w])
+                    if last and last[0] == i and last[3] == windows[w] and last[4] + last[2] == offset:
+                        last = (i, last[1], last[2] + edge - at, last[3], last[4])
+                    else:
+                        if last:
+                            found.append(last)
+                        last = (i, at - start[i], edge - at, int(windows[w]), offset)
+                    at = edge
+            yield _rows(found, doc, n, ids, dtype)
+        if last:
+            yield _rows([last], doc, n, ids, dtype)
+
+
+def _rows(found: list[tuple], doc: pa.Array, n: list[int], ids: pa.Array, dtype: str) -> pa.RecordBatch:
+    rows, start, length, window, offset = ([f[k] for f in found] for k in range(5))
+    cut = [np.frombuffer(ids[i].as_buffer(), dtype)[a : a + m].astype("<u4").tobytes() for i, a, m in zip(rows, start, length)]
+    return A.batch(_PIECES, doc.take(pa.array(rows, pa.int64())), start, length, [n[i] for i in rows], window, offset, cut)
+
+
+def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, weights: dict[str | None, float] | None = None, rest: float = 1.0, queues: int = 64) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) per piece of ``documents(doc_id, source, text)``.
 
     ``tokenizer`` is the path of a tokenizer file that every executor has; ``ids`` holds little-endian unsigned 32-bit ids.
     """
+    if weights is not None and min([rest, *weights.values()]) <= 0:
+        raise ValueError("weights have to be positive")
     spark = documents.sparkSession
     ship(spark)
     given = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     tokens = land(given.mapInArrow(lambda it: _tokens(it, tokenizer, end), _TOKENS_SQL), "tokens")
 
-    sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    base = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    sums = land(sums.select("source", "part", "n", base.alias("base")), "queues")
-    found = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    names, totals = [r.source for r in found], np.array([r.n for r in found], np.int64)
+    sums = land(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "sums")
+    if weights is None:
+        sizes = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(queues)
+        own = sorted((r.source for r in sizes.collect()), key=lambda s: (s is None, s))  # ``queues`` rows
+    else:
+        own = sorted(weights, key=lambda s: (s is None, s))
+    queue = reduce(lambda rest, k: F.when(F.col("source").eqNullSafe(F.lit(own[k])), k).otherwise(rest), range(len(own)), F.lit(len(own)))
+    sums = sums.withColumn("queue", queue)
+    totals = [0] * (len(own) + 1)
+    for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row per queue
+        totals[r.queue] = r.n
+    whole = totals if weights is None else [max(1, round(w * (1 << 20))) for w in [*(weights[s] for s in own), rest]]
+    quotas = Quotas(totals, [max(w, 1) for w in whole], length)
+
+    # place of a part in its queue: the parts before it, and in the same part the sources before it
+    parts = sums.groupBy("queue", "part").agg(F.sum("n").alias("all"))
+    parts = parts.select("queue", "part", (F.sum("all").over(Window.partitionBy("queue").orderBy("part")) - F.col("all")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_last())) - F.col("n")
+    places = sums.withColumn("inside", inside).join(parts, ["queue", "part"])
+    places = land(places.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", (F.col("base") + F.col("inside")).alias("base")), "queues")
+    placed = tokens.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
     dtype = _dtype(tokenizer)
-
-    left = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
-    placed = tokens.join(left, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    placed = placed.select("doc_id", "source", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
-    return placed.mapInArrow(lambda it: _pieces(it, names, totals, length, dtype), _PIECES_SQL)
+    return placed.mapInArrow(lambda it: _pieces(it, quotas, dtype), _PIECES_SQL)
 
 
 def _dtype(path: str) -> str:
