@@ -11,6 +11,11 @@ task, decoded where it lies, and only its digest and features are joined.
 Copies of a page thus send a narrow row each, and adaptive execution can split
 the rows of a digest that many pages share.
 
+The query makes a page of each document: its paragraphs, and after the first a
+figure that shows the document's payload under a caption. It returns what the
+resolved reference holds, with its position, its caption and a digest of all
+items of the page in order (``items_digest``).
+
 Defined results: null HTML has no items; unclosed tags, comments, scripts and
 styles are no text; an image without a caption has the caption of its figure,
 else its alternative text, else none; a reference that is not ``media:<digest>``
@@ -29,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from polyweave.llm import arrowkit as A
 from polyweave.llm.tables import land, ship
@@ -101,26 +107,34 @@ def parse(page: str | None) -> list[dict]:
     return [{"pos": i, **item} for i, item in enumerate(items)]
 
 
-def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, items) of ``pages(key, html)``: each page's texts and media references in order."""
+def sequences(pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, items, keep...) of ``pages(key, html)``: each page's texts and media references in order."""
     ship(pages.sparkSession)
-    given = pages.select(F.col(key).cast("long").alias("key"), F.col("html").cast("string"))
-    schema = pa.schema([("key", pa.int64()), ("items", pa.list_(_ITEM))])
+    given = pages.select(F.col(key).cast("long").alias(key), F.col("html").cast("string").alias("html"), *keep)
+    schema = StructType([*StructType.fromDDL(f"`{key}` long, items {_ITEMS_SQL}"), *(given.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield A.batch(schema, part.column(0), [parse(page) for page in part.column(1).to_pylist()])
+                items = pa.array([parse(page) for page in part.column(1).to_pylist()], pa.list_(_ITEM))
+                yield pa.RecordBatch.from_arrays([part.column(0), items, *part.columns[2:]], names=[key, "items", *keep])
 
-    return given.mapInArrow(run, f"key long, items {_ITEMS_SQL}").withColumnRenamed("key", key)
+    return given.mapInArrow(run, schema)
 
 
 def references(sequences: DataFrame) -> DataFrame:
     """A row per media reference of the sequences, with its position and caption."""
-    key = sequences.columns[0]
+    others = [c for c in sequences.columns if c != "items"]
     media = F.filter("items", lambda i: i["kind"] != "text")
-    return sequences.select(key, F.explode(media).alias("i")).select(key, "i.pos", "i.kind", "i.address", "i.digest", "i.caption")
+    return sequences.select(*others, F.explode(media).alias("i")).select(*others, "i.pos", "i.kind", "i.address", "i.digest", "i.caption")
+
+
+def items_digest(items: str) -> Column:
+    """SHA-256 over a page's items in order, each as its kind, text or address, and caption; 30 and 31 stand between."""
+    none = F.lit("")
+    each = F.transform(items, lambda i: F.concat_ws("\x1f", i["kind"], F.coalesce(i["text"], i["address"], none), F.coalesce(i["caption"], none)))
+    return F.sha2(F.array_join(each, "\x1e").cast("binary"), 256)
 
 
 def payload(text: str) -> Column:
@@ -144,12 +158,22 @@ def samples(data: bytes) -> np.ndarray:
     return np.frombuffer(rest, np.uint8).reshape(int(height), int(width))
 
 
+def _means(image: np.ndarray, down: int, across: int) -> np.ndarray:
+    """Means of the image cut into nearly equal parts, fewer where it has fewer samples."""
+    cuts = []
+    for n, k in zip(image.shape, (down, across)):
+        k = min(n, k)
+        cuts.append(np.arange(k) * (n // k) + np.minimum(np.arange(k), n % k))
+    sums = np.add.reduceat(np.add.reduceat(image, cuts[0], axis=0, dtype=np.int64), cuts[1], axis=1)
+    return sums / np.outer(*(np.diff(np.append(c, n)) for c, n in zip(cuts, image.shape)))
+
+
 def feature(image: np.ndarray) -> str:
     """Size, brightness, contrast, four bands from top to bottom, and an 8 x 8 average hash."""
-    bands = [float(x.mean()) for x in np.array_split(image, 4)]
-    tiles = np.array([[x.mean() for x in np.array_split(rows, 8, axis=1)] for rows in np.array_split(image, 8)])
-    bits = int("".join("1" if x else "0" for x in (tiles > tiles.mean()).ravel()), 2)
-    return f"{image.shape[1]}x{image.shape[0]};mean={image.mean():.4f};std={image.std():.4f};bands={','.join(f'{x:.3f}' for x in bands)};hash={bits:016x}"
+    tiles = _means(image, 8, 8)
+    bits = int("".join("1" if x else "0" for x in (tiles > tiles.mean()).ravel().tolist()), 2)
+    bands = ",".join(f"{x:.3f}" for x in _means(image, 4, 1).ravel().tolist())
+    return f"{image.shape[1]}x{image.shape[0]};mean={image.mean():.4f};std={image.std():.4f};bands={bands};hash={bits:016x}"
 
 
 def store(media: DataFrame) -> DataFrame:
@@ -190,20 +214,30 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def document_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, html): each document as a page of its paragraphs and a figure that shows its payload."""
+    """(doc_id, html, n_bytes): each document as a page of its paragraphs and, after the first, a figure that shows its payload."""
     text = F.coalesce("text", F.lit(""))
     safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    body = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
-    size = F.octet_length(F.encode(text, "UTF-8"))
+    first = F.substring_index(safe, "\n", 1)
+    rest = F.substr(safe, F.length(first) + 2)
     digest = F.sha2(stored(payload("text")), 256)
-    figure = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>'), size.cast("string"), F.lit("</figcaption></figure>"))
-    return documents.select("doc_id", F.concat(F.lit("<article>"), body, figure, F.lit("</article>")).alias("html"))
+    caption = F.concat(F.lit("Payload of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")))
+    figure = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    body = F.concat(F.lit("<p>"), first, F.lit("</p>"), figure, F.lit("<p>"), F.replace(rest, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return documents.select("doc_id", F.concat(F.lit("<article>"), body, F.lit("</article>")).alias("html"), F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("n_bytes"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document's payload stored, referenced from its page, resolved by digest and read back."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     media = decoded(store(documents.select(stored(payload("text")).alias("data"))))
-    refs = references(sequences(document_pages(documents), "doc_id")).withColumn("n_bytes", F.col("caption").cast("long"))
-    columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    pages = sequences(document_pages(documents), "doc_id", keep=("n_bytes",))
+    refs = references(pages.withColumn("items_sha256", items_digest("items")).withColumn("n_items", F.size("items")))
+    columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items", "items_sha256")
     return resolve(refs, media).select("doc_id", "n_bytes", *columns)
+
+
+def pages_query(spark, sf_dir: str) -> DataFrame:
+    """Per web page: its items, those that are media, and the digest of all in order."""
+    pages = sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    media = F.size(F.filter("items", lambda i: i["kind"] != "text"))
+    return pages.select("page_id", F.size("items").alias("n_items"), media.alias("n_media"), items_digest("items").alias("items_sha256"))

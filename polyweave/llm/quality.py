@@ -1,14 +1,13 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of the learned vectors of its features: each word,
-each byte trigram and four-gram within a word (its borders included), each
-hashed to a bucket, and one feature for a word that repeats the word before it.
-A softmax over the two labels follows. Whole texts count.
+A document is the average of the learned vectors of its features: each word and
+each byte trigram and four-gram within a word (its borders included), hashed to
+a bucket each. A softmax over the two labels follows. Whole texts count.
 
 Method: the vectors and the output layer are trained by plain stochastic
 gradient descent in numpy, one document at a time, on a bounded sample of
 labelled documents (``per_label`` each, by hash of the id). The sample's feature
-counts (six bytes a distinct feature, ``2 * BUCKETS + 1`` a document at most)
+counts (eight bytes a distinct feature, ``2 * BUCKETS`` a document at most)
 are gathered on the driver. As the output layer is linear in the average, every
 feature's contribution to the two outputs is one number; a document's score is
 the average of these, which needs no vector per word.
@@ -34,7 +33,7 @@ from polyweave.llm.tables import set_aside, ship
 
 #: Hash buckets of words, and as many of byte n-grams.
 BUCKETS = 1 << 15
-FEATURES = 2 * BUCKETS + 1
+FEATURES = 2 * BUCKETS
 
 #: Score from which a document is predicted good.
 THRESHOLD = 0.7
@@ -45,8 +44,6 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     starts, ends, at = T.word_spans(raw, offsets)
     row, hashes = T.row_of(at), T.word_hashes(raw, starts, ends)
     yield (hashes >> np.uint64(49)).astype(np.int32), row
-    again = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-    yield np.full(int(again.sum()), FEATURES - 1, np.int32), row[1:][again]
     space = T.SPACE[raw]
     low = np.where(space, np.uint8(0x20), raw).astype(np.uint32)
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
@@ -107,7 +104,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = 600, held_out:
     ship(documents.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = sample(known, "quality", per_label, seed=9)
+    chosen = sample(known, "quality", per_label, 9, 2, 2 * per_label)
     texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 

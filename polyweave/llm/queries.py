@@ -26,9 +26,9 @@ QUERIES = {
     "op8_source_mixing": source_mixing.query,
     "op9_quality_classifier": quality.query,
     "op10_media_columns": media.query,
+    "page_sequences": media.pages_query,
 }
 
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
-    "op8_source_mixing": source_mixing.ORACLE,
 }
