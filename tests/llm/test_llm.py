@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import html.parser
 import re
 import struct
 import zlib
@@ -7,9 +8,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from polyweave.llm import embedding_dedup, language_id, license_rules, license_scan, line_dedup, media, ngram_jaccard, packing, quality, queries, source_mixing, substring_dedup
+from polyweave.llm import textkit as T
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, doc int, n int, part int, cut int, k1 int, key int, taken int, score int, epochs int, s int, hub int"
@@ -51,12 +54,18 @@ def key(i):
     return (1 << 63) - 1 if i is None else i
 
 
+def tag(text):
+    """Order of rows of one id: 63 bits of the hash of the text."""
+    return (42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)) & ((1 << 63) - 1)
+
+
 def distinct(rows):
-    return sorted({(key(i), t) for i, t, *_ in rows}, key=lambda r: (r[0], r[1] or ""))
+    """The documents: rows of equal id and text are one."""
+    return sorted({(key(i), tag(t), t) for i, t, *_ in rows}, key=lambda r: r[:2])
 
 
 def brute_windows(rows, n=20):
-    first, docs = {}, [(i, (t or "").encode().split()) for i, t in distinct(rows)]
+    first, docs = {}, [((i, x), (t or "").encode().split()) for i, x, t in distinct(rows)]
     for i, w in docs:
         for s in range(len(w) - n + 1):
             first.setdefault(tuple(w[s : s + n]), (i, s))
@@ -65,7 +74,16 @@ def brute_windows(rows, n=20):
         for s in range(len(w) - n + 1):
             if first[tuple(w[s : s + n])] < (i, s):
                 gone[i].update(range(s, s + n))
-    return {(i, len(w), sum(x < len(w) for x in gone[i]), b" ".join(x for k, x in enumerate(w) if k not in gone[i]).decode()) for i, w in docs}
+    return {(i[0], len(w), len(gone[i]), b" ".join(x for k, x in enumerate(w) if k not in gone[i]).decode()) for i, w in docs}
+
+
+#: Unique texts beside repeated ones under null and repeated ids.
+TWICE = [(1, "base"), (None, "base"), (None, "other"), (7, "base"), (7, "third"), (7, "third"), (None, "other")]
+
+
+def twice(spark, words):
+    texts = {"base": prose(31, words), "other": prose(32, words), "third": prose(33, words)}
+    return texts, spark.createDataFrame([(i, texts[t]) for i, t in TWICE], "doc_id long, text string").repartition(3)
 
 
 def test_substring_dedup(spark, sf, documents, rows):
@@ -75,45 +93,80 @@ def test_substring_dedup(spark, sf, documents, rows):
         assert {(key(r[0]), *r[1:]) for r in got} == brute_windows(given)
 
 
-def brute_lines(rows):
-    seen, sub, less, full, gone = {}, {}, {}, {}, set()
+def test_repeated_ids_are_documents_of_their_own(spark):
+    texts, df = twice(spark, 40)
+    want = collections.Counter((i, "" if t == "base" and i != 1 else texts[t]) for i, t in TWICE)
+    got = substring_dedup.dedup_substrings(df, bits=18).collect()
+    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == want
+    got = line_dedup.dedup_lines(df).collect()
+    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == want
+    assert collections.Counter((r.doc_id, r.text) for r in line_dedup.rewrite(df).collect()) == collections.Counter({k: n for k, n in want.items() if k[1]})
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(top, texts["base"]), (None, texts["base"]), (None, texts["other"])], "doc_id long, text string")
+    for got in (substring_dedup.dedup_substrings(df, bits=18), line_dedup.dedup_lines(df)):
+        assert sorted((r.doc_id is None, r.n_removed > 0) for r in got.collect()) == [(False, False), (True, False), (True, True)]
+
+
+def edit(x, y):
+    """Whether one word more, less or else turns x into y, by trying each."""
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) == 1
+    x, y = sorted((x, y), key=len)
+    return len(y) == len(x) + 1 and any(y[:c] + y[c + 1 :] == x for c in range(len(y)))
+
+
+def brute_lines(rows, min_words=1, near_words=3):
+    """(id, lines, lines removed, text left) of every document; entirely long lines are compared pair by pair."""
+    seen, full, less, long, gone = {}, set(), set(), [], set()
     docs = distinct(rows)
-    for i, t in docs:
+    for i, x, t in docs:
         for k, line in enumerate((t or "").encode().split(b"\n")):
             w = tuple(line.translate(LOWER).split())
-            if len(w) >= 3 and seen.setdefault(w, (i, k)) != (i, k):
-                gone.add((i, k))
-            if 8 <= len(w) < 1000:
-                variants = [(w[:c] + w[c + 1 :], c) for c in range(len(w))]
-                if w in less or any(v in sub or v[0] in full for v in variants):
-                    gone.add((i, k))
-                for v in variants:
-                    sub.setdefault(v, 0)
-                    less.setdefault(v[0], 0)
-                full.setdefault(w, 0)
+            if len(w) >= min_words and seen.setdefault(w, (i, x, k)) != (i, x, k):
+                gone.add((i, x, k))
+            if len(w) >= 1000:
+                if any(edit(w, v) for v in long):
+                    gone.add((i, x, k))
+                long.append(w)
+            elif len(w) >= near_words:
+                cuts = [(w[:c] + w[c + 1 :], c) for c in range(len(w))]
+                if (w, None) in less or any(v in less or v[0] in full for v in cuts):
+                    gone.add((i, x, k))
+                less.update(cuts, ((v, None) for v, _ in cuts))
+                full.add(w)
     out = set()
-    for i, t in docs:
+    for i, x, t in docs:
         own = (t or "").split("\n")
-        left = [s for k, s in enumerate(own) if (i, k) not in gone]
-        if len(left) < len(own) and not any(len(s.encode().split()) >= 3 for s in left):
-            left = []
+        left = [s for k, s in enumerate(own) if (i, x, k) not in gone]
         out.add((i, len(own), len(own) - len(left), "\n".join(left)))
     return out
 
 
-def test_line_dedup(spark, sf, documents, rows):
-    for df, given in ((documents, rows), real(spark, sf)):
-        got = line_dedup.dedup_lines(df, bits=20).select("doc_id", "n_lines", "n_removed", "kept_text").collect()
+@pytest.mark.parametrize("min_words, near_words", [(1, 3), (1, 1), (3, 8)])
+def test_line_dedup(spark, sf, documents, rows, min_words, near_words):
+    short = [(50, "One.\na b c\nnew here"), (51, "one.\na b d\nalso new"), (52, "a c\na b c d\nnew here\nlast"), (53, "x y z u v w\nx y u v w\nx z u v\ntwo words"), (54, "two wards")]
+    huge = prose(41, 1500).split()
+    short += [(60, " ".join(huge)), (61, " ".join([*huge[:700], "other", *huge[701:]])), (62, " ".join([*huge[:30], "added", *huge[30:]])), (63, " ".join([*huge[:1400], *huge[1402:]]))]
+    own = documents.select("doc_id", "text").union(spark.createDataFrame(short, "doc_id long, text string"))
+    for df, given in ((own, [r[:2] for r in rows] + short), real(spark, sf))[: 2 if near_words == 3 else 1]:
+        got = line_dedup.dedup_lines(df, min_words, near_words).select("doc_id", "n_lines", "n_removed", "kept_text").collect()
         assert len(got) == len(given)
-        assert {(key(r[0]), *r[1:3], r[3] or "") for r in got} == brute_lines(given)
-    kept = line_dedup.rewrite(documents, bits=20)
-    assert kept.columns == documents.columns
-    assert {key(r.doc_id) for r in kept.collect()} >= {2, 3, 4, 6, 8, 10, 13} and 9 not in {r.doc_id for r in kept.collect()}
+        assert {(key(r[0]), *r[1:3], r[3] or "") for r in got} == brute_lines(given, min_words, near_words)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, 4, 3)
+
+
+def test_line_dedup_of_a_large_family(spark):
+    """Thousands of copies, and lines that differ from one line in a word each, over many batches."""
+    line = prose(42, 12).split()
+    rows = [(i, " ".join(line)) for i in range(3000)] + [(3000 + i, " ".join([*line[: i % 12], f"x{i}", *line[i % 12 + i % 2 :]])) for i in range(500)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), bits=18).collect()
+    assert {r.doc_id for r in got if not r.n_removed} == {0} and len(got) == len(rows)
 
 
 def brute_jaccard(rows):
     sets = {}
-    for i, t in distinct(rows):
+    for i, _, t in distinct(rows):
         w = (t or "").encode().translate(LOWER).split()
         sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     parent = {i: i for i in sets}
@@ -154,6 +207,18 @@ def test_ngram_jaccard(spark, sf, documents, rows, block, monkeypatch):
     assert ngram_jaccard.keep_first(documents, bits=20).columns == documents.columns
 
 
+def test_ngram_jaccard_of_repeated_ids(spark):
+    """Texts under one id or none link only where their own words do; of each component one row stays."""
+    a, b, c = (prose(k, 60) for k in (51, 52, 53))
+    rows = [(None, a), (5, a), (None, b), (6, b + " more"), (9, c), (9, a + " end"), (None, c), (None, None), (None, " "), (None, a), (5, a), (None, "x y z"), (None, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {a: 5, b: 6, c: 9}
+    got = ngram_jaccard.jaccard_components(df, bits=18).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == collections.Counter((i, next((n for s, n in want.items() if (t or "").startswith(s)), None)) for i, t in rows)
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_jaccard.keep_first(df, bits=18).collect())
+    assert kept == collections.Counter([(5, a), (6, b + " more"), (9, c), (None, None), (None, " "), (None, "x y z")])
+
+
 def test_packing(spark, documents, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -180,9 +245,51 @@ def test_packing(spark, documents, rows):
             at += n
         sizes.append(at)
     assert sorted(places) == list(range(len(sizes))) and set(sizes[:-1]) <= {512} and 0 < sizes[-1] <= 512
-    totals = np.array([70_000, 3, 0, 911], np.int64)
-    q = packing.quotas(np.arange(0, 140), totals, 512)
-    assert (np.diff(q, axis=0) >= 0).all() and (q[-1] == totals).all() and (q.sum(axis=1) == np.minimum(np.arange(140) * 512, totals.sum())).all()
+
+    for weights in (None, {"a": 3.0, "b": 1.0}):  # windows against all ids sorted by when they are due
+        got = packing.pack(documents, path, 512, weights=weights, rest=2.0).collect()
+        queue = {s: k for k, s in enumerate(["a", "b", None])}
+        source = collections.defaultdict(set)
+        for r in rows:
+            source[r[0], len(ids[r[1]])].add(r[3])
+        assert all(len(x) == 1 for x in source.values())
+        held = collections.Counter()
+        for r in got:
+            held[r.sequence_id, queue[min(source[r.doc_id, r.doc_tokens], key=str)]] += r.length
+        totals = [sum(n for (_, q), n in held.items() if q == k) for k in range(3)]
+        each = totals if weights is None else [3, 1, 2]
+        order = sorted(((k + 1) / w, q) for q, (n, w) in enumerate(zip(totals, each)) for k in range(n))
+        assert held == collections.Counter((at // 512, q) for at, (_, q) in enumerate(order))
+    some = packing.pack(documents, path, 512, queues=1).groupBy().sum("length").first()[0]
+    assert some == sum(r.length for r in got)
+    with pytest.raises(ValueError):
+        packing.pack(documents, path, weights={"a": 0.0})
+
+
+@pytest.mark.parametrize("totals, weights", [([70_000, 3, 0, 911], None), ([5000, 3, 0, 911], [1, 5, 1, 2]), ([0, 0], None), ([7], None)])
+def test_quotas(totals, weights):
+    """Windows take what stands in them when all ids are sorted by when they are due."""
+    weights = weights or [max(n, 1) for n in totals]
+    q = packing.Quotas(totals, weights, 64)
+    order = sorted(((k + 1) / w, i) for i, (n, w) in enumerate(zip(totals, weights)) for k in range(n))
+    want = np.zeros((len(order) // 64 + 3, len(totals)), np.int64)
+    for at, (_, i) in enumerate(order):
+        want[at // 64 + 1 :, i] += 1
+    assert (q.upto(np.arange(len(want))) == want).all()
+    for i, n in enumerate(totals):
+        for place in range(0, n, 7):
+            w = int(np.searchsorted(want[:, i], place, side="right")) - 1
+            assert {w, w + 1} <= set(q.around(i, place, place + 1).tolist())
+
+
+def test_rare_source_costs_its_own_ids():
+    q = packing.Quotas([2_000_000_000_000, 100], [2_000_000_000_000, 100], 4096)
+    windows = np.unique(q.around(1, 0, 100))
+    assert len(windows) <= 600 and windows[-1] - windows[0] > 10**8
+    upto = q.upto(windows)
+    for place in range(100):
+        w = int(np.searchsorted(upto[:, 1], place, side="right")) - 1
+        assert upto[w, 1] == place and upto[w + 1, 1] == place + 1 and windows[w + 1] == windows[w] + 1
 
 
 def test_mixing(spark, sf, documents, rows):
@@ -197,6 +304,16 @@ def test_mixing(spark, sf, documents, rows):
     assert sum(len((r.text or "").encode().split()) for r in docs.collect()) == sum(taken.values())
 
 
+def test_mixing_against_sql(spark, sf, tmp_path):
+    """The query's rows are those of SQL over the documents and their scores."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    quality.score(docs, quality.fit(docs, labels)).write.parquet(f"{tmp_path}/scored")
+    con = duckdb.connect()
+    con.execute(f"create view scored as select * from '{tmp_path}/scored/*.parquet'")
+    df = source_mixing.query(spark, sf)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"select {', '.join(df.columns)} from ({source_mixing.ORACLE})").fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
@@ -216,9 +333,33 @@ def test_license_scan(spark, documents, rows):
     found = {r.doc_id: r for r in license_scan.summary(license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
     assert (found[1].n_base, found[1].first_word, found[1].last_word) == (3000, 0, 5998)
     assert (found[2].n_base, found[2].base_labels, found[2].last_word) == (4, "cc-by,reserved", 7) and found[3].labels == "mit"
+    assert not any(" " in t for t in license_rules.TRIGGERS)
     for r in license_rules.rules():
-        plain = r["pattern"].replace("[cs]", "s")
-        assert any(t in plain for t in license_rules.TRIGGERS) or plain.startswith("^cc by")
+        plain, old = r["pattern"].replace("[cs]", "s"), None
+        while plain != old:  # what any match has: neither optional parts nor one of several
+            old, plain = plain, re.sub(r"\([^()]*\)\?|[a-z]\?", "", plain)
+        choices = [c for part in re.findall(r"\(([^()]*\|[^()]*)\)", plain) if "$" not in part for c in [part.split("|")]]
+        plain = re.sub(r"\([^()]*\|[^()]*\)", "#", plain)
+        has = lambda x: any(t in x for t in license_rules.TRIGGERS)
+        assert has(plain) or plain.startswith("^cc by") or any(all(map(has, c)) for c in choices), r
+        assert re.match(r"\^\(?[a-z|]*" + r["keyword"][:-1], r["pattern"])
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software", "mit"),
+    ("Neither the name of the Example Corp. nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("under the GNU GPL; either version 3 of the License, or\n(at your option) any later version.", "gpl-3.0-or-later"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("GNU General Public License v2.0 only, with the Classpath Exception", "classpath-exception"),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa-4.0"),
+    ("Altered source versions must be plainly\nmarked as such", "zlib"), ("The Software shall be used for Good, not Evil.", "json"),
+    ("Reproduction in whole or in part without written permission", "proprietary"), ("for non-commercial use only", "non-commercial"),
+    ("LLAMA 3.1 Community License Agreement", "llama"), ("Redistributions of any form whatsoever must retain the following acknowledgment", "openssl"),
+])
+def test_license_notices(spark, text, label):
+    row = license_scan.summary(license_scan.scan(spark.createDataFrame([(1, f"Some words before.\n{text}\nand after")], "doc_id long, text string"))).first()
+    assert label in row.labels.split(",")
 
 
 def test_language_id(spark, sf, documents, rows):
@@ -231,10 +372,56 @@ def test_language_id(spark, sf, documents, rows):
     edge = {r.doc_id: r for r in language_id.predict(documents, model).collect()}
     assert {i for i, r in edge.items() if r.lang_pred == "und"} >= {3, 4, 6} and all(0 <= r.score <= 1 for r in edge.values())
     assert edge[9].score == edge[2].score and edge[2].held_out == (zlib.crc32(b"2") % 5 == 0)
+    few = language_id.fit(df, per_language=50, languages=2)
+    assert len(few.names) == 2 and len(language_id.fit(df, sampled=8).marks) == 8
     none = language_id.fit(df.where("false"))
     assert none is None and {r.lang_pred for r in language_id.predict(documents, none).collect()} == {"und"}
 
 
+def grams(text, buckets):
+    """Buckets of a text's n-grams of letters, one by one."""
+    low = bytes(b if b >= 0x80 else b | 0x20 if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else 0x20 for b in text.encode())
+    for k in (1, 2, 3, 4):
+        for i in range(len(low) - k + 1):
+            code = int.from_bytes(low[i : i + k], "big")
+            code = ((code ^ (k * 0x3C6EF372 & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF) ^ (code >> 15)
+            yield (code * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - (buckets.bit_length() - 1))
+
+
+def test_language_scores_by_brute_force(spark, sf):
+    """Scores from sets of n-grams, kernel by kernel."""
+    df, given = real(spark, sf)
+    model = language_id.fit(df, per_language=40, landmarks=16)
+    marks = [set(np.flatnonzero(m).tolist()) for m in model.marks]
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    for i, t in given[:40]:
+        if not any(c.isalpha() for c in t or ""):
+            continue
+        own = set(grams(t, 1 << 14))
+        kernel = np.array([len(own & m) / (len(own) * len(m)) ** 0.5 for m in marks])
+        value = np.exp(4 * (kernel @ model.weights + model.bias))
+        assert got[i].lang_pred == model.names[int(value.argmax())] and abs(got[i].score - value.max() / value.sum()) < 1e-4
+
+
+def test_quality_scores_by_brute_force(spark, sf):
+    """Scores as the mean over features taken one by one."""
+    df, given = real(spark, sf)
+    model = quality.fit(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    space = b" \t\n\x0b\x0c\r"
+    for i, t in sorted(given, key=lambda r: len(r[1] or ""))[:60]:
+        raw = (t or "").encode()
+        found = [int(T.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 49 for w in raw.split()]
+        for k in (3, 4):
+            for at in range(len(raw) - k + 1):
+                if not any(b in space for b in raw[at + 1 : at + k - 1]):
+                    code = int.from_bytes(bytes(0x20 if b in space else b for b in raw[at : at + k]), "big")
+                    code = ((code ^ (code >> 13)) * (0x9E3779B1 + 2 * k) & 0xFFFFFFFF) ^ (code >> 7)
+                    found.append((code * 0x85EBCA6B & 0xFFFFFFFF) >> 17 | quality.BUCKETS)
+        value = sum(model.table[f] for f in found) / max(len(found), 1) + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-value))) < 1e-9
+
+
 def test_quality(spark, documents, rows):
     sf = "/root/testdata/sf0.01"
     df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -249,19 +436,75 @@ def test_quality(spark, documents, rows):
     assert {r.predicted for r in quality.score(documents, quality.fit(df, labels.where("false"))).collect()} == {1}
 
 
-def test_media(spark, documents, rows):
-    store = media.store(documents.select(media.stored(media.payload("text")).alias("data")))
-    refs = media.references(media.sequences(media.document_pages(documents), "doc_id"))
-    got = media.resolve(refs, media.decoded(store)).collect()
-    assert len(got) == len(rows)
-    texts = collections.defaultdict(set)
+def digest(items):
+    return hashlib.sha256("\x1e".join("\x1f".join((kind, text or "", caption or "")) for kind, text, caption in items).encode()).hexdigest()
+
+
+def brute_feature(image):
+    bands = [float(x.mean()) for x in np.array_split(image, 4)]
+    tiles = np.array([[x.mean() for x in np.array_split(rows, 8, axis=1)] for rows in np.array_split(image, 8)])
+    bits = int("".join("1" if x else "0" for x in (tiles > tiles.mean()).ravel()), 2)
+    return f"{image.shape[1]}x{image.shape[0]};mean={image.mean():.4f};std={image.std():.4f};bands={','.join(f'{x:.3f}' for x in bands)};hash={bits:016x}"
+
+
+def test_media(spark, documents, rows, tmp_path):
+    """All that the query returns, against the texts alone."""
+    documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    want = collections.Counter()
     for i, t, *_ in rows:
-        texts[i].add(t or "")
-    for r in got:
-        raw = next(t.encode() for t in texts[r.doc_id] if len(t.encode()) == int(r.caption) or len(texts[r.doc_id]) == 1)
+        raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         data = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
-        assert (r.payload_sha256, r.tail_crc32, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(data).hexdigest())
+        first, *rest = [" ".join(x.split()) for x in (t or "").split("\n")]
+        caption = f"Payload of document {'without id' if i is None else i}"
+        items = [("text", first, None)] * bool(first) + [("img", f"media:{hashlib.sha256(data).hexdigest()}", caption)] + [("text", x, None) for x in rest if x]
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        want[
+            i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
+            brute_feature(image), int(bool(first)), caption, len(items), digest(items),
+        ] += 1
+    assert collections.Counter(map(tuple, media.query(spark, str(tmp_path)).collect())) == want
+
+
+class Reader(html.parser.HTMLParser):
+    """Text and media of a page, by the parser of the standard library."""
+
+    BLOCKS = "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
+
+    def __init__(self, page):
+        super().__init__()
+        self.items, self.held, self.hidden = [], "", False
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join(self.held.split()):
+            self.items.append(("text", text, None))
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.hidden |= tag in ("script", "style")
+        assert tag not in ("img", "video", "audio", "source", "embed")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.hidden &= tag not in ("script", "style")
+
+    def handle_data(self, data):
+        self.held += "" if self.hidden else data
+
+
+def test_page_sequences(spark, sf):
+    given = {r.page_id: Reader(r.html).items for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: (r.n_items, r.n_media, r.items_sha256) for r in media.pages_query(spark, sf).collect()}
+    assert got == {i: (len(x), 0, digest(x)) for i, x in given.items()} and sum(len(x) for x in given.values()) > 100
+
+
+def test_parse():
     page = '<p>One &amp; <b>two</b><!-- <img src=x> --><script>"<img src=y>"</script><figure><img src="media:d1" alt="a"><img src=u.png><figcaption>The <i>cap</i></figcaption></figure>tail<img alt="only" src=\'v.png\'><p>'
     items = media.parse(page)
     assert [(i["pos"], i["kind"], i.get("text") or i["address"], i.get("caption")) for i in items] == [
@@ -294,6 +537,14 @@ def test_embeddings(spark, cell, monkeypatch):
     assert {r.vec_id: tuple(r)[1:] for r in got if r.vec_id is not None} == want and len(got) == len(rows)
 
 
+def test_embeddings_of_repeated_ids_and_any_size(spark):
+    """Every row has its own vector's links; squares of components may over- or underflow."""
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (1, [0.0, 2.0], "a"), (3, [1e200, 1e190], "a"), (4, [1e-300, 0.0], "a"), (1, [1.0, 0.0], "a"), (9, [-1e308, 0.0], "b"), (8, [-5e-324, 0.0], "b"), (9, [1.0, 1.0], "b")]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)).collect()
+    want = [(1, 3, 1), (1, 3, 1), (3, 3, 1), (4, 3, 1), (1, 1, 1), (2, 1, 1), (8, 1, 8), (9, 1, 8), (9, 0, 9)]
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in got) == collections.Counter(want) and all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
 def test_embeddings_of_rescaled_copies(spark, monkeypatch):
     """Pivots that differ in the last bits only: copies of one vector by FLOAT factors, and vectors at the edge of the radius around them."""
     monkeypatch.setattr(embedding_dedup, "CELL", 40)
@@ -315,40 +566,6 @@ def test_embeddings_of_rescaled_copies(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == {i: int(n) - 1 for i, n in enumerate((near >= 0.98).sum(axis=1))}
 
 
-def brute_whole_lines(rows):
-    """Lines gone, as (document, line): equal ones of any word, and ones of three words or more within an edit of an earlier one."""
-    seen, full, less, gone = {}, set(), set(), set()
-    for i, t in distinct(rows):
-        for k, line in enumerate((t or "").encode().split(b"\n")):
-            w = tuple(line.translate(LOWER).split())
-            if w and seen.setdefault(w, (i, k)) != (i, k):
-                gone.add((i, k))
-            if 3 <= len(w) < 1000:
-                cuts = [(w[:c] + w[c + 1 :], c) for c in range(len(w))]
-                if (w, None) in less or any(v in less or v[0] in full for v in cuts):
-                    gone.add((i, k))
-                less.update(cuts, ((v, None) for v, _ in cuts))
-                full.add(w)
-    return gone
-
-
-def test_line_dedup_query_on_short_lines(spark, sf, tmp_path):
-    """What op3 and the pipeline's stage leave, of short lines among others."""
-    short = [(1, "One.\na b c\nnew here"), (2, "one.\na b d\nalso new"), (3, "a c\na b c d\nnew here\nlast"), (4, "x y z u v w\nx y u v w\nx z u v\ntwo words"), (5, "two wards")]
-    made = spark.createDataFrame(short, "doc_id long, text string")
-    given = short + [(100 + i, t) for i, t in real(spark, sf)[1]]
-    spark.createDataFrame(given, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    gone, want = brute_whole_lines(given), {}
-    for i, t in given:
-        own = (t or "").split("\n")
-        left = [s for k, s in enumerate(own) if (i, k) not in gone]
-        if any(s.encode().split() for s in left):
-            want[i] = (len(own), len(own) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())
-    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.query(spark, str(tmp_path)).collect()}
-    assert len(got) == len(given) and {i: got[i] for i in want} == want and got[2][:2] == (3, 2)
-    assert {r.doc_id: r.text for r in line_dedup.rewrite(made, bits=20).collect()} == {1: short[0][1], 2: "also new", 3: "a c\nlast", 4: "x y z u v w\nx z u v\ntwo words", 5: "two wards"}
-
-
 def test_line_dedup_removes_repeats_only(spark, tmp_path):
     """Lines that occur nowhere earlier stay, whatever else their document loses."""
     footer = "all rights of this page are reserved"
@@ -391,8 +608,8 @@ def test_packing_of_more_words_than_kept(monkeypatch):
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     for df in (
-        substring_dedup.dedup_substrings(none, bits=18), line_dedup.dedup_lines(none, bits=18), ngram_jaccard.jaccard_components(none, bits=18), source_mixing.mix(none),
-        license_scan.summary(license_scan.scan(none)), media.references(media.sequences(media.document_pages(none), "doc_id")),
+        substring_dedup.dedup_substrings(none, bits=18), line_dedup.dedup_lines(none), ngram_jaccard.jaccard_components(none, bits=18), source_mixing.mix(none),
+        license_scan.summary(license_scan.scan(none)), media.references(media.sequences(media.document_pages(none), "doc_id", ("n_bytes",))),
         embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")), packing.pack_query(none),
     ):
         assert df.count() == 0
