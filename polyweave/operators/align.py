@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,38 +16,44 @@ from polyweave.functions import text as T
 def frontier(candidates: DataFrame, block: list[str], least: float, override: float, tolerance: int = X.TOLERANCE_WORDS, gated: bool = True) -> DataFrame:
     """Best span per sentence; with the gate, spans far behind the last accepted one need the override score.
 
-    ``candidates`` has (block..., i, s, e, sim). The state is one number per block, folded over its sentences in order.
+    ``candidates`` has (block..., i, s, e, sim). The state is one number per block, folded over its sentences in order;
+    a block is one paragraph.
     """
     if not gated:
         best = F.row_number().over(Window.partitionBy(*block, "i").orderBy(F.desc("sim"), "s", "e"))
         return candidates.where(F.col("sim") >= least).withColumn("r", best).where("r = 1").drop("r")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "sim", "s", "e"], ascending=[True, False, True, True])
-        at, keep = 0, []
-        for _, rows in pdf.groupby("i", sort=True):
-            need = rows["s"].ge(at - tolerance).map({True: least, False: override})
-            fit = rows[rows["sim"] >= need]
-            if len(fit):
-                keep.append(fit.index[0])
-                at = max(at, int(fit["e"].iloc[0]))
-        return pdf.loc[keep]
+        order = np.lexsort((pdf["e"], pdf["s"], -pdf["sim"], pdf["i"]))
+        at, done, keep = 0, None, []
+        for n, i, s, e, sim in zip(order.tolist(), *(pdf[c].to_numpy()[order].tolist() for c in ("i", "s", "e", "sim"))):
+            if i != done and sim >= (least if s >= at - tolerance else override):
+                keep.append(n)
+                at, done = max(at, e), i
+        return pdf.iloc[keep]
 
-    return candidates.groupBy(*block).applyInPandas(walk, candidates.schema)
+    return candidates.where(F.col("sim") >= min(least, override)).groupBy(*block).applyInPandas(walk, candidates.schema)
 
 
 def deoverlap(accepted: DataFrame, block: list[str]) -> DataFrame:
-    """Spans by descending score, each kept if it overlaps none kept before; half-open, touching is allowed."""
-    spans = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("n"), "i", "s", "e")))
-    none = F.array().cast("array<struct<n:double,i:long,s:long,e:long>>")
-
-    def step(kept: Column, x: Column) -> Column:
-        hit = F.exists(kept, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"]))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(x)))
+    """Spans by descending score, each kept if it overlaps none kept before; half-open, touching is allowed.
 
+    The kept spans of a block, one paragraph, stand sorted, so a span is compared with its two neighbours.
+    """
     given = accepted.select(*block, F.col("i").cast("long"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("sim").cast("double"))
-    rows = given.groupBy(*block).agg(F.aggregate(spans, none, step).alias("k"))
-    return rows.select(*block, F.explode("k").alias("x")).select(*block, "x.i", "x.s", "x.e", (-F.col("x.n")).alias("sim"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf["e"], pdf["s"], pdf["i"], -pdf["sim"]))
+        starts, ends, keep = [], [], []
+        for n, s, e in zip(order.tolist(), *(pdf[c].to_numpy()[order].tolist() for c in ("s", "e"))):
+            k = bisect.bisect_left(starts, s)
+            if (k == 0 or ends[k - 1] <= s) and (k == len(starts) or e <= starts[k]):
+                starts.insert(k, s)
+                ends.insert(k, e)
+                keep.append(n)
+        return pdf.iloc[keep]
+
+    return given.groupBy(*block).applyInPandas(pick, given.schema)
 
 
 def segments(kept: DataFrame, lengths: DataFrame, block: list[str]) -> DataFrame:

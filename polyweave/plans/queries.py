@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from polyweave.functions import fixed as X
 from polyweave.functions import text as T
 from polyweave.operators import align, corpus, manifest, segment, similarity
+from polyweave.plans import build
 from polyweave.shipping import ship
 
 QUERIES, ORACLES = {}, {}
@@ -43,8 +44,8 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return left, e.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("v"))
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.scores(*sides(spark, sf), BLOCK)
+def ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return similarity.ranked(*sides(spark, sf), BLOCK, k)
 
 
 _WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -153,24 +154,25 @@ def script_mixing(spark, sf):
     return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(T.mixes_scripts(F.col("w"), "Latn")).alias("n_mixed"))
 
 
-@query(f"with {_SCORED} select * from scored")
+@query(f"with {_SCORED} select * from scored where sim >= 0.3")
 def sim_join(spark, sf):
-    return scored(spark, sf)
+    """All pairs from a threshold on."""
+    return similarity.scores(*sides(spark, sf), BLOCK, 0.3)
 
 
 @query(f"with {_RANKED} select label, i, j, sim, f as r from ranked where f <= 3 and sim >= 0.2")
 def fwd_topk(spark, sf):
-    return similarity.forward(scored(spark, sf), BLOCK, 3, 0.2)
+    return similarity.forward(ranked(spark, sf, 3), BLOCK, 3, 0.2)
 
 
 @query(f"with {_RANKED} select label, i, j, sim, b as r from ranked where b <= 3 and sim >= 0.2")
 def bwd_topk(spark, sf):
-    return similarity.backward(scored(spark, sf), BLOCK, 3, 0.2)
+    return similarity.backward(ranked(spark, sf, 3), BLOCK, 3, 0.2)
 
 
 @query(f"with {_RANKED} select label, i, j, sim from ranked where f <= 1 and b <= 1 and sim >= 0.2")
 def mutual_topk(spark, sf):
-    return similarity.mutual(scored(spark, sf), BLOCK, 1, 0.2)
+    return similarity.mutual(ranked(spark, sf, 1), BLOCK, 1, 0.2)
 
 
 @query(f"""with {_RANKED}, accepted as (select * from ranked where f <= 1 and b <= 1 and sim >= 0.2)
@@ -178,7 +180,7 @@ def mutual_topk(spark, sf):
     round_even(case when a.i is not null then a.sim else r.sim * 0.5 end, 4) as similarity, a.i is not null as aligned
   from ranked r left join accepted a on r.label = a.label and r.j = a.j where r.b = 1""")
 def all_compared(spark, sf):
-    s = scored(spark, sf)
+    s = ranked(spark, sf, 1)
     return similarity.all_compared(s, similarity.mutual(s, BLOCK, 1, 0.2), BLOCK)
 
 
@@ -187,15 +189,20 @@ def all_compared(spark, sf):
     from scored s where not exists (select 1 from covered c where c.label = s.label and c.j = s.j))
   select label, i, j, sim from rest where f <= 1 and b <= 1 and sim >= 0.1""")
 def leftover_topk(spark, sf):
-    s = scored(spark, sf)
-    return similarity.leftover(s, similarity.mutual(s, BLOCK, 1, 0.2), BLOCK, 1, 0.1)
+    return similarity.leftover(*sides(spark, sf), similarity.mutual(ranked(spark, sf, 1), BLOCK, 1, 0.2), BLOCK, 1, 0.1)
 
 
-@query()
+_CAPPED = """recursive """ + _RANKED + """, m as (select label, i, j, sim, row_number() over (partition by label order by sim desc, i, j) as n from ranked where f <= 3 and b <= 3 and sim >= 0.1),
+  walk(label, n, i, j, sim, ok, us, vs) as (select distinct label, 0::bigint, null::bigint, null::bigint, null::double, false, []::bigint[], []::bigint[] from m
+    union all select m.label, m.n, m.i, m.j, m.sim, free, case when free then list_append(us, m.i) else us end, case when free then list_append(vs, m.j) else vs end
+    from (select m.*, us, vs, not list_contains(us, m.i) and not list_contains(vs, m.j) as free from walk w join m on m.label = w.label and m.n = w.n + 1) m)"""
+
+
+@query(f"with {_CAPPED} select label, i, j, sim from walk where ok")
 def usage_cap(spark, sf):
     """Reciprocal top 3, each vector used once."""
     ship(spark)
-    return similarity.usage_capped(similarity.mutual(scored(spark, sf), BLOCK, 3, 0.1), BLOCK, 1)
+    return similarity.usage_capped(similarity.mutual(ranked(spark, sf, 3), BLOCK, 3, 0.1), BLOCK, 1)
 
 
 @query("""with s as (select a.label, a.vec_id as i, b.vec_id as j, round(list_dot_product(a.embedding[1:32]::double[], b.embedding[1:32]::double[]), 6) as s1,
@@ -217,9 +224,9 @@ _CANDIDATES = _RANKED + """, c as (select label, j, i, sim as similarity, sim >=
 
 def candidates(spark, sf) -> DataFrame:
     """Four best per j, dealt out over two stages."""
-    ranked = similarity.backward(scored(spark, sf), BLOCK, 4, -2.0)
+    four = similarity.backward(ranked(spark, sf, 4), BLOCK, 4, -2.0)
     sliding = F.col("r") % 2 == 1
-    return ranked.select(
+    return four.select(
         "label", "j", "i", F.col("sim").alias("similarity"), (F.col("sim") >= 0.2).alias("aligned"), F.when(sliding, "sliding").otherwise("mutual_topk_cosine").alias("stage"),
         F.when(sliding, 0.2).otherwise(0.25).alias("threshold"), F.col("r").alias("ordinal"),
     )
@@ -248,57 +255,74 @@ def both_candidates(spark, sf):
 @query(f"""with {_RANKED}, main as (select label, i, j, sim from ranked where f <= 1 and b <= 1 and sim >= 0.4), second as (select label, i, j, sim from ranked where f <= 1 and b <= 1 and sim >= 0.2)
   select * from main union all select * from second where label not in (select label from main)""")
 def fallback_retry(spark, sf):
-    s = scored(spark, sf)
+    s = ranked(spark, sf, 1)
     return align.with_fallback(similarity.mutual(s, BLOCK, 1, 0.4), similarity.mutual(s, BLOCK, 1, 0.2), BLOCK)
 
 
-def placed(spark, sf) -> DataFrame:
-    """Candidate spans of each block, from pairs: the target's number gives the place."""
-    near = similarity.forward(scored(spark, sf), BLOCK, 4, 0.1)
-    start = (F.col("j") * 7 % 400).cast("long")
-    return near.select("label", "i", start.alias("s"), (start + 3 + F.col("j") % 20).alias("e"), "sim")
+#: A label's right side in order stands for a paragraph: a vector's place there is where its span starts, its number gives the width.
+_PLACED = "recursive " + _RANKED + """, place as (select label, vec_id as j, (row_number() over (partition by label order by vec_id) - 1)::bigint as s, (1 + vec_id % 4)::bigint as w
+    from embeddings where label is not null and vec_id % 2 = 1),
+  lengths as (select label, max(s + w)::bigint as n from place group by 1),
+  placed as (select r.label, r.i, p.s, p.s + p.w as e, r.sim from ranked r join place p on r.label = p.label and r.j = p.j where r.f <= 4 and r.sim >= 0.1)"""
+_FRONTIER = _PLACED + """, given as (select label, i, row_number() over (partition by label order by i) as k, list({'s': s, 'e': e, 'sim': sim} order by sim desc, s, e) as c from placed group by 1, 2),
+  steps(label, k, front_at, i, x) as (select distinct label, 0::bigint, 0::bigint, null::bigint, null::struct(s bigint, e bigint, sim double) from given
+    union all select label, k, greatest(front_at, coalesce(x.e, 0)), i, x from (select g.label, g.k, w.front_at, g.i,
+      list_filter(g.c, lambda y: y.sim >= case when y.s >= w.front_at - 15 then 0.15 else 0.3 end)[1] as x from steps w join given g on g.label = w.label and g.k = w.k + 1)),
+  front as (select label, i, x.s as s, x.e as e, x.sim as sim from steps where x is not null)"""
+_DEOVERLAP = _FRONTIER + """, by_score as (select *, row_number() over (partition by label order by sim desc, i, s, e) as k from front),
+  picks(label, k, i, s, e, sim, ok, kept) as (select distinct label, 0::bigint, null::bigint, null::bigint, null::bigint, null::double, false, []::struct(s bigint, e bigint)[] from by_score
+    union all select label, k, i, s, e, sim, free, case when free then list_append(kept, {'s': s, 'e': e}) else kept end
+    from (select f.*, p.kept, len(list_filter(p.kept, lambda y: f.s < y.e and y.s < f.e)) = 0 as free from picks p join by_score f on f.label = p.label and f.k = p.k + 1)),
+  held as (select label, i, s, e, sim from picks where ok)"""
+_SEGMENTS = _DEOVERLAP + """, gaps as (select label, lag(e, 1, 0) over (partition by label order by s) as s, s as e from held),
+  tails as (select n.label, coalesce(max(h.e), 0) as s, n.n as e from lengths n left join held h on n.label = h.label group by 1, 3),
+  every as (select label, s, e, true as aligned from held union all select label, s, e, false from gaps where s < e union all select label, s, e, false from tails where s < e)"""
+
+
+def placed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Candidate spans of each block, and the blocks' lengths."""
+    left, right = sides(spark, sf)
+    from pyspark.sql import Window
+
+    start = F.row_number().over(Window.partitionBy("label").orderBy("j")) - 1
+    place = right.select("label", "j", start.cast("long").alias("s")).withColumn("e", F.col("s") + 1 + F.col("j") % 4)
+    near = similarity.forward(similarity.ranked(left, right, BLOCK, 4), BLOCK, 4, 0.1)
+    return near.join(place, ["label", "j"]).select("label", "i", "s", "e", "sim"), place.groupBy("label").agg(F.max("e").alias("n"))
 
 
-@query()
+def held(spark, sf) -> tuple[DataFrame, DataFrame]:
+    spans, lengths = placed(spark, sf)
+    return align.deoverlap(align.frontier(spans, BLOCK, 0.15, 0.3), BLOCK), lengths
+
+
+@query(f"with {_FRONTIER} select * from front")
 def frontier(spark, sf):
     """Order-constrained walk over the sentences of each block."""
     ship(spark)
-    return align.frontier(placed(spark, sf), BLOCK, 0.15, 0.3)
+    return align.frontier(placed(spark, sf)[0], BLOCK, 0.15, 0.3)
 
 
-@query()
+@query(f"with {_DEOVERLAP} select * from held")
 def deoverlap(spark, sf):
-    return align.deoverlap(placed(spark, sf), BLOCK)
-
-
-def _lengths(spark, sf) -> DataFrame:
-    return turns(spark, sf).groupBy("conv_id", "turn").agg(F.max(F.size(T.words(F.col("text")))).alias("n")).where("n > 0")
-
-
-_SEGMENTS = r"""n as (select conv_id, turn, max(len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> ''))) as n from conversations group by 1, 2),
-  k as (select conv_id, turn, n, s, s + 3 as e from (select *, unnest(range(2, n - 2, 5)) as s from n)),
-  g as (select conv_id, turn, lag(e, 1, 0) over (partition by conv_id, turn order by s) as s, s as e from k),
-  t as (select n.conv_id, n.turn, coalesce(max(k.e), 0) as s, n.n as e from n left join k on n.conv_id = k.conv_id and n.turn = k.turn where n.n > 0 group by 1, 2, 4),
-  every as (select conv_id, turn, s, e, true as aligned from k union all select conv_id, turn, s, e, false from g where s < e union all select conv_id, turn, s, e, false from t where s < e)"""
-
-
-def _spans(lengths: DataFrame) -> DataFrame:
-    starts = F.explode(F.expr("filter(sequence(2, greatest(n, 2), 5), x -> x < n - 2)"))
-    return lengths.select("conv_id", "turn", starts.alias("s")).withColumn("e", F.col("s") + 3)
+    """Of what the walk accepts, the best spans that don't overlap."""
+    ship(spark)
+    return held(spark, sf)[0]
 
 
-@query(f"with {_SEGMENTS} select conv_id, turn, s::bigint as s, e::bigint as e, aligned, (row_number() over (partition by conv_id, turn order by s) - 1)::int as seg_idx from every")
+@query(f"with {_SEGMENTS} select label, s, e, aligned, (row_number() over (partition by label order by s) - 1)::int as seg_idx from every")
 def segments(spark, sf):
-    """Accepted spans of three words in five from the third word on, and the gaps between."""
-    n = _lengths(spark, sf)
-    return align.segments(_spans(n), n, ["conv_id", "turn"]).withColumns({"s": F.col("s").cast("long"), "e": F.col("e").cast("long")})
+    """The spans kept, and the gaps around them."""
+    ship(spark)
+    return align.segments(*held(spark, sf), BLOCK)
 
 
-@query(r"""select conv_id, turn, max(len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')))::int as n,
-  max(len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')))::bigint as covered, true as ok from conversations group by 1, 2 having n > 0""")
+@query(f"""with {_SEGMENTS}, marked as (select label, unnest(range(s, e)) as word from every)
+  select l.label, l.n, count(m.word)::bigint as covered, count(m.word) = l.n and count(distinct m.word) = l.n as ok from lengths l left join marked m on l.label = m.label group by 1, 2""")
 def coverage(spark, sf):
-    n = _lengths(spark, sf)
-    return align.coverage(align.segments(_spans(n), n, ["conv_id", "turn"]), n, ["conv_id", "turn"])
+    """Words in segments, against the paragraph's words one by one."""
+    ship(spark)
+    spans, lengths = held(spark, sf)
+    return align.coverage(align.segments(spans, lengths, BLOCK), lengths, BLOCK)
 
 
 @query("select conv_id, role, array_to_string(list_sort(list_distinct(list(text))), chr(10)) as texts from conversations where text is not null group by 1, 2")
@@ -416,9 +440,13 @@ def parse_units(spark, sf):
     return docs(spark, sf).select("doc_id", F.when(units.isNotNull(), F.size(units)).alias("n_units"), F.get(units, F.lit(0)).alias("first_unit"))
 
 
-@query("select lang, case lang when 'en' then 'eng' else 'unk' end as code, count(*) as n from documents group by 1, 2")
+_DIM = ", ".join(f"('{n}', '{n[:2].lower()}', '{m}')" for n, _, _, m, _ in X.LANGUAGES)
+
+
+@query(f"""with dim(name, lang, code) as (values {_DIM}), one as (select lang, min(code) as code from dim group by 1)
+  select d.lang, coalesce(o.code, 'unk') as code, count(*) as n from documents d left join one o on d.lang = o.lang group by 1, 2""")
 def language_dim(spark, sf):
-    """Lookup in the language dimension with a default."""
-    dim = spark.createDataFrame([(n[:2].lower(), m) for n, _, _, m, _ in X.LANGUAGES if n == "English"], "lang string, code string")
+    """Lookup in the language dimension, by the first two letters of the names, with a default."""
+    dim = build.languages(spark).select(F.lower(F.substring("language", 1, 2)).alias("lang"), "manifest_code").groupBy("lang").agg(F.min("manifest_code").alias("code"))
     rows = docs(spark, sf).join(F.broadcast(dim), "lang", "left").withColumn("code", F.coalesce("code", F.lit("unk")))  # as many rows as languages
     return rows.groupBy("lang", "code").agg(F.count("*").alias("n"))
