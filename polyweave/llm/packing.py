@@ -34,7 +34,6 @@ each. Other columns are ignored.
 from __future__ import annotations
 
 import os
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -54,8 +53,8 @@ KEEP = 1 << 19
 #: Bytes of text that are tokenized at a time; each slice merges its new words into those kept.
 SLICE = 4 << 20
 
-#: Windows that are worked out at a time.
-WINDOWS = 1 << 13
+#: Ids whose pieces are worked out at a time; a longer document by itself.
+PIECE_IDS = 1 << 18
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _TOKENS_SQL = "doc_id long, source string, part int, before long, n long, ids binary"
@@ -190,16 +189,18 @@ class Quotas:
 
     def upto(self, windows: np.ndarray) -> np.ndarray:
         """What the first w windows hold of every queue, for each w of ``windows``: whole quanta, then the ids due first."""
+        at = np.minimum(windows * self.length, self.everything)
         served = np.zeros((len(windows), len(self.totals)), np.int64)
-        for row, w in zip(served, windows.tolist()):
-            at = min(w * self.length, self.everything)
-            k = min(bisect_left(self.ends, at), len(self.stages) - 1)
-            if k >= 0:
-                gone, weight, left = self.stages[k]
-                row[:] = self.totals
-                row[left] = [self.weights[j] * (at - gone) // weight for j in left]
+        stage = np.minimum(np.searchsorted(np.array(self.ends, np.int64), at), len(self.stages) - 1)
+        for k in np.unique(stage).tolist() if self.stages else []:
+            rows = np.flatnonzero(stage == k)
+            gone, weight, left = self.stages[k]
+            exact = np.int64 if self.everything * max(self.weights) < 1 << 62 else object
+            over = (at[rows] - gone).astype(exact)
+            served[rows] = self.totals
+            served[np.ix_(rows, left)] = np.stack([(over * exact(self.weights[j]) if exact is np.int64 else over * self.weights[j]) // weight for j in left], axis=1)
         served = np.minimum(served, self.totals)
-        free = np.minimum(windows * self.length, self.everything) - served.sum(axis=1)
+        free = at - served.sum(axis=1)
         each = np.array(self.weights, np.float64)
         while (rows := np.flatnonzero(free > 0)).size:
             due = np.where(served[rows] < self.totals, (served[rows] + 1) / each, np.inf)
@@ -212,65 +213,54 @@ class Quotas:
         at = np.interp((place + 1) / np.array(self.weights, np.float64)[queue], self._times, self._upto)
         return (at / self.length).astype(np.int64)
 
-    def around(self, queue: int, start: int, stop: int) -> np.ndarray:
-        """Windows that may hold the places of a run, and the one after each."""
-        first, last = self.near(np.array([queue, queue]), np.array([start, stop])).tolist()
-        if last - first <= 5 * (stop - start):
-            return np.arange(max(first - 2, 0), last + 4)
-        near = self.near(np.full(stop - start, queue), np.arange(start, stop))
-        return np.maximum((near[:, None] + np.arange(-2, 4)).ravel(), 0)
-
-
-def _runs(quotas: Quotas, queue: list[int], start: list[int], n: list[int]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
-    """Runs of ids (document, from, to) with the windows that may hold them, so many at a time that their windows are bounded."""
-    held, windows, size = [], [], 0
-    for i, (q, at, count) in enumerate(zip(queue, start, n)):
-        for lo in range(0, count, WINDOWS):
-            hi = min(lo + WINDOWS, count)
-            held.append((i, at + lo, at + hi))
-            windows.append(quotas.around(q, at + lo, at + hi))
-            size += len(windows[-1])
-            if size >= WINDOWS:
-                yield held, np.unique(np.concatenate(windows))
-                held, windows, size = [], [], 0
-    if held:
-        yield held, np.unique(np.concatenate(windows))
+    def around(self, queue: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Windows that may hold the places of some runs, and the one after each: all that a run spans, or those near its places if these are fewer."""
+        first, last = self.near(queue, start), self.near(queue, stop)
+        wide = last - first > 5 * (stop - start)
+        _, spanned = _spread(np.maximum(first - 2, 0)[~wide], last[~wide] + 4)
+        owner, place = _spread(start[wide], stop[wide])
+        near = self.near(queue[wide][owner], place)[:, None] + np.arange(-2, 4)
+        return np.unique(np.concatenate((spanned, np.maximum(near, 0).ravel())))
+
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of each number from ``start`` up to ``stop``."""
+    count = stop - start
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
+def _places(quotas: Quotas, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pieces of some documents: document, place in its queue, length, window, offset."""
+    windows = quotas.around(queue, start, start + n)
+    upto = quotas.upto(windows)
+    before = np.cumsum(np.diff(upto, axis=0), axis=1)  # of windows that stand next to each other
+    found = []
+    for q in np.unique(queue).tolist():
+        docs = np.flatnonzero(queue == q)
+        of, at, stop = upto[:, q], start[docs], (start + n)[docs]
+        owner, w = _spread(np.searchsorted(of, at, side="right") - 1, np.searchsorted(of, stop - 1, side="right"))
+        lo, hi = np.maximum(of[w], at[owner]), np.minimum(of[w + 1], stop[owner])
+        use = hi > lo
+        owner, w, lo, hi = owner[use], w[use], lo[use], hi[use]
+        found.append((docs[owner], lo, hi - lo, windows[w], (before[w, q - 1] if q else 0) + lo - of[w]))
+    doc, lo, length, window, offset = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((lo, doc))
+    return doc[order], lo[order], length[order], window[order], offset[order]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], quotas: Quotas, dtype: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        queue, start, n = (A.ints(b.column(i)).tolist() for i in (1, 2, 3))
-        doc, ids = b.column(0), b.column(4)
-        last: tuple | None = None  # a piece may go on in the next run
-        for runs, windows in _runs(quotas, queue, start, n):
-            upto = quotas.upto(windows)
-            before = np.cumsum(np.diff(upto, axis=0), axis=1)  # of windows that stand next to each other
-            found = []
-            for i, at, stop in runs:
-                q = queue[i]
-                of = upto[:, q]
-                w = int(np.searchsorted(of, at, side="right")) - 1
-                while at < stop:
-                    while w + 1 < len(of) and of[w + 1] <= at:
-                        w += 1
-                    edge = min(int(of[w + 1]), stop)
-                    offset = (int(before[w, q - 1]) if q else 0) + at - int(of[w])
-                    if last and last[0] == i and last[3] == windows[w] and last[4] + last[2] == offset:
-                        last = (i, last[1], last[2] + edge - at, last[3], last[4])
-                    else:
-                        if last:
-                            found.append(last)
-                        last = (i, at - start[i], edge - at, int(windows[w]), offset)
-                    at = edge
-            yield _rows(found, doc, n, ids, dtype)
-        if last:
-            yield _rows([last], doc, n, ids, dtype)
-
-
-def _rows(found: list[tuple], doc: pa.Array, n: list[int], ids: pa.Array, dtype: str) -> pa.RecordBatch:
-    rows, start, length, window, offset = ([f[k] for f in found] for k in range(5))
-    cut = [np.frombuffer(ids[i].as_buffer(), dtype)[a : a + m].astype("<u4").tobytes() for i, a, m in zip(rows, start, length)]
-    return A.batch(_PIECES, doc.take(pa.array(rows, pa.int64())), start, length, [n[i] for i in rows], window, offset, cut)
+        queue, start, n = (A.ints(b.column(i)).astype(np.int64) for i in (1, 2, 3))
+        for lo, hi in T.slices(np.concatenate(([0], np.cumsum(n))), PIECE_IDS):
+            doc, at, length, window, offset = _places(quotas, queue[lo:hi], start[lo:hi], n[lo:hi])
+            ids = b.column(4).slice(lo, hi - lo)
+            edges = np.frombuffer(ids.buffers()[1], np.int32, count=hi - lo + 1, offset=ids.offset * 4).astype(np.int64)
+            flat = np.frombuffer(ids.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(dtype)
+            begin = at - start[lo:hi][doc]
+            _, take = _spread(first := (edges[:-1] - edges[0])[doc] // flat.itemsize + begin, first + length)
+            cut = A.ragged(flat[take].astype("<u4"), np.concatenate(([0], np.cumsum(length))), pa.binary())
+            yield A.batch(_PIECES, b.column(0).slice(lo, hi - lo).take(pa.array(doc)), begin, length, n[lo:hi][doc], window, offset, cut)
 
 
 def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, weights: dict[str | None, float] | None = None, rest: float = 1.0, queues: int = 64) -> DataFrame:

@@ -1,31 +1,16 @@
-"""Tables that cut lineage, kept where every executor can read them.
-
-An intermediate result that several jobs use, or that would be costly to
-compute again after an executor is lost, is written as Parquet below the folder
-that the session names in ``spark.checkpoint.dir``. Only on a local master that
-names none (a test) a folder of this machine is used instead; a cluster without
-a shared folder is an error, as each executor would write to a disk of its own.
-
-The tables of an application are in one folder. They are read as long as a
-result that was made of them is, so no operator deletes them: ``clear`` does,
-once the results are written.
-"""
+"""What the operators share: batches of bounded size, keys of rows, columns set aside, and the tables of ``polyweave.tables``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweave import shipping
+from polyweave.tables import clear, land, shared_dir  # noqa: F401
 
 #: Bytes of a batch that Python workers get at a time, where the session sets none; bounds their working set.
 BATCH_BYTES = 8 << 20
 
-_local: str | None = None
-
 #: Stands for a null id inside an operator; such a row sorts after all others.
 NO_ID = (1 << 63) - 1
 
@@ -37,31 +22,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for the intermediate tables of this application."""
-    global _local
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        _local = _local or tempfile.mkdtemp(prefix="polyweave-")
-        where = f"file://{_local}"
-    return f"{where.rstrip('/')}/polyweave/{spark.sparkContext.applicationId}"
-
-
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that this application has landed; results that were not written out can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def keyed(documents: DataFrame, *columns: str) -> DataFrame:
     """``documents`` with the key of each row: ``doc``, its id (NO_ID for null), and ``tag``, 63 bits of hash of its text.
 

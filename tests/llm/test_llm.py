@@ -279,17 +279,16 @@ def test_quotas(totals, weights):
     for i, n in enumerate(totals):
         for place in range(0, n, 7):
             w = int(np.searchsorted(want[:, i], place, side="right")) - 1
-            assert {w, w + 1} <= set(q.around(i, place, place + 1).tolist())
+            assert {w, w + 1} <= set(q.around(np.array([i]), np.array([place]), np.array([place + 1])).tolist())
 
 
 def test_rare_source_costs_its_own_ids():
     q = packing.Quotas([2_000_000_000_000, 100], [2_000_000_000_000, 100], 4096)
-    windows = np.unique(q.around(1, 0, 100))
+    windows = q.around(np.array([1]), np.array([0]), np.array([100]))
     assert len(windows) <= 600 and windows[-1] - windows[0] > 10**8
-    upto = q.upto(windows)
-    for place in range(100):
-        w = int(np.searchsorted(upto[:, 1], place, side="right")) - 1
-        assert upto[w, 1] == place and upto[w + 1, 1] == place + 1 and windows[w + 1] == windows[w] + 1
+    doc, lo, length, window, offset = packing._places(q, np.array([1, 0]), np.array([0, 10**11]), np.array([100, 9000]))
+    assert doc.tolist() == [0] * 100 + [1] * (len(doc) - 100) and lo.tolist()[:100] == list(range(100)) and set(length[:100].tolist()) == {1}
+    assert (np.diff(window[:100]) > 10**6).all() and set(offset[:99].tolist()) == {4095} and int(length[100:].sum()) == 9000
 
 
 def test_mixing(spark, sf, documents, rows):
