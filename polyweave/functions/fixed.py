@@ -39,6 +39,12 @@ LANGUAGES = (
     ("Sindhi", "hin", "hin_Deva", "snd_Deva", True),
 )
 
+# fixed values: the forced aligner's codes by text code, and those of single languages
+ALIGNER_CODES = {
+    "eng": "bd", "hin": "hi", "urd-script_arabic": "ur", "asm": "as", "ben": "bn", "mar": "mr", "tam": "ta", "tel": "te", "kan": "kn",
+    "mal": "ml", "pan": "pa", "guj": "gu", "ory": "or", "English": "en", "Manipuri": "mni",
+}
+
 # fixed values: Unicode blocks of the scripts
 SCRIPTS = {
     "Deva": "\\u0900-\\u097F",

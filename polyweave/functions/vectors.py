@@ -26,3 +26,11 @@ def fuse(first: Column, second: Column, weights: tuple = X.FUSE) -> Column:
 def stack(*blocks: Column) -> Column:
     """Vectors end to end, then of unit length."""
     return unit(F.concat(*blocks))
+
+
+def mean_pool(tokens: Column, mask: Column, dim: int) -> Column:
+    """Mean of the token vectors whose mask is not 0, per dimension; null where none is."""
+    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] != 0)
+    zero = F.array_repeat(F.lit(0.0), dim)
+    total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["t"], lambda a, b: a + b.cast("double")))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))

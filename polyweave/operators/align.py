@@ -56,6 +56,21 @@ def deoverlap(accepted: DataFrame, block: list[str]) -> DataFrame:
     return given.groupBy(*block).applyInPandas(pick, given.schema)
 
 
+def compared(candidates: DataFrame, walked: DataFrame, kept: DataFrame, block: list[str]) -> DataFrame:
+    """(block, i, s, e, raw_similarity, aligned, similarity): what each sentence's best candidate came to.
+
+    That is the one the walk accepted, else the best whatever its score; aligned only if it was kept in the end.
+    """
+    key = [*block, "i"]
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sim"), "s", "e"))
+    best = candidates.withColumn("_r", best).where("_r = 1").select(*key, F.struct("s", "e", "sim").alias("_b"))
+    mine = walked.select(*key, F.struct("s", "e", "sim").alias("_w"))
+    held = kept.select(*key, "s", "e", F.lit(True).alias("_k"))
+    rows = best.join(mine, key, "left").withColumn("_x", F.coalesce("_w", "_b")).select(*key, F.col("_x.s").alias("s"), F.col("_x.e").alias("e"), F.round("_x.sim", 4).alias("raw_similarity"))
+    rows = rows.join(held, [*key, "s", "e"], "left").withColumn("aligned", F.coalesce("_k", F.lit(False))).drop("_k")
+    return rows.withColumn("similarity", T.display_similarity(F.col("raw_similarity"), F.col("aligned")))
+
+
 def segments(kept: DataFrame, lengths: DataFrame, block: list[str]) -> DataFrame:
     """(block, s, e, aligned): accepted spans and the gaps around them, covering ``lengths(block, n)`` once."""
     before = F.lag("e", 1, 0).over(Window.partitionBy(*block).orderBy("s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,23 @@ def attach_first(rows: DataFrame, values: DataFrame, key: str, order: Column) ->
     return rows.join(first, key, "left")
 
 
+def positional_join(lines: DataFrame, sidecar: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with the ids that stand at the same place of their sidecar; lines beyond its end have none."""
+    return lines.join(sidecar.select(*keys, "line_index", "sentence_id"), [*keys, "line_index"], "left")
+
+
+def right_language(rows: DataFrame, text: str, language: str, detect: Callable[[Column], Column], english: str = "English") -> DataFrame:
+    """Rows whose text is detected as ``en`` exactly if their language is English; what can't be detected (null) stays."""
+    found = detect(F.col(text))
+    return rows.where(found.isNull() | ((F.col(language) == english) == (found == "en")))
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
 def legacy_dedupe(rows: DataFrame, first: str, second: str, order: list[str]) -> DataFrame:
-    """By the first text column, then by the second, for tables without ids."""
+    """By the first text column, then by the second, for tables without ids; a third pass by both would find nothing more."""
     return keep_first(keep_first(rows, [first], order), [second], order)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from polyweave.functions import fixed as X
 from polyweave.functions import text as T
@@ -49,10 +52,39 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sentences(df: DataFrame, text: str, keys: list[str], min_len: int = 5, min_chars: int = 3, buffer: bool = True) -> DataFrame:
+def tokenizer(make: Callable[[], Callable[[str], list[str]]]) -> Callable[[Column], Column]:
+    """Column function: the sentences that a model finds in a text; the whole text where it fails, null for null.
+
+    ``make`` loads the model; it is called once per worker.
+    """
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            try:
+                return list(model(text))
+            except Exception:
+                return [text]
+
+        for texts in parts:
+            yield pd.Series([one(t) for t in texts], dtype=object)
+
+    return run
+
+
+def split(text: Column, min_len: int, min_chars: int, buffer: bool, tokenize: Callable[[Column], Column] | None = None) -> Column:
+    """Sentences of a text: those of the tokenizer, if any, each cut at its boundaries; short pieces are joined within a sentence of the tokenizer."""
+    cut = lambda t: (buffered if buffer else strict)(pieces(t), min_len, min_chars)
+    return cut(text) if tokenize is None else F.flatten(F.transform(tokenize(text), cut))
+
+
+def sentences(df: DataFrame, text: str, keys: list[str], min_len: int = 5, min_chars: int = 3, buffer: bool = True, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """(keys, idx, sentence) of every row, in order."""
-    parts = pieces(F.col(text))
-    rows = df.select(*keys, (buffered if buffer else strict)(parts, min_len, min_chars).alias("_s"))
+    rows = df.select(*keys, split(F.col(text), min_len, min_chars, buffer, tokenize).alias("_s"))
     return rows.select(*keys, F.posexplode("_s").alias("idx", "sentence"))
 
 

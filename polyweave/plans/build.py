@@ -12,7 +12,7 @@ from polyweave.functions import fixed as X
 from polyweave.functions import text as T
 from polyweave.functions import vectors as V
 from polyweave.operators import align, corpus, segment, similarity
-from polyweave.operators.embed import embed_once
+from polyweave.tables import land
 
 EPISODE, BLOCK = ["episode"], ["episode", "language"]
 
@@ -37,100 +37,163 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "language string, code string, tag string, manifest_code string, script string, low_resource boolean")
 
 
-def sentence_table(transcripts: DataFrame) -> DataFrame:
+def sentence_table(transcripts: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """(language, episode, idx, text, sentence_id, code, low_resource): strict splitting for low-resource languages, buffered for others."""
     dim = F.broadcast(languages(transcripts.sparkSession).select("language", "code", "low_resource"))
     rows = transcripts.join(dim, "language", "left").na.fill({"low_resource": False}).withColumn("code", F.coalesce("code", F.lit("unk")))
-    parts = segment.pieces(F.col("text"))
-    strict = segment.strict(parts, 0, 3)
-    kept = F.when(F.col("low_resource") & (F.col("language") != "English"), strict).otherwise(segment.buffered(parts, 5, 3))
+    strict, buffered = segment.split(F.col("text"), 0, 3, False, tokenize), segment.split(F.col("text"), 5, 3, True, tokenize)
+    kept = F.when(F.col("low_resource") & (F.col("language") != "English"), strict).otherwise(buffered)
     rows = rows.withColumn("_s", F.when(F.size(kept) > 0, kept).otherwise(F.filter(F.array(F.trim("text")), lambda t: t != "")))
     rows = rows.select("language", "episode", "code", "low_resource", F.posexplode("_s").alias("idx", "text"))
     return rows.withColumn("sentence_id", T.sentence_id(F.col("language"), F.col("episode"), T.normalize(F.col("text"), F.col("code"))))
 
 
-def _english(sentences: DataFrame) -> DataFrame:
-    return sentences.where("language = 'English'").select("episode", F.col("idx").alias("i"), F.col("text").alias("english"))
+def _embedded(rows: DataFrame, text: str, tag: str, first: Callable[..., Column], second: Callable[..., Column]) -> DataFrame:
+    """``rows`` with both vectors (v, w) of their text under its speech-model tag; every distinct one is encoded once."""
+    known = rows.select(text, tag).where(F.col(text).isNotNull()).distinct()
+    known = known.select(text, F.col(tag).alias("_tag"), first(F.col(text), F.col(tag)).alias("v"), second(F.col(text), F.col(tag)).alias("w"))
+    return rows.join(known.withColumnRenamed(text, "_text"), (F.col(text) == F.col("_text")) & F.col(tag).eqNullSafe(F.col("_tag")), "left").drop("_text", "_tag", tag)
 
 
-def sliding(sentences: DataFrame, transcripts: DataFrame, first: Callable[[Column], Column], second: Callable[[Column], Column], options: Options) -> tuple[DataFrame, DataFrame]:
-    """Spans of each paragraph aligned to English sentences, and the paragraph's segments.
+@dataclass(frozen=True)
+class Sides:
+    """What all legs of a run compare: English sentences of each block (i, english, v, w), other sentences (j, text, v, w), and the languages."""
+
+    english: DataFrame
+    others: DataFrame
+    dim: DataFrame
+
+
+def sides(sentences: DataFrame, first: Callable[[Column], Column], second: Callable[[Column], Column]) -> Sides:
+    """Embeds every sentence once, and writes the outcome down for all legs."""
+    dim = languages(sentences.sparkSession)
+    tagged = sentences.join(F.broadcast(dim.select("language", "tag")), "language", "left")
+    others = tagged.where("language <> 'English'").select(*BLOCK, F.col("idx").cast("long").alias("j"), "text", "tag")
+    others = land(_embedded(others, "text", "tag", first, second), "sentence-vectors")
+    english = tagged.where("language = 'English'").select("episode", F.col("idx").cast("long").alias("i"), F.col("text").alias("english"), "tag")
+    english = land(_embedded(english, "english", "tag", first, second), "english-vectors")
+    return Sides(english, others, dim)
+
+
+def _least(options: Options) -> Column:
+    """Acceptance threshold of the sliding leg."""
+    return F.when(F.col("low_resource") | F.col("language").isin(*options.single_score), X.FUSED_MIN_LOW).otherwise(X.FUSED_MIN)
+
+
+def sliding(given: Sides, transcripts: DataFrame, first: Callable[[Column], Column], second: Callable[[Column], Column], options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans of each paragraph aligned to English sentences, the paragraph's segments, and one compared row per English sentence.
 
     A first score shortlists spans per sentence, the fused score decides; low-resource languages are walked in order.
+    The compared row is the accepted span, else the best one whatever its score; only what is kept counts as aligned.
     """
-    dim = F.broadcast(languages(sentences.sparkSession))
+    dim = F.broadcast(given.dim)  # as long as the list of languages
     text = transcripts.where("language <> 'English'").select("language", "episode", T.flatten_paragraph(F.col("text")).alias("text")).join(dim, "language")
     made = [segment.spans(text.where(~F.col("low_resource") | F.col("script").isNull()), "text", BLOCK, duplicates=options.duplicate_spans)]
     for script in sorted(set(X.SCRIPTS) - {"Latn"}):
         made.append(segment.spans(text.where(F.col("low_resource") & (F.col("script") == script)), "text", BLOCK, duplicates=options.duplicate_spans, script=script))
-    spans = corpus.union_episodes(made)
-    spans = embed_once(embed_once(spans, "span", first, "b"), "span", second, "bw")
-    english = embed_once(embed_once(_english(sentences), "english", first, "a"), "english", second, "aw")
+    spans = corpus.union_episodes(made).join(dim.select("language", "tag"), "language")
+    spans = land(_embedded(spans, "span", "tag", first, second), "span-vectors")
     low = dim.select("language", "low_resource")
     single = F.col("language").isin(*options.single_score)
-    pairs = english.join(spans, EPISODE).join(low, "language")
-    lead = F.when(single, V.dot(F.col("aw"), F.col("bw"))).otherwise(V.dot(F.col("a"), F.col("b")))
+    lead = F.when(single, F.col("w")).otherwise(F.col("v")).alias("v")
+    left = given.english.join(spans.select(*BLOCK).distinct(), EPISODE).select(*BLOCK, "i", lead, "w")
+    right = spans.select(*BLOCK, (F.col("s").cast("long") * (1 << 31) + F.col("e")).alias("j"), lead, "w")
     k = F.when(single, X.SHORTLIST_SINGLE).when(F.col("low_resource"), X.SHORTLIST_LOW).otherwise(X.SHORTLIST)
-    short = pairs.withColumn("sim", lead).withColumn("r", F.row_number().over(similarity.Window.partitionBy(*BLOCK, "i").orderBy(F.desc("sim"), "s", "e"))).where(F.col("r") <= k)
-    fused = F.when(single, F.col("sim")).otherwise(V.fuse(F.col("sim"), V.dot(F.col("aw"), F.col("bw"))))
-    found = short.select(*BLOCK, "i", F.col("s").cast("long"), F.col("e").cast("long"), fused.alias("sim"), "span", "low_resource")
+    most = max(X.SHORTLIST_SINGLE, X.SHORTLIST_LOW, X.SHORTLIST)
+    short = similarity.shortlist(left, right, BLOCK, most, digits=None).join(low, "language").where(F.col("r") <= k)
+    fused = F.when(single, F.col("sim")).otherwise(V.fuse(F.col("sim"), F.col("second")))
+    place = F.floor(F.col("j") / (1 << 31)).cast("long")
+    found = land(short.select(*BLOCK, "i", place.alias("s"), F.pmod("j", F.lit(1 << 31)).alias("e"), fused.alias("sim"), "low_resource").distinct(), "shortlists")
     gate = F.col("low_resource") | single
     keys = [*BLOCK, "i", "s", "e", "sim"]
     walked = align.frontier(found.where(gate & ~single).select(*keys), BLOCK, X.FUSED_MIN_LOW, X.OVERRIDE_FUSED)
     alone = align.frontier(found.where(single).select(*keys), BLOCK, X.FUSED_MIN_LOW, X.OVERRIDE_SINGLE)
     free = align.frontier(found.where(~gate).select(*keys), BLOCK, X.FUSED_MIN, 1.0, gated=False)
-    kept = align.deoverlap(walked.unionByName(alone).unionByName(free), BLOCK)
-    texts = found.select(*BLOCK, "s", "e", "span").distinct()
-    least = F.when(single, X.FUSED_MIN_LOW).when(F.col("low_resource"), X.FUSED_MIN_LOW).otherwise(X.FUSED_MIN)
-    rows = kept.join(texts, [*BLOCK, "s", "e"]).join(low, "language").join(english.select("episode", "i", "english"), ["episode", "i"])
-    accepted = rows.select(
-        *BLOCK, "i", "english", F.col("span").alias("text"), F.col("sim").alias("similarity"), F.lit(True).alias("aligned"),
-        F.when(single, "sliding_sonar").otherwise("sliding_fused").alias("stage"), least.alias("threshold"),
-    )
-    words = text.select(*BLOCK, T.words(F.col("text")).alias("w"))
+    walked = land(walked.unionByName(alone).unionByName(free), "walked")
+    kept = land(align.deoverlap(walked, BLOCK), "kept")
+
+    texts = spans.select(*BLOCK, F.col("s").cast("long"), F.col("e").cast("long"), "span").distinct()
+    english = given.english.select("episode", "i", "english")
+    stage = F.when(single, "sliding_sonar").otherwise("sliding_fused").alias("stage")
+    rows = kept.join(texts, [*BLOCK, "s", "e"]).join(low, "language").join(english, ["episode", "i"])
+    accepted = rows.select(*BLOCK, "i", "english", F.col("span").alias("text"), F.col("sim").alias("similarity"), F.lit(True).alias("aligned"), stage, _least(options).alias("threshold"))
+
+    compared = align.compared(found.select(*keys), walked, kept, BLOCK).join(texts, [*BLOCK, "s", "e"]).join(english, ["episode", "i"])
+    compared = compared.select(*BLOCK, "i", "english", F.col("span").alias("text"), "similarity", "raw_similarity", "aligned")
+
+    words = text.select(*BLOCK, "code", T.words(F.col("text")).alias("w"))
     cover = align.segments(kept.select(*BLOCK, "s", "e"), words.select(*BLOCK, F.size("w").cast("long").alias("n")).where("n > 0"), BLOCK)
     cover = cover.join(words, BLOCK).withColumn("text", F.expr("array_join(slice(w, int(s) + 1, int(e - s)), ' ')")).drop("w")
-    cover = cover.join(kept.select(*BLOCK, "s", "i", F.col("sim").alias("similarity")), [*BLOCK, "s"], "left")
-    return accepted, cover.join(english.select("episode", "i", "english"), ["episode", "i"], "left").drop("i")
+    cover = cover.join(kept.select(*BLOCK, "s", "i", F.round("sim", 4).alias("similarity")), [*BLOCK, "s"], "left")
+    cover = cover.join(english, ["episode", "i"], "left").drop("i")
+    return accepted, cover.withColumn("sentence_id", _id(F.col("language"), "text", F.col("code"))).drop("code"), compared
+
+
+def _id(language: Column, text: str, code: Column) -> Column:
+    return T.sentence_id(language, F.col("episode"), T.normalize(F.col(text), code))
 
 
-def topk(sentences: DataFrame, embed: Callable[[Column], Column], options: Options, threshold: float | None = None, without: DataFrame | None = None) -> DataFrame:
-    """Reciprocal top-k of each language's sentences (j) with the English ones (i), the latter less those of ``without``."""
-    english = embed_once(_english(sentences), "english", embed)
-    others = embed_once(sentences.where("language <> 'English'").select("episode", "language", "low_resource", F.col("idx").alias("j"), "text"), "text", embed)
-    blocks = others.select(*BLOCK).distinct()
-    left = english.join(blocks, EPISODE)
+def topk(given: Sides, options: Options, without: DataFrame | None = None) -> tuple[Callable[[float], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """Reciprocal top-k of each language's sentences with the English ones, the latter less those of ``without``.
+
+    Ranks are computed once; the two functions give the matches for a threshold, and one compared row per English sentence.
+    """
+    left = given.english.join(given.others.select(*BLOCK).distinct(), EPISODE)
     if without is not None:
         left = left.join(without.select(*BLOCK, "i").distinct(), [*BLOCK, "i"], "left_anti")
-    s = similarity.scores(left.select(*BLOCK, "i", "v"), others.select(*BLOCK, "j", "v"), BLOCK)
-    matches = similarity.mutual(s, BLOCK, options.top_k, -2.0)
-    least = F.when(F.col("low_resource"), X.THRESHOLD_LOW).otherwise(options.threshold if threshold is None else threshold)
-    matches = matches.join(F.broadcast(languages(sentences.sparkSession).select("language", "low_resource")), "language", "left").na.fill({"low_resource": False})
-    matches = matches.withColumn("threshold", least).where(F.col("sim") >= F.col("threshold"))
-    if options.top_k > 1:
-        matches = similarity.usage_capped(matches, BLOCK, options.max_usage)
-    rows = matches.join(left.select(*BLOCK, "i", "english"), [*BLOCK, "i"]).join(others.select(*BLOCK, "j", "text"), [*BLOCK, "j"])
-    return rows.select(*BLOCK, F.col("i").cast("long").alias("i"), "english", "text", F.col("sim").alias("similarity"), F.lit(True).alias("aligned"), F.lit("mutual_topk_cosine").alias("stage"), "threshold")
-
-
-def align_all(transcripts: DataFrame, first: Callable, second: Callable, options: Options = Options()) -> dict[str, DataFrame]:  # noqa: B008
-    """Tables of a run: sentences, segments, candidates (with is_selected_best), pairs, wide and without_null."""
-    sentences = sentence_table(transcripts)
-    spans, segments = sliding(sentences, transcripts, first, second, options)
-    rest = topk(sentences, first, options, without=spans).withColumn("stage", F.lit("sliding"))
-    full = topk(sentences, first, options)
-    leg = spans.unionByName(rest)
-    again = topk(sentences, first, options, min(options.threshold, X.THRESHOLD_FALLBACK))
-    full = full.unionByName(again.join(leg.unionByName(full).select(*BLOCK).distinct(), BLOCK, "left_anti"))
-    every = leg.withColumn("ordinal", F.lit(0)).unionByName(full.withColumn("ordinal", F.lit(1)))
+    ranks = land(similarity.ranked(left.select(*BLOCK, "i", "v"), given.others.select(*BLOCK, "j", "v"), BLOCK, options.top_k), "ranks")
+    low = F.broadcast(given.dim.select("language", "low_resource"))
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.join(given.english.select("episode", "i", "english"), ["episode", "i"]).join(given.others.select(*BLOCK, "j", "text"), [*BLOCK, "j"])
+
+    def matches(threshold: float) -> DataFrame:
+        least = F.when(F.col("low_resource"), X.THRESHOLD_LOW).otherwise(threshold)
+        found = similarity.mutual(ranks, BLOCK, options.top_k, -2.0).join(low, "language", "left").na.fill({"low_resource": False})
+        found = found.withColumn("threshold", least).where(F.col("sim") >= F.col("threshold"))
+        if options.top_k > 1:
+            found = similarity.usage_capped(found, BLOCK, options.max_usage)
+        stage = F.lit("mutual_topk_cosine").alias("stage")
+        return texts(found).select(*BLOCK, "i", "j", "english", "text", F.col("sim").alias("similarity"), F.lit(True).alias("aligned"), stage, "threshold")
+
+    def compared(accepted: DataFrame) -> DataFrame:
+        rows = similarity.all_compared(ranks, accepted.select(*BLOCK, "i", "j", F.col("similarity").alias("sim")), BLOCK, side="i")
+        return texts(rows).select(*BLOCK, "i", "english", "text", "similarity", F.round("raw_similarity", 4).alias("raw_similarity"), "aligned")
+
+    return matches, compared
+
+
+def align_all(transcripts: DataFrame, first: Callable, second: Callable, options: Options = Options(), tokenize: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:  # noqa: B008
+    """Tables of a run: sentences, segments, candidates (with is_selected_best), pairs, complete (a row per English sentence, whatever its score), sliding and topk (both legs)."""
+    sentences = land(sentence_table(transcripts, tokenize), "sentences")
+    given = sides(sentences, first, second)
+    spans, segments, compared = sliding(given, transcripts, first, second, options)
+    spans = land(spans, "accepted")
+    rest_matches, rest_compared = topk(given, options, without=spans)
+    full_matches, full_compared = topk(given, options)
+    rest, full = land(rest_matches(options.threshold), "leftover"), land(full_matches(options.threshold), "full")
+    leg = spans.unionByName(rest.drop("j")).withColumn("stage", F.lit("sliding"))
+    found = leg.select(*BLOCK).union(full.select(*BLOCK)).distinct()
+    again = land(full_matches(min(options.threshold, X.THRESHOLD_FALLBACK)).join(found, BLOCK, "left_anti"), "fallback")
+    every = leg.withColumn("ordinal", F.lit(0)).unionByName(full.unionByName(again).drop("j").withColumn("ordinal", F.lit(1)))
     candidates = align.both_candidates(every, [*BLOCK, "i"], options.allow_override, options.margin)
-    dim = F.broadcast(languages(transcripts.sparkSession).select("language", "code"))
+
+    legs = [(compared, "sliding"), (rest_compared(rest), "sliding"), (full_compared(full), "mutual_topk_cosine"), (full_compared(again).join(found, BLOCK, "left_anti"), "mutual_topk_cosine")]
+    complete = corpus.union_episodes([rows.withColumns({"stage": F.lit(stage), "ordinal": F.lit(n), "threshold": F.lit(None).cast("double")}) for n, (rows, stage) in enumerate(legs)])
+    complete = align.collapse(complete, [*BLOCK, "i"]).drop("ordinal", "threshold")
+
+    dim = F.broadcast(given.dim.select("language", "code"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        """With both sentence ids."""
+        rows = rows.join(dim, "language", "left").withColumn("code", F.coalesce("code", F.lit("unk")))
+        return rows.withColumns({"sentence_id": _id(F.col("language"), "text", F.col("code")), "English_sentence_id": _id(F.lit("English"), "english", F.lit("eng"))}).drop("code")
+
     pairs = candidates.where("is_selected_best").drop("is_selected_best", "ordinal").join(dim, "language", "left")
-    pairs = pairs.withColumn("text", T.normalize(F.col("text"), F.coalesce("code", F.lit("unk")))).where("length(text) > 0 and length(english) > 0 and similarity is not null")
-    own = T.sentence_id(F.col("language"), F.col("episode"), T.normalize(F.col("text"), F.coalesce("code", F.lit("unk"))))
-    english = T.sentence_id(F.lit("English"), F.col("episode"), T.normalize(F.col("english"), "eng"))
-    pairs = pairs.withColumn("sentence_id", own).withColumn("English_sentence_id", english).drop("code")
-    return {"sentences": sentences, "segments": segments, "candidates": candidates, "pairs": pairs}
+    pairs = pairs.withColumn("text", T.normalize(F.col("text"), F.coalesce("code", F.lit("unk")))).drop("code")
+    pairs = pairs.where("length(text) > 0 and length(english) > 0 and similarity is not null")
+    legs = {"sliding": leg, "topk": full.unionByName(again).drop("j")}
+    return {"sentences": sentences, "segments": segments, "candidates": named(candidates), "pairs": named(pairs), "complete": named(complete)} | {k: named(v) for k, v in legs.items()}
 
 
 def wide_table(pairs: DataFrame, names: list[str], share: float | None = None) -> DataFrame:

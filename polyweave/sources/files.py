@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweave.functions import fixed as X
 from polyweave.functions import text as T
+from polyweave.log import log
 
 AUDIO_MANIFEST = "id string, audio_filepath string, normalized_text string, duration double, audio_start_sec double"
 
@@ -51,13 +54,38 @@ def header_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("quote", "").option("header", True).schema(schema).csv(path)
 
 
-def safe(spark: SparkSession, path: str, read) -> DataFrame | None:
-    """``read(path)``, or None where nothing is there."""
-    return read(path) if exists(spark, path) else None
+def safe(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame | None:
+    """``read(spark, path)``; None, and a word in the log, where nothing is there, nothing is in it or it can't be read."""
+    if not exists(spark, path):
+        log.warning("%s: missing", path)
+        return None
+    try:
+        rows = read(spark, path)
+        if rows.head(1):
+            return rows
+        log.warning("%s: empty", path)
+    except Exception as e:  # whatever a reader of a broken file raises
+        log.warning("%s: can't be read: %s", path, str(e).split("\n")[0])
+    return None
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    """Records of files that hold one JSON array each; a broken file is an error."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+
+
+def numbered_lines(spark: SparkSession, path: str, pattern: str, keys: list[str]) -> DataFrame:
+    """(keys, line_index, text) of text files, numbered from 0; the groups of ``pattern`` on the path are the keys. A file is one row while it is read."""
+    part = [F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), pattern, i + 1)).alias(k) for i, k in enumerate(keys)]
+    rows = spark.read.text(path, wholetext=True).select(*part, F.regexp_replace("value", r"\n$", "").alias("_v"))
+    return rows.select(*keys, F.posexplode(F.split("_v", "\n")).alias("line_index", "text"))
+
+
+def sidecar(spark: SparkSession, path: str, pattern: str, keys: list[str]) -> DataFrame:
+    """(keys, line_index, sentence_id, text) of id sidecars; the groups of ``pattern`` on the path are the keys."""
+    part = [F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), pattern, i + 1)).alias(k) for i, k in enumerate(keys)]
+    rows = spark.read.option("sep", "\t").option("quote", "").schema("line_index int, sentence_id string, text string").csv(path)
+    return rows.select(*part, "line_index", "sentence_id", "text")
 
 
 def audio_manifest(spark: SparkSession, path: str) -> DataFrame:

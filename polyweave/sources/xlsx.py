@@ -158,8 +158,8 @@ class XlsxSource(DataSource):
         return _Writer(schema, self.options)
 
 
-def read_sheets(files, schema: str):
-    """Rows of workbooks read by the ``binaryFile`` source, from any store, with their ``path``; bad files give none."""
+def read_sheets(files, schema: str, number: str | None = None):
+    """Rows of workbooks read by the ``binaryFile`` source, from any store, with their ``path`` and, if asked, their number in the sheet; bad files give none."""
     want = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else schema
 
     def run(parts):
@@ -173,6 +173,7 @@ def read_sheets(files, schema: str):
                     continue
                 at = {n: i for i, n in enumerate(rows[0])} if rows else {}
                 out = [[_cast(r[at[f.name]], f.dataType) if f.name in at and at[f.name] < len(r) else None for f in want.fields] for r in rows[1:]]
-                yield pd.DataFrame([(path, *r) for r in out], columns=["path", *want.names]).astype(object)
+                made = pd.DataFrame([(path, *r) for r in out], columns=["path", *want.names]).astype(object)
+                yield made if number is None else made.assign(**{number: range(len(made))})
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"path string, {schema}" + (f", `{number}` long" if number else ""))

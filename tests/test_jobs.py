@@ -24,8 +24,18 @@ def test_align_job(spark, tmp_path):
     assert rows.count() == 3 and files.transcripts(spark, str(root), ["Hindi"]).count() == 2 and files.transcripts(spark, str(tmp_path / "none")).count() == 0
     assert [r.episode_no for r in files.episodes(rows).collect()] == [2.0]
     out = tmp_path / "out"
-    cli.run_align(spark, str(root), str(out), options=build.Options(single_score=()), save_all=True)
+    cli.run_align(spark, str(root), str(out), options=build.Options(single_score=()), save_all=True, debug=True, kinds=("tsv",))
     wide = [json.loads(line) for f in (out / "all_aligned").glob("part-*") for line in f.read_text().splitlines()]
+    complete = spark.read.parquet(str(out / "all_pairs_before_threshold"))
+    assert complete.groupBy("language", "episode").count().collect() and {r["count"] for r in complete.groupBy("language", "episode").count().collect()} == {2}
+    both = spark.read.parquet(str(out / "aligned_both_candidates")).groupBy("language", "i").agg(F.count_if("is_selected_best").alias("n")).collect()
+    assert {r.n for r in both} == {1} and all((out / f"sheets/Hindi_{v}.tsv").exists() for v in ("aligned", "sliding_aligned", "aligned_topk_only", "all_pairs_before_threshold"))
+    lines = {p.parent.parent.name + "/" + p.parent.name: p.read_text() for p in (out / "full_paragraph").glob("*/*/part-*")}
+    assert lines["language=Hindi/episode=MKB_2_x"].replace("\n", " ").split() == "We like to walk in the park at night. The cat sat on the mat today.".split()
+    side = [line.split("\t") for p in (out / "full_paragraph_ids/language=Hindi").glob("*/part-*") for line in p.read_text().splitlines()]
+    assert all(len(x) == 6 for x in side) and [int(x[0]) for x in side] == list(range(len(side)))
+    ids = [line.split("\t") for p in (out / "en_aligned/language=Hindi").glob("*/part-*") for line in p.read_text().splitlines()]
+    assert {x[1] for x in ids} == {w["Hindi"][0] for w in wide} and all(x[0].startswith("MKB_2_x_Hindi_") for x in ids)
     assert {w["English"] for w in wide} == {"The cat sat on the mat today.", "We like to walk in the park at night."}
     assert all(w["Hindi"] == [w["English"]] and len(w["Hindi_sentence_ids"]) == 1 for w in wide)
     segs = spark.read.parquet(str(out / "segments"))
@@ -67,3 +77,41 @@ def test_watch(spark, tmp_path):
     query = incremental.watch(spark, str(root), lambda df, _: seen.extend(r.language for r in df.where("text <> 'not read'").collect()), str(tmp_path / "state"))
     query.awaitTermination()
     assert sorted(seen) == ["Bodo", "English", "Hindi"]
+
+
+def test_force_align(spark, tmp_path):
+    import pytest
+
+    base = tmp_path / "in"
+    for language, episode, parts in (("English", "MKB_60_a", "tw"), ("English", "MKB_59_b", "tw"), ("English", "MKB_58_c", "t"), ("Hindi", "MKB_61_d", "tw"), ("Hindi", "MKB_3_fail", "tw")):
+        d = base / language / episode
+        d.mkdir(parents=True)
+        for kind, name in (("t", f"{episode}_split_sentences.txt"), ("w", f"{episode}.wav")):
+            if kind in parts:
+                (d / name).write_text("x")
+    program = tmp_path / "align.sh"
+    program.write_text('case "$*" in *fail*) echo broken >&2; exit 3;; esac\necho "$@" > "${10}/args"\n')
+    got = cli.run_force_align(spark, str(base), str(tmp_path / "out"), "/uroman", ["sh", str(program)], "MKB_59_b")
+    assert {(r.language, r.episode, r.status) for r in got.collect()} == {("English", "MKB_59_b", "done"), ("English", "MKB_58_c", "skipped"), ("Hindi", "MKB_61_d", "done"), ("Hindi", "MKB_3_fail", "failed")}
+    assert "broken" in got.where("status = 'failed'").first().message
+    assert "--lang hi --uroman_path /uroman" in (tmp_path / "out/Hindi/MKB_61_d/MKB_61_d/args").read_text()
+    with pytest.raises(ValueError):
+        cli.run_force_align(spark, str(base), str(tmp_path / "out2"), "/uroman", ["true"], "MKB_1_none")
+
+
+def test_tokenizer(spark):
+    from polyweave.operators import segment
+
+    def make():
+        def model(text):
+            if "fail" in text:
+                raise RuntimeError
+            return text.split("#")
+
+        return model
+
+    rows = spark.createDataFrame([(1, "one two three four five six#ok#seven eight nine ten eleven. yes"), (2, "fail now. with this text as it is"), (3, None)], "k int, t string")
+    got = segment.sentences(rows, "t", ["k"], tokenize=segment.tokenizer(make)).collect()
+    assert [(r.k, r.idx, r.sentence) for r in sorted(got, key=lambda r: (r.k, r.idx))] == [
+        (1, 0, "one two three four five six"), (1, 1, "ok"), (1, 2, "seven eight nine ten eleven. yes"), (2, 0, "fail now."), (2, 1, "with this text as it is"),
+    ]
