@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyweave import log
 from polyweave.functions import fixed as X
 from polyweave.functions import text as T
+from polyweave.functions import vectors as V
 from polyweave.operators import align, corpus, manifest, segment, similarity
 from polyweave.plans import build
 from polyweave.shipping import ship
@@ -346,9 +348,10 @@ def min_lang_frac(spark, sf):
     return corpus.enough_languages(corpus.wide(turns(spark, sf), "conv_id", "role", "text", ROLES), ROLES, 0.5).select("conv_id")
 
 
-@query("""select distinct 'conv' || conv_id as "English", conv_id::varchar as "English_sentence_id", text, sha1(text) as sentence_id from conversations where role = 'user' and text is not null""")
+@query("""select distinct 'conv' || conv_id as "English", conv_id::varchar as "English_sentence_id", text, sha1(text) as sentence_id from conversations where text is not null""")
 def explode_pairs(spark, sf):
-    lists = turns(spark, sf).where("role = 'user' and text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set("text")).alias("Target"))
+    """All turns of a conversation as the texts of one cell."""
+    lists = turns(spark, sf).where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set("text")).alias("Target"))
     ids = F.transform("Target", lambda t: F.sha1(t.cast("binary")))
     table = lists.select("Target", ids.alias("Target_sentence_ids"), F.concat(F.lit("conv"), "conv_id").alias("English"), F.col("conv_id").cast("string").alias("English_sentence_id"))
     return corpus.explode_pairs(table, "Target", "English")
@@ -386,10 +389,12 @@ def dedupe_text_legacy(spark, sf):
     return corpus.legacy_dedupe(docs(spark, sf), "text", "n_chars", ["doc_id"]).select("doc_id")
 
 
-@query("select doc_id, lang, case when source <> 'src1' then source end as source from documents where source in ('src0', 'src1', 'src2')")
+@query("""select doc_id, lang, case when doc_id % 3 <> 1 then source end as source from documents""")
 def union_episodes(spark, sf):
+    """Three parts of the documents, one of which lacks a column."""
     d = docs(spark, sf).select("doc_id", "lang", "source")
-    return corpus.union_episodes([d.where("source = 'src0'"), d.where("source = 'src1'").drop("source"), d.where("source = 'src2'")])
+    part = lambda k: d.where(F.col("doc_id") % 3 == k)
+    return corpus.union_episodes([part(0), part(1).drop("source"), part(2)])
 
 
 _SIM = "rows as (select doc_id, lang, ((doc_id * 7919) % 1000)::double / 1000 as similarity from documents)"
@@ -450,3 +455,139 @@ def language_dim(spark, sf):
     dim = build.languages(spark).select(F.lower(F.substring("language", 1, 2)).alias("lang"), "manifest_code").groupBy("lang").agg(F.min("manifest_code").alias("code"))
     rows = docs(spark, sf).join(F.broadcast(dim), "lang", "left").withColumn("code", F.coalesce("code", F.lit("unk")))  # as many rows as languages
     return rows.groupBy("lang", "code").agg(F.count("*").alias("n"))
+
+
+#: Letters of the text turned into characters that the folds replace, so that each of their rules has work in every document.
+_TO_DIGITS = ("0123456789", "०১୨٣۴௫౬೭൮９")
+_TO_ARABIC = ("abcdefghij", "ىةۀأإآًّـو")
+_TO_BENGALI = ("abcdefgh", "কখািে়োঁ")
+
+
+@query(f"""with t as (select doc_id, translate(text, '{"".join(_TO_DIGITS[1])}', '') as text from documents),
+  a as (select doc_id, text, translate(lower(text), '{_TO_ARABIC[0]}', '{_TO_ARABIC[1]}') as arab, replace(replace(lower(text), 'a', 'ड़'), 'b', 'चँढ़') as deva from t)
+  select doc_id, text as digits, translate(translate(arab, '{X.HARAKAT}{X.TATWEEL}', ''), 'ىةۀأإآ', 'يههااا') as arabic,
+    replace(replace(translate(deva, 'ँ', 'ं'), 'ड़', 'ड'), 'ढ़', 'ढ') as nukta from a""")
+def script_folds(spark, sf):
+    """Digits of any script, Arabic letters and marks, nukta and chandrabindu."""
+    rows = docs(spark, sf).select("doc_id", F.translate("text", _TO_DIGITS[1], "").alias("text"))
+    arab = F.translate(F.lower("text"), *_TO_ARABIC)
+    deva = F.replace(F.replace(F.lower("text"), F.lit("a"), F.lit("ड़")), F.lit("b"), F.lit("चँढ़"))
+    return rows.select("doc_id", T.map_digits(F.translate("text", *_TO_DIGITS)).alias("digits"), T.fold_arabic(arab).alias("arabic"), T.fold_nukta(deva).alias("nukta"))
+
+
+@query(rf"""with t as (select doc_id, translate(lower(text), '{_TO_BENGALI[0]}', '{_TO_BENGALI[1]}') as t from documents),
+  a as (select doc_id, t as was from t),
+  b as (select doc_id, array_to_string([w for w in list_transform(range(1, length(was) + 1), lambda i: case when was[i] similar to '[{X.BENGALI_SIGNS}]' and (i = 1 or not was[i - 1] similar to '[{X.BENGALI_BASE}]') then '' else was[i] end)], '') as t from a),
+  c as (select doc_id, regexp_replace(regexp_replace(t, '([োো])[\s\p{{Z}}]+[োো]', '\1', 'g'), '([{X.BENGALI_BASE}])[\s\p{{Z}}]+([{X.BENGALI_VOWELS}])', '\1\2', 'g') as t from b)
+  select doc_id, sha256(replace(replace(regexp_replace(regexp_replace(t, '^[{X.BENGALI_VOWELS}]+', ''), '়+', '়', 'g'), '্ী', 'ী'), '  ', ' ')) as tidied from c""")
+def bengali_tidy(spark, sf):
+    """Stray and split vowel signs."""
+    return docs(spark, sf).select("doc_id", F.sha2(T.tidy_bengali(F.translate(F.lower("text"), *_TO_BENGALI)).cast("binary"), 256).alias("tidied"))
+
+
+_NAMED = "case lang when 'en' then 'English' when 'de' then 'Bodo' when 'fr' then 'Garo' else 'Hindi' end"
+
+
+@query(rf"""with docs as (select doc_id, {_NAMED} as language, text from documents where text is not null),
+  cut as (select doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_extract_all(text, '(?s)[^{_B}]*[{_B}]+\s*|[^{_B}]+$')] as p from docs),
+  pieces as (select doc_id, generate_subscripts(p, 1) as k, unnest(p) as s from (select doc_id, [x for x in p if x <> ''] as p from cut)),
+  short as (select *, ((length(s) <= 5 and len(string_split_regex(s, '\s+')) < 5) or length(s) < 3 or not regexp_matches(s, '[\p{{L}}\p{{N}}]')) as short from pieces),
+  runs as (select *, sum(case when short then 0 else 1 end) over (partition by doc_id order by k) as g from short),
+  buffered as (select doc_id, g as k, string_agg(s, ' ' order by k) as s from runs group by doc_id, g),
+  strict as (select doc_id, k, s from pieces where length(s) >= 3 and regexp_matches(s, '[\p{{L}}\p{{N}}]')),
+  every as (select d.doc_id, d.language, x.k, x.s from docs d join buffered x on d.doc_id = x.doc_id where d.language in ('English', 'Hindi')
+    union all select d.doc_id, d.language, x.k, x.s from docs d join strict x on d.doc_id = x.doc_id where d.language in ('Bodo', 'Garo')),
+  whole as (select doc_id, language, 1 as k, trim(text) as s from docs where trim(text) <> '' and doc_id not in (select doc_id from every)),
+  rows as (select * from every union all select * from whole)
+  select language, 'ep' || doc_id as episode, (row_number() over (partition by doc_id order by k) - 1)::int as idx, s as text, language in ('Bodo', 'Garo') as low_resource from rows""")
+def sentence_table(spark, sf):
+    """Sentences of every document as a transcript: strict for low-resource languages, buffered for others, whole where nothing is left."""
+    ship(spark)
+    language = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "de", "Bodo").when(F.col("lang") == "fr", "Garo").otherwise("Hindi")
+    rows = docs(spark, sf).where("text is not null").select(language.alias("language"), F.concat(F.lit("ep"), "doc_id").alias("episode"), "text")
+    return build.sentence_table(rows).select("language", "episode", "idx", "text", "low_resource")
+
+
+_SHOWN = "round_even(case when aligned then raw_similarity else raw_similarity * 0.5 end, 4)"
+
+
+@query(f"""with {_DEOVERLAP}, best as (select * from placed qualify row_number() over (partition by label, i order by sim desc, s, e) = 1),
+  mine as (select b.label, b.i, coalesce(f.s, b.s) as s, coalesce(f.e, b.e) as e, ((round(coalesce(f.sim, b.sim) * 1000000)::bigint + 50) // 100) / 10000.0::double as raw_similarity from best b left join front f on b.label = f.label and b.i = f.i),
+  flagged as (select m.*, h.s is not null as aligned from mine m left join held h on m.label = h.label and m.i = h.i and m.s = h.s and m.e = h.e),
+  numbered as (select *, round(raw_similarity * 10000)::int as x from flagged)
+  select * exclude (x), (case when aligned then x when x % 2 = 0 then x / 2 else x // 2 + (x // 2) % 2 end / 10000.0)::double as similarity from numbered""")
+def sliding_compared(spark, sf):
+    """Per sentence: the accepted span, else the best one whatever its score; aligned only what de-overlap kept."""
+    ship(spark)
+    spans, _ = placed(spark, sf)
+    walked = align.frontier(spans, BLOCK, 0.15, 0.3)
+    return align.compared(spans, walked, align.deoverlap(walked, BLOCK), BLOCK)
+
+
+_VIEW = """select r.label, r.i, coalesce(a.j, r.j) as j, coalesce(a.sim, r.sim) as raw_similarity, a.j is not null as aligned, '{}' as stage, {} as ordinal from ranked r
+  left join (select * from ranked where f <= 1 and b <= 1 and sim >= {}) a on r.label = a.label and r.i = a.i where r.f = 1"""
+
+
+@query(f"""with {_RANKED}, legs as ({_VIEW.format("sliding", 0, 0.4)} union all {_VIEW.format("mutual_topk_cosine", 1, 0.2)}), shown as (select *, {_SHOWN} as similarity from legs)
+  select label, i, j, similarity, raw_similarity, aligned, stage from shown
+  qualify row_number() over (partition by label, i order by aligned::int desc, (stage = 'mutual_topk_cosine')::int, similarity desc, ordinal) = 1""")
+def complete_pairs(spark, sf):
+    """One row per sentence over two legs, whatever the threshold."""
+    ranks, rows = ranked(spark, sf, 1), []
+    for n, (stage, least) in enumerate((("sliding", 0.4), ("mutual_topk_cosine", 0.2))):
+        view = similarity.all_compared(ranks, similarity.mutual(ranks, BLOCK, 1, least), BLOCK, side="i")
+        rows.append(view.withColumns({"stage": F.lit(stage), "ordinal": F.lit(n), "threshold": F.lit(None).cast("double")}))
+    return align.collapse(corpus.union_episodes(rows), ["label", "i"]).select("label", "i", "j", "similarity", "raw_similarity", "aligned", "stage")
+
+
+@query("""with s as (select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as line_index, role, text from conversations),
+  side as (select conv_id, line_index, 'id' || conv_id || '-' || line_index as sentence_id from s where line_index % 3 <> 2)
+  select s.conv_id, s.line_index, s.role, side.sentence_id from s left join side on s.conv_id = side.conv_id and s.line_index = side.line_index""")
+def positional_join(spark, sf):
+    """Lines of each conversation with the ids at the same place of a sidecar that lacks every third."""
+    from pyspark.sql import Window
+
+    lines = turns(spark, sf).withColumn("line_index", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    side = lines.where("line_index % 3 <> 2").select("conv_id", "line_index", F.concat_ws("-", F.concat(F.lit("id"), "conv_id"), "line_index").alias("sentence_id"))
+    return corpus.positional_join(lines.select("conv_id", "line_index", "role"), side, ["conv_id"])
+
+
+@query("""with p as (select distinct conv_id, role, text from conversations where text is not null), x as (select conv_id, role, list(text order by text) as t, list(sha1(text) order by text) as i from p group by 1, 2)
+  select 'conv' || conv_id as "English", sha1('conv' || conv_id) as "English_sentence_id", """ + ", ".join(f"array_to_string(max(t) filter (role = '{r}'), chr(10)) as {r}, array_to_string(max(i) filter (role = '{r}'), ',') as {r}_sentence_ids" for r in ROLES) + " from x group by conv_id")
+def wide_ids(spark, sf):
+    """Wide table with a list of texts and the list of their ids per language."""
+    name = F.concat(F.lit("conv"), "conv_id")
+    pairs = turns(spark, sf).where("text is not null").select(
+        F.lit("all").alias("episode"), name.alias("english"), F.sha1(name.cast("binary")).alias("English_sentence_id"), F.col("role").alias("language"), "text", F.sha1(F.col("text").cast("binary")).alias("sentence_id")
+    )
+    table = build.wide_table(pairs, ROLES)
+    return table.select("English", "English_sentence_id", *(c for r in ROLES for c in (F.array_join(r, "\n").alias(r), F.array_join(f"{r}_sentence_ids", ",").alias(f"{r}_sentence_ids"))))
+
+
+@query("""select d.source, count(*) as rows, count(l.quality) as matched, count(*) - count(l.quality) as unmatched, count(*) filter (l.toxic is null) as without_toxic
+  from documents d left join labels l on d.doc_id = l.doc_id group by 1""")
+def match_counts(spark, sf):
+    """How many ids of each source found a partner."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "id")
+    joined = corpus.id_join(docs(spark, sf).select("doc_id", "source"), labels, "doc_id")
+    return log.counts(joined, ("source",), matched=F.col("quality").isNotNull(), unmatched=F.col("quality").isNull(), without_toxic=F.col("toxic").isNull())
+
+
+@query("""with t as (select vec_id, [[x::double for x in embedding[k * 8 + 1:k * 8 + 8]] for k in range(0, 8)] as t, [(k < vec_id % 9)::int for k in range(0, 8)] as m from embeddings where embedding is not null),
+  kept as (select vec_id, d, list_avg([t[k][d] for k in range(1, 9) if m[k] = 1]) as v from t, unnest(range(1, 9)) as u(d))
+  select vec_id, list(round(v, 6) order by d) filter (v is not null) as pooled from kept group by 1""")
+def mean_pool(spark, sf):
+    """Mean of the first few of eight token vectors."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k < F.col("vec_id") % 9).cast("int"))
+    pooled = V.mean_pool(tokens, mask, 8)
+    return rows.select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query(r"""with d as (select doc_id, lang, case when text is null or not regexp_matches(text, '[A-Za-z]') then null when regexp_matches(text, '\b([Tt]he|and)\b') then 'en' else 'xx' end as found from documents)
+  select doc_id, lang from d where found is null or (lang = 'en') = (found = 'en')""")
+def right_language(spark, sf):
+    """Texts that are what their language says, by a detector that knows two English words."""
+    detect = lambda t: F.when(t.rlike("[A-Za-z]"), F.when(t.rlike(r"\b([Tt]he|and)\b"), "en").otherwise("xx"))
+    return corpus.right_language(docs(spark, sf), "text", "lang", detect, "en").select("doc_id", "lang")
