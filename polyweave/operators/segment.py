@@ -95,22 +95,27 @@ def widths(duplicates: bool = False) -> list[int]:
 
 
 def spans(df: DataFrame, text: str, keys: list[str], min_chars: int = X.MIN_SPAN_CHARS, duplicates: bool = False, script: str | None = None) -> DataFrame:
-    """(keys, s, e, span): every run of the allowed widths, without those that hold a word of mixed script."""
+    """(keys, s, e, chars, span): every run of the allowed widths, without those that hold a word of mixed script."""
     lengths = widths(duplicates)
     most = max(lengths)
     words = df.select(*keys, T.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    word = lambda w: F.struct(w.alias("t"), (T.mixes_scripts(w, script) if script else F.lit(False)).alias("bad"))
-    words = words.select(*keys, F.transform("_w", word).alias("_w"))
 
-    # rows carry a chunk of the words, then those of one start only, and not the whole text
+    # rows carry a chunk of the words with running sums over it, then the words of one start only, and not the whole text
     chunk = lambda at: F.struct(at.alias("at"), F.slice("_w", at + 1, CHUNK + most - 1).alias("w"))
     chunks = words.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(CHUNK)), chunk)).alias("_c"))
-    start = lambda i: F.struct((F.col("_c.at") + i).alias("s"), F.slice(F.col("_c.w"), i + 1, most).alias("w"))
-    starts = chunks.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("_c.w"), F.lit(CHUNK)) - 1), start)).alias("_s"))
-
-    fits = F.filter(F.array(*map(F.lit, lengths)), lambda w: w <= F.size("_s.w"))
+    running = lambda of: F.aggregate("_c.w", F.array(F.lit(0)), lambda sums, w: F.concat(sums, F.array(F.element_at(sums, -1) + of(w))))
+    sums = [running(lambda w: F.length(w) + 1).alias("_n")]
     if script:
-        fits = F.filter(fits, lambda w: ~F.exists(F.slice(F.col("_s.w"), 1, w), lambda x: x["bad"]))
-    made = starts.select(*keys, F.col("_s.s").alias("s"), F.col("_s.w.t").alias("_t"), F.explode(fits).alias("_width"))
-    made = made.select(*keys, "s", (F.col("s") + F.col("_width")).alias("e"), F.array_join(F.slice("_t", F.lit(1), F.col("_width")), " ").alias("span"))
-    return made.where(F.length("span") >= min_chars)
+        sums.append(running(lambda w: T.mixes_scripts(w, script).cast("int")).alias("_x"))
+    chunks = chunks.select(*keys, F.col("_c.at").alias("_at"), F.col("_c.w").alias("_w"), *sums)
+
+    def start(i: Column) -> Column:
+        since = lambda c: F.transform(F.slice(c, i + 2, most), lambda x: x - F.get(F.col(c), i))
+        mixed = [since("_x").alias("x")] if script else []
+        return F.struct((F.col("_at") + i).alias("s"), F.array_join(F.slice("_w", i + 1, most), " ").alias("t"), since("_n").alias("n"), *mixed)
+
+    starts = chunks.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("_w"), F.lit(CHUNK)) - 1), start)).alias("_s"))
+    ok = lambda w: (F.get(F.col("_s.n"), w - 1) > min_chars) & (F.get(F.col("_s.x"), w - 1) == 0 if script else F.lit(True))
+    made = starts.select(*keys, "_s.s", "_s.t", "_s.n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda w: F.coalesce(ok(w), F.lit(False)))).alias("_width"))
+    chars = F.get(F.col("n"), F.col("_width") - 1) - 1
+    return made.select(*keys, "s", (F.col("s") + F.col("_width")).alias("e"), chars.alias("chars"), F.left("t", chars).alias("span"))

@@ -145,7 +145,7 @@ def episode_order(spark, sf):
 def span_gen(spark, sf):
     """Spans of every turn, summed up per turn."""
     made = segment.spans(turns(spark, sf), "text", ["conv_id", "turn"])
-    return made.groupBy("conv_id", "turn").agg(F.count("*").alias("n_spans"), F.sum(F.length("span")).alias("chars"), F.min("span").alias("first_span"))
+    return made.groupBy("conv_id", "turn").agg(F.count("*").alias("n_spans"), F.sum("chars").alias("chars"), F.min("span").alias("first_span"))
 
 
 @query(r"""with w as (select doc_id, unnest(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) as w from documents)
