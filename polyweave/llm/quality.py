@@ -1,13 +1,16 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of the learned vectors of its features: each word and
-each byte trigram and four-gram within a word (its borders included), hashed to
-a bucket each. A softmax over the two labels follows. Whole texts count.
+A document is the average of the learned vectors of its features: each word,
+each pair of words that follow each other, and each byte trigram and four-gram
+within a word (its borders included), hashed to a bucket each. A pair's hash is
+that of the difference of its words' hashes, so that what words a text repeats
+does not matter, but that it does is seen. A softmax over the two labels
+follows. Whole texts count.
 
 Method: the vectors and the output layer are trained by plain stochastic
 gradient descent in numpy, one document at a time, on a bounded sample of
 labelled documents (``per_label`` each, by hash of the id). The sample's feature
-counts (eight bytes a distinct feature, ``2 * BUCKETS`` a document at most)
+counts (eight bytes a distinct feature, ``3 * BUCKETS`` a document at most)
 are gathered on the driver. As the output layer is linear in the average, every
 feature's contribution to the two outputs is one number; a document's score is
 the average of these, which needs no vector per word.
@@ -31,9 +34,9 @@ from polyweave.llm import textkit as T
 from polyweave.llm.language_id import fold, sample
 from polyweave.llm.tables import set_aside, ship
 
-#: Hash buckets of words, and as many of byte n-grams.
+#: Hash buckets of words, as many of byte n-grams and as many of pairs of words.
 BUCKETS = 1 << 15
-FEATURES = 2 * BUCKETS
+FEATURES = 3 * BUCKETS
 
 #: Score from which a document is predicted good.
 THRESHOLD = 0.7
@@ -44,6 +47,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     starts, ends, at = T.word_spans(raw, offsets)
     row, hashes = T.row_of(at), T.word_hashes(raw, starts, ends)
     yield (hashes >> np.uint64(49)).astype(np.int32), row
+    pair = row[1:] == row[:-1]
+    yield (T.mix64(hashes[1:] - hashes[:-1])[pair] >> np.uint64(49)).astype(np.int32) + 2 * BUCKETS, row[1:][pair]
     space = T.SPACE[raw]
     low = np.where(space, np.uint8(0x20), raw).astype(np.uint32)
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))

@@ -57,6 +57,7 @@ def test_stages_on_edge_cases(spark):
     line = "the quick brown fox jumps over the lazy dog and then goes home to rest a while"
     rows = [
         (1, line, "en", "a", 5), (1, line, "en", "a", 5), (2, line + " now", "en", None, 5), (None, "seven words that no other line has", None, "a", None),
+        (None, "and six that are found nowhere else", "en", "a", 1), (2, "another text under an id that is taken", "en", "b", 2), (None, line, "en", "b", 3),
         (3, None, "en", "b", 0), (4, "", None, None, 0), (None, None, None, None, None), (5, " \n\t", "de", "b", 3), (6, "x" * 200_000, "en", "a", 9),
         (7, (line + "\n") * 5000, "en", "b", 1), (8, "a b", "fr", "b", 1),
     ]
@@ -65,6 +66,9 @@ def test_stages_on_edge_cases(spark):
     more = ", ".join(f"`{c}` string" for c in added)
     plain, clash = spark.createDataFrame(rows, schema), spark.createDataFrame([(*r, *added) for r in rows], f"{schema}, {more}")
     sf = "/root/testdata/sf0.001"
+    own = {(None, rows[3][1]), (None, rows[4][1]), (2, rows[5][1])}
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert {tuple(r)[:2] for r in stage(spark, plain, sf).collect()} >= own, name
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = [land(stage(spark, d, sf), "edge") for d in (plain, clash, plain.where("false"), clash.where("false"))]
         found = [sorted(map(str, (tuple(r)[:5] for r in o.collect()))) for o in out]
