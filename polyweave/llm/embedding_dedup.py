@@ -226,3 +226,24 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The query's rows where ids are given and differ, and no square over- or underflows.
+ORACLE = r"""
+with recursive given as (
+    select vec_id, label, embedding::double[] as v from embeddings where label is not null and vec_id is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), units as (
+    select vec_id, label, len(v) as n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from given
+), links as (
+    select a.vec_id as a, b.vec_id as b from units a join units b on a.label = b.label and a.n = b.n and a.vec_id <> b.vec_id where list_dot_product(a.u, b.u) >= 0.98
+), reached(vec_id, other) as (
+    select a, b from links union select r.vec_id, l.b from reached r join links l on r.other = l.a
+), least as (
+    select vec_id, least(vec_id, min(other)) as component from reached group by 1
+), counts as (
+    select a as vec_id, count(*) as n from links group by 1
+)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, coalesce(l.component, e.vec_id)::bigint as component_id, coalesce(l.component, e.vec_id) = e.vec_id as kept
+from embeddings e left join counts c on e.vec_id = c.vec_id left join least l on e.vec_id = l.vec_id
+"""

@@ -332,3 +332,33 @@ def query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     return dedup_lines(documents).select("doc_id", "n_lines", "n_removed", kept)
+
+
+#: The query's rows where ids are given and differ.
+ORACLE = r"""
+with lines as (
+    select doc_id, generate_subscripts(l, 1) as line, unnest(l) as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)
+), split as (
+    select doc_id, line, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from lines
+), places as (
+    select *, len(w) as n, row_number() over (order by doc_id, line) as place from split
+), variants as (
+    select place, list_concat(w[1:c - 1], w[c + 1:]) as w, c from (select place, w, unnest(range(1, n + 1)) as c from places where n >= 3)
+), firsts as (
+    select w, min(place) as first from places where n >= 3 group by w
+), cuts as (
+    select w, c, min(place) as first from variants group by w, c
+), shorter as (
+    select w, min(first) as first from cuts group by w
+), gone as (
+    select place from (select place, min(place) over (partition by w) as first from places where n >= 1) where first < place
+    union select v.place from variants v join cuts c on v.w = c.w and v.c = c.c where c.first < v.place
+    union select v.place from variants v join firsts f on v.w = f.w where f.first < v.place
+    union select p.place from places p join shorter s on p.w = s.w where p.n >= 3 and s.first < p.place
+), kept as (
+    select l.doc_id, l.line, l.text, g.place is not null as gone from lines l join places p on l.doc_id = p.doc_id and l.line = p.line left join gone g on p.place = g.place
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed,
+    sha256(coalesce(string_agg(text, chr(10) order by line) filter (not gone), '')) as kept_sha256
+from kept group by 1
+"""

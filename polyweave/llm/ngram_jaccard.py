@@ -309,3 +309,30 @@ def keep_first(documents: DataFrame, size: int = 5, percent: int = 80, bits: int
 def query(spark, sf_dir: str) -> DataFrame:
     """Per document: the size of its set and its component."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The query's rows where ids are given and differ.
+ORACLE = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from split where len(w) > 0)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by 1
+), classes as (
+    select doc_id, n, min(doc_id) over (partition by n, digest) as rep from (select doc_id, count(*) as n, list(s order by s) as digest from shingles group by 1)
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+    where a.doc_id in (select rep from classes) and b.doc_id in (select rep from classes) group by 1, 2
+), links as (
+    select a, b from pairs join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)
+), ways as (
+    select a, b from links union select b, a from links
+), reached(doc_id, other) as (
+    select a, b from ways union select r.doc_id, w.b from reached r join ways w on r.other = w.a
+), least as (
+    select doc_id, least(doc_id, min(other)) as component from reached group by 1
+)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_shingles, coalesce(l.component, c.rep, d.doc_id)::bigint as component_id
+from documents d left join classes c on d.doc_id = c.doc_id left join least l on c.rep = l.doc_id
+"""

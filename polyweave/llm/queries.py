@@ -31,4 +31,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op6_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op7_ngram_jaccard_join": ngram_jaccard.ORACLE,
 }

@@ -187,3 +187,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Per document: words, removed words and the SHA-256 of the words kept."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_substrings(documents).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The query's rows where ids are given and differ.
+ORACLE = r"""
+with words as (
+    select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)
+), windows as (
+    select doc_id, i, string_agg(word, ' ') over run as span, count(*) over run as n from words
+    window run as (partition by doc_id order by i rows between current row and 19 following)
+), judged as (
+    select doc_id, i, n = 20 and row_number() over (partition by span, n order by doc_id, i) > 1 as repeats from windows
+), marked as (
+    select w.doc_id, w.i, w.word, bool_or(j.repeats) over (partition by w.doc_id order by w.i rows between 19 preceding and current row) as gone
+    from words w join judged j on w.doc_id = j.doc_id and w.i = j.i
+), sums as (
+    select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from marked group by 1
+)
+select d.doc_id, coalesce(s.n_words, 0)::bigint as n_words, coalesce(s.n_removed, 0)::bigint as n_removed, sha256(coalesce(s.kept, '')) as kept_sha256
+from documents d left join sums s on d.doc_id = s.doc_id
+"""

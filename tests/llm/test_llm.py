@@ -316,7 +316,7 @@ def test_mixing_against_sql(spark, sf, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     columns = ", ".join(f'"{c}"' for c in df.columns)
