@@ -25,6 +25,10 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
         raw = w.readframes(w.getnframes())
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.reshape(-1).view("<i4").astype(np.float32) / float(1 << 31)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
     return x.reshape(-1, channels).T, rate

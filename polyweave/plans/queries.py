@@ -591,3 +591,19 @@ def right_language(spark, sf):
     """Texts that are what their language says, by a detector that knows two English words."""
     detect = lambda t: F.when(t.rlike("[A-Za-z]"), F.when(t.rlike(r"\b([Tt]he|and)\b"), "en").otherwise("xx"))
     return corpus.right_language(docs(spark, sf), "text", "lang", detect, "en").select("doc_id", "lang")
+
+
+def _normal(column: str) -> str:
+    return _WS.format(_PLAIN.replace("regexp_replace(text", f"regexp_replace(nfc_normalize({column})"))
+
+
+@query(f"""with t as (select doc_id, translate(text, '{"".join(_TO_DIGITS[1])}', '') as text from documents),
+  a as (select doc_id, translate(lower(text), '{_TO_ARABIC[0]}', '{_TO_ARABIC[1]}') as arab, replace(replace(lower(text), 'a', 'ड़'), 'b', 'चँढ़') as deva from t)
+  select doc_id, {_WS.format(f"translate(translate({_normal('arab')}, '{X.HARAKAT}{X.TATWEEL}', ''), 'ىةۀأإآ', 'يههااا')")} as urdu,
+    {_WS.format(f"replace(replace(translate({_normal('deva')}, 'ँ', 'ं'), 'ड़', 'ड'), 'ढ़', 'ढ')")} as hindi from a""")
+def normalize_scripts(spark, sf):
+    """Full normalisation of texts in Arabic and Devanagari letters."""
+    ship(spark)
+    rows = docs(spark, sf).select("doc_id", F.lower(F.translate("text", _TO_DIGITS[1], "")).alias("text"))
+    deva = F.replace(F.replace("text", F.lit("a"), F.lit("ड़")), F.lit("b"), F.lit("चँढ़"))
+    return rows.select("doc_id", T.normalize(F.translate("text", *_TO_ARABIC), "urd-script_arabic").alias("urdu"), T.normalize(deva, "hin").alias("hindi"))
