@@ -21,7 +21,7 @@ Method: a count-min prefilter, then exact grouping.
 
 The sketch has ``2 * 2**bits`` cells; by default ``bits`` follows the size of
 the input up to 27, which suits some ten GB of text. With more text for its
-size it passes on more windows, up to all; results do not change. Shuffled are the windows passed on (about 25 bytes each), the marks and
+size it passes on more windows, up to all; results do not change. Shuffled are the windows passed on (about 31 bytes each), the marks and
 the text once.
 
 Defined results: a null or empty text has no words and keeps the empty string;
