@@ -18,6 +18,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what a writing task holds, and the least that reading tasks can share a file by.
+ROW_GROUP = 32 << 20
+
 _local: str | None = None
 
 
@@ -36,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
