@@ -607,6 +607,8 @@ def test_packing_of_more_words_than_kept(monkeypatch):
 
 
 def test_empty_tables(spark, documents):
+    import public_tokenizers
+
     none = documents.where("false")
     for df in (
         substring_dedup.dedup_substrings(none, bits=18), line_dedup.dedup_lines(none), ngram_jaccard.jaccard_components(none, bits=18), source_mixing.mix(none),
@@ -614,3 +616,12 @@ def test_empty_tables(spark, documents):
         embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")), packing.pack_query(none),
     ):
         assert df.count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    scored = quality.score(none, quality.fit(none, labels))
+    pages = media.sequences(spark.createDataFrame([], "page_id long, html string"))
+    for df in (
+        scored, quality.keep_good(none, quality.fit(none, labels)), language_id.predict(none, language_id.fit(none)), media.decoded(media.store(none.select(media.stored(media.payload("text")).alias("data")))),
+        media.resolve(media.references(pages), media.decoded(media.store(none.select(media.stored(media.payload("text")).alias("data"))))), line_dedup.rewrite(none), ngram_jaccard.keep_first(none, bits=18),
+        source_mixing.mixture(none, quality.fit(none, labels)), packing.pack(none, public_tokenizers.path("word_bpe_49k.json"), weights={"a": 1.0}),
+    ):
+        assert df.count() == 0
