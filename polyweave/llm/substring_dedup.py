@@ -130,12 +130,13 @@ def dedup_substrings(documents: DataFrame, window: int = 20, anchor: int = 10, b
                 found.append((h1, h2, docs[row[starts]], tags[row[starts]], number[starts].astype(np.int32)))
             if not found:
                 continue
-            h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((start, tag, doc, h2, h1))
-            h1, h2, doc, tag, start = h1[order], h2[order], doc[order], tag[order], start[order]
-            first, later = _repeats(h1, h2, doc, tag, start)
-            yield A.batch(_ROWS, h1[first], h2[first], doc[first], tag[first], start[first], np.full(len(first), -1, np.int32))
-            d, g, a, z = _merged(doc[later], tag[later], start[later], start[later] + window)
+            rows = [np.concatenate(x) for x in zip(*found)]
+            order = np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))
+            first, later = _repeats(*(c[order] for c in rows))
+            goes = np.sort(order[first])  # windows of a document stay together, so that what they share shrinks in the shuffle
+            yield A.batch(_ROWS, *(c[goes] for c in rows), np.full(len(goes), -1, np.int32))
+            doc, tag, start = (c[order[later]] for c in rows[2:])
+            d, g, a, z = _merged(doc, tag, start, start + window)
             spread = T.mix64(d.view(np.uint64) ^ a.astype(np.uint64)).view(np.int64)
             yield A.batch(_ROWS, spread, np.zeros(len(d), np.int64), d, g, a, z)
 
