@@ -182,8 +182,9 @@ def _profile(planes: S.Planes, b: pa.RecordBatch, min_words: int, near_words: in
     doc, tag, line, k1, k2, alone, sides = (np.concatenate(x) for x in zip(*found))
     order, new, head = _earliest(doc, tag, line, k1, k2, alone)
     same = ~new & ((doc[order] != doc[head]) | (tag[order] != tag[head]) | (line[order] != line[head]))
-    keep = order[new | same]  # a repeated row of the table is one document
-    repeat = same[new | same]
+    keep, repeat = order[new | same], same[new | same]  # a repeated row of the table is one document
+    back = np.argsort(keep)  # lines of a document stay together, so that what they share shrinks in the shuffle
+    keep, repeat = keep[back], repeat[back]
     given = [None if r else words[i] for i, r in zip(keep.tolist(), repeat.tolist())]
     yield A.batch(_LINES, k1[keep], k2[keep], doc[keep], tag[keep], line[keep], repeat, alone[keep], sides[keep], given)
 
@@ -218,7 +219,7 @@ def _variants(b: pa.RecordBatch, planes: S.Planes) -> Iterator[pa.RecordBatch]:
     owner, v1, v2 = (np.concatenate(x) for x in zip(*found))
     doc, tag, line = (A.ints(b.column(i)) for i in range(3))
     order, new, head = _earliest(doc[owner], tag[owner], line[owner], v1, v2)
-    goes = order[new]
+    goes = np.sort(order[new])
     none = [None] * len(goes)
     yield A.batch(_KEYS, v1[goes], v2[goes], doc[owner[goes]], tag[owner[goes]], line[owner[goes]], none, none, none)
     later, witness = owner[order[~new]], owner[head[~new]]
