@@ -34,7 +34,8 @@ Method: deletion-neighbourhood join.
 
 Both joins are of a group's rows with one row per group, so adaptive execution
 can split the rows of a hot line or variant. ``bits`` sets the cells of the
-sketches; by default they follow the size of the input up to 2^27.
+sketches as broadcast; by default they follow the size of the input up to 2^27.
+The cells that are counted follow it beyond that.
 
 Defined results: a null or empty text has one empty line and is kept; a null id
 counts as the largest; rows that repeat an id, null included, are documents of
@@ -253,6 +254,7 @@ def _bits(documents: DataFrame) -> int:
 
 def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataFrame:
     """As dedup_lines, over (doc, tag, text) and any columns to carry along."""
+    fine = S.fine_for(docs, 4, bits)
     if not 1 <= min_words <= near_words:
         raise ValueError("lines within an edit have to be among those that are compared at all")
     spark = docs.sparkSession
@@ -260,7 +262,7 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
     texts = docs.select("doc", "tag", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves, wholes = S.TagCounter(bits), S.Counter(bits, 3, first=2)
+        halves, wholes = S.TagCounter(bits, fine), S.Counter(bits, 3, first=2, fine=fine)
         for b in batches:
             for _, lines in _slices(b, 0):
                 own = np.flatnonzero(lines.n >= min_words)
@@ -272,7 +274,7 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
         yield from halves.rows()
         yield from wholes.rows()
 
-    first = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 3))
+    first = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 3, fine=fine))
     table = land(texts.mapInArrow(lambda it: (x for b in it for x in _profile(first.value, b, min_words, near_words)), _LINES_SQL), "lines")
     first.destroy()
 
@@ -289,13 +291,13 @@ def _dedup(docs: DataFrame, min_words: int, near_words: int, bits: int) -> DataF
     near = table.where("alone and not repeat and words is not null").select(*columns).union(settled.where("words is not null").select(*columns))
 
     def count_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = S.Counter(bits - 1, 2)
+        counter = S.Counter(bits - 1, 2, fine=fine - 1)
         for b in batches:
             for lo, lines in _slices(b, 4):
                 yield from counter.add(_variant_keys(lines, A.ints(b.column(3))[lo : lo + len(lines.n)], 0)[1])
         yield from counter.rows()
 
-    second = spark.sparkContext.broadcast(S.merge(near.mapInArrow(count_variants, S.PARTIAL), bits - 1, 2))
+    second = spark.sparkContext.broadcast(S.merge(near.mapInArrow(count_variants, S.PARTIAL), bits - 1, 2, fine=fine - 1))
     keys = land(near.mapInArrow(lambda it: (x for b in it for x in _variants(b, second.value)), _KEYS_SQL), "variants")
     second.destroy()
     best = keys.where("wdoc is null").groupBy("v1", "v2").agg(F.min(place).alias("by"))

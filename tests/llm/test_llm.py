@@ -625,3 +625,25 @@ def test_empty_tables(spark, documents):
         source_mixing.mixture(none, quality.fit(none, labels)), packing.pack(none, public_tokenizers.path("word_bpe_49k.json"), weights={"a": 1.0}),
     ):
         assert df.count() == 0
+
+
+def _landed(monkeypatch, module, name: str) -> list:
+    """The tables of this name that ``module`` lands from now on."""
+    seen, land = [], module.land
+    monkeypatch.setattr(module, "land", lambda df, n: (t := land(df, n), seen.append(t) if n == name else None)[0])
+    return seen
+
+
+def _unlike(n: int, words: int) -> list[str]:
+    """Texts of words that occur nowhere else."""
+    return [" ".join(f"w{i}x{k}" for k in range(words)) for i in range(n)]
+
+
+def test_more_lines_than_the_sketch_has_cells(spark, monkeypatch):
+    lines = _unlike(60_000, 8)
+    texts = ["\n".join(lines[i : i + 20]) for i in range(0, len(lines), 20)] + [lines[7], lines[9].replace("x3", "y3")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = _landed(monkeypatch, line_dedup, "lines")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, bits=16).collect()}
+    assert {i: n for i, n in got.items() if n} == {3000: 1, 3001: 1} and len(got) == len(texts)
+    assert seen[0].count() < 600
