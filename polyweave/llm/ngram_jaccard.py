@@ -28,8 +28,9 @@ Method: prefix filtering with set-relation skipping.
 Every linked pair shares a list of step 3 and so a hub, so no link between
 different sets is missed. Rows grow with list entries, not with pairs: a hub's
 members are dealt out in blocks, and only members outside the hub's component
-meet all blocks. The sketch has ``2**bits`` cells (28: 32 MB broadcast); with
-more text for its size fewer sets drop out in step 1.
+meet all blocks. The sketch as broadcast has ``2**bits`` cells (28: 32 MB); more
+are counted with more text, so that only shingles that do repeat fill it. Where
+there are too many of these, fewer sets drop out in step 1.
 
 Defined results: null, empty and blank texts have size 0 and stand alone; a
 null id counts as the largest, so a component of null ids only is null; rows
@@ -221,15 +222,16 @@ def _components(documents: DataFrame, size: int, percent: int, bits: int | None)
     ship(spark)
     docs = keyed(documents, F.col("doc_id").cast("long").alias("id")).select("id", "tag", "text")
     bits = bits or S.bits_for(documents, 1, 28)
+    fine = S.fine_for(documents, 1, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = S.Counter(bits, 1)
+        counter = S.Counter(bits, 1, fine=fine)
         for b in batches:
             for flat, _ in shingle_sets(b.column(0), size):
                 yield from counter.add(flat)
         yield from counter.rows()
 
-    planes = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 1, heavy=FREQUENT))
+    planes = spark.sparkContext.broadcast(S.merge(docs.select("text").mapInArrow(count, S.PARTIAL), bits, 1, heavy=FREQUENT, fine=fine))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33

@@ -647,3 +647,13 @@ def test_more_lines_than_the_sketch_has_cells(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, bits=16).collect()}
     assert {i: n for i, n in got.items() if n} == {3000: 1, 3001: 1} and len(got) == len(texts)
     assert seen[0].count() < 600
+
+
+def test_more_shingles_than_the_sketch_has_cells(spark, monkeypatch):
+    texts = _unlike(5000, 60)
+    texts += [texts[11], texts[12].replace("x59", "y59")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = _landed(monkeypatch, ngram_jaccard, "sets")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(df, bits=16).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {5000: 11, 5001: 12} and len(got) == len(texts)
+    assert seen[0].where("toks is not null").count() < 50
