@@ -1,4 +1,8 @@
 import collections
+import os
+import re
+import subprocess
+import sys
 
 import pytest
 
@@ -77,3 +81,25 @@ def test_stages_on_edge_cases(spark):
         assert {tuple(r)[5:] for r in out[1].collect()} == {tuple(added)}, name
     pack = corpus_pipeline.STAGES[-1][1]
     assert pack(spark, clash, sf).count() >= len(rows) and pack(spark, plain.where("false"), sf).count() == 0
+
+
+def test_mixing_counts_words_of_long_texts(spark):
+    """A document of eight million words fits a heap that a list of its words does not; what counts as a word stays."""
+    from polyweave.llm import source_mixing
+
+    code = """
+from pyspark.sql import SparkSession
+import corpus_pipeline
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.range(1).selectExpr("id as doc_id", "repeat('a ', cast(8000000 + id as int)) as text", "'a' as source")
+out = corpus_pipeline.mixing(spark, docs, "/root/testdata/sf0.001")
+print("taken", [r.n for r in out.selectExpr("length(text) as n").collect()])
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "taken [16000000, 16000000]" in done.stdout, done.stderr[-2000:]
+
+    odd = [None, "", " ", "\t\n", " a", "a ", "  a  b\x0b\x0c\rc ", "\U0001d4b3 y", "x\x85y\u2028z", "\x1c a \x1f", "$1 \\x", " \n $ \\ ", "a\x00b c"]
+    got = spark.createDataFrame([(s,) for s in odd], "text string").select("text", source_mixing.words_in("text").alias("n")).collect()
+    assert [r.n for r in got] == [len(re.findall(source_mixing.WORDS, r.text or "")) for r in got]
