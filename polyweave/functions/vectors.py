@@ -34,3 +34,10 @@ def mean_pool(tokens: Column, mask: Column, dim: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), dim)
     total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["t"], lambda a, b: a + b.cast("double")))
     return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double scaled, brought to the nearest integer (halves away from zero) and scaled back, as SQL engines in C do; a zero keeps its sign, as in -0.0."""
+    scaled = x * float(10**digits)
+    near = F.when(F.abs(scaled % 1.0) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(F.rint(scaled)) / float(10**digits)
+    return F.when(F.abs(near) < float("inf"), near).otherwise(x)

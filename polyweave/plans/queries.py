@@ -582,7 +582,7 @@ def mean_pool(spark, sf):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
     mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k < F.col("vec_id") % 9).cast("int"))
     pooled = V.mean_pool(tokens, mask, 8)
-    return rows.select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
+    return rows.select("vec_id", F.transform(pooled, lambda x: V.rounded(x, 6)).alias("pooled"))
 
 
 @query(r"""with d as (select doc_id, lang, case when text is null or not regexp_matches(text, '[A-Za-z]') then null when regexp_matches(text, '\b([Tt]he|and)\b') then 'en' else 'xx' end as found from documents)
