@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,25 +112,42 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), _SPACES), lambda w: w != "")
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether ``words`` finds ``n`` or more; looks at no more than these."""
+    if n > 64:  # a pattern's repeats are nested calls
+        return F.size(words(text)) >= n
+    return text.rlike(f"(?U)^\\s*+(?:\\S++\\s++){{{n - 1}}}\\S") if n > 0 else text.isNotNull()
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is looked at."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _parts(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?U)(?<=[.!?।॥])\s+"), lambda p: F.trim(p) != "")
 
 
 def drop_weak_leading(text: Column, weak: int = 3, strong: int = 6) -> Column:
     """Parts of at most ``weak`` words go, but for the last, if some part has ``strong`` words."""
-    parts = _parts(text)
-    sizes = F.transform(parts, lambda p: F.size(words(p)))
-    kept = F.filter(parts, lambda p, i: (F.size(words(p)) > weak) | (i == F.size(parts) - 1))
-    return F.when((F.size(parts) > 1) & (F.array_max(sizes) >= strong), F.array_join(kept, " ")).otherwise(F.trim(text))
+
+    def cut(parts: Column) -> Column:
+        kept = F.filter(parts, lambda p, i: has_words(p, weak + 1) | (i == F.size(parts) - 1))
+        return F.when((F.size(parts) > 1) & F.exists(parts, lambda p: has_words(p, strong)), F.array_join(kept, " ")).otherwise(F.trim(text))
+
+    return bound(_parts(text), cut)
 
 
 def drop_fragments(text: Column, weak: int = 3, strong: int = 4) -> Column:
     """Unfinished parts of at most ``weak`` words go, if some part is finished or has ``strong`` words."""
-    parts = _parts(text)
     finished = lambda p: p.rlike(r"[.!?।॥]$")
-    real = F.exists(parts, lambda p: finished(p) | (F.size(words(p)) >= strong))
-    kept = F.filter(parts, lambda p: finished(p) | (F.size(words(p)) > weak))
-    return F.when(real, F.array_join(kept, " ")).otherwise(F.trim(text))
+
+    def cut(parts: Column) -> Column:
+        real = F.exists(parts, lambda p: finished(p) | has_words(p, strong))
+        kept = F.filter(parts, lambda p: finished(p) | has_words(p, weak + 1))
+        return F.when(real, F.array_join(kept, " ")).otherwise(F.trim(text))
+
+    return bound(_parts(text), cut)
 
 
 def keep_letters(text: Column, numbers: bool = True) -> Column:

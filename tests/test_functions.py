@@ -57,3 +57,10 @@ def test_spans(spark):
     assert twice == got[26] + sum(26 - w + 1 for w in (4, 6, 10, 18))
     mixed = spark.createDataFrame([(1, "কখগ কxখ abc কখগ")], "k int, t string")
     assert {r.span for r in segment.spans(mixed, "t", ["k"], script="Beng").collect()} == {"কখগ", "abc", "abc কখগ"}
+
+
+def test_has_words(spark):
+    texts = ["", " ", "a", " a　b ", "a b c", "a\n b\t c d"]
+    for n in (0, 1, 3, 65):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string")
+        assert all(r[0] == r[1] for r in rows.select(T.has_words(F.col("t"), n), F.size(T.words(F.col("t"))) >= n).collect())

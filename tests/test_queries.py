@@ -33,3 +33,13 @@ def test_mean_pool_signs_and_halves(spark, tmp_path):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     got = sorted((r.vec_id, str(r.pooled)) for r in Q.QUERIES["q_mean_pool"](spark, str(tmp_path)).collect())
     assert got == sorted((k, str(v)) for k, v in con.sql(Q.ORACLES["q_mean_pool"]).fetchall()) and "-0.0," in str(got)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q_weak_leading", "q_trailing_fragments"])
+def test_parts_are_cut_once(spark, sf, name):
+    """And not once more for each part."""
+    assert plan(Q.QUERIES[name](spark, sf)).count("split(") == 1
