@@ -20,8 +20,9 @@ CHUNK = 256
 
 def pieces(text: Column) -> Column:
     """Text cut after each run of boundary characters, trimmed, without blank pieces."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)([^{X.BOUNDARY[1:-1]}]*{X.BOUNDARY}+\\s*|[^{X.BOUNDARY[1:-1]}]+$)"), F.lit(1))
-    return F.filter(F.transform(found, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    no = f"[^{X.BOUNDARY[1:-1]}]"
+    found = F.regexp_extract_all(text, F.lit(f"{no}*+{X.BOUNDARY}++\\s*+|{no}++"), F.lit(0))
+    return F.filter(F.transform(found, lambda p: F.regexp_extract(p, r"(?Us)^\s*+(.*\S)?", 1)), lambda p: p != "")
 
 
 def blank(piece: Column) -> Column:
@@ -30,7 +31,7 @@ def blank(piece: Column) -> Column:
 
 def strict(parts: Column, min_len: int, min_chars: int) -> Column:
     """Pieces long enough in characters and words, not of signs only."""
-    return F.filter(parts, lambda p: (F.length(p) >= min_len) & (F.size(T.words(p)) >= min_len) & (F.length(p) >= min_chars) & ~blank(p))
+    return F.filter(parts, lambda p: (F.length(p) >= min_len) & T.has_words(p, min_len) & (F.length(p) >= min_chars) & ~blank(p))
 
 
 def buffered(parts: Column, min_len: int, min_chars: int) -> Column:
@@ -42,14 +43,9 @@ def buffered(parts: Column, min_len: int, min_chars: int) -> Column:
 
     def cut(p: Column) -> Column:
         begin = F.filter(F.transform(p, lambda s, i: F.when((i == 0) | ~short(s), i + 1)), lambda i: i.isNotNull())
-        return _bound(begin, lambda b: joined(p, b))
+        return T.bound(begin, lambda b: joined(p, b))
 
-    return _bound(parts, cut)
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is looked at."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return T.bound(parts, cut)
 
 
 def tokenizer(make: Callable[[], Callable[[str], list[str]]]) -> Callable[[Column], Column]:
@@ -85,7 +81,12 @@ def split(text: Column, min_len: int, min_chars: int, buffer: bool, tokenize: Ca
 def sentences(df: DataFrame, text: str, keys: list[str], min_len: int = 5, min_chars: int = 3, buffer: bool = True, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """(keys, idx, sentence) of every row, in order."""
     rows = df.select(*keys, split(F.col(text), min_len, min_chars, buffer, tokenize).alias("_s"))
-    return rows.select(*keys, F.posexplode("_s").alias("idx", "sentence"))
+    return numbered(rows, keys, "sentence")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, idx, ``name``): the items of the list ``_s``; an outer explode, as for an inner one the optimizer makes the list once more, in a filter on its size."""
+    return rows.select(*keys, F.posexplode_outer("_s").alias("idx", name)).where("idx is not null")
 
 
 def widths(duplicates: bool = False) -> list[int]:

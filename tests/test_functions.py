@@ -64,3 +64,8 @@ def test_has_words(spark):
     for n in (0, 1, 3, 65):
         rows = spark.createDataFrame([(t,) for t in texts], "t string")
         assert all(r[0] == r[1] for r in rows.select(T.has_words(F.col("t"), n), F.size(T.words(F.col("t"))) >= n).collect())
+
+
+def test_pieces_at_odd_ends(spark):
+    assert one(spark, "　 a b  .\u0085\n\n ‼ c\n  d\u0085", segment.pieces) == ["a b  .", "‼", "c", "d"]
+    assert one(spark, " \n ", segment.pieces) == [] and one(spark, "", segment.pieces) == [] and one(spark, None, segment.pieces) is None

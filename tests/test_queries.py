@@ -39,6 +39,12 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["q_split_strict"])
+def test_texts_are_cut_once(spark, sf, name):
+    """The optimizer doesn't cut texts once more to filter them by the number of their sentences."""
+    assert plan(Q.QUERIES[name](spark, sf)).count("regexp_extract_all(") == 1
+
+
 @pytest.mark.parametrize("name", ["q_weak_leading", "q_trailing_fragments"])
 def test_parts_are_cut_once(spark, sf, name):
     """And not once more for each part."""
