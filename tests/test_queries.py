@@ -39,7 +39,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q_split_strict"])
+@pytest.mark.parametrize("name", ["q_split_strict", "q_split_buffered"])
 def test_texts_are_cut_once(spark, sf, name):
     """The optimizer doesn't cut texts once more to filter them by the number of their sentences."""
     assert plan(Q.QUERIES[name](spark, sf)).count("regexp_extract_all(") == 1
