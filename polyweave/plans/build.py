@@ -43,8 +43,9 @@ def sentence_table(transcripts: DataFrame, tokenize: Callable[[Column], Column]
     rows = transcripts.join(dim, "language", "left").na.fill({"low_resource": False}).withColumn("code", F.coalesce("code", F.lit("unk")))
     strict, buffered = segment.split(F.col("text"), 0, 3, False, tokenize), segment.split(F.col("text"), 5, 3, True, tokenize)
     kept = F.when(F.col("low_resource") & (F.col("language") != "English"), strict).otherwise(buffered)
-    rows = rows.withColumn("_s", F.when(F.size(kept) > 0, kept).otherwise(F.filter(F.array(F.trim("text")), lambda t: t != "")))
-    rows = rows.select("language", "episode", "code", "low_resource", F.posexplode("_s").alias("idx", "text"))
+    whole = F.filter(F.array(F.trim("text")), lambda t: t != "")
+    rows = rows.withColumn("_s", T.bound(kept, lambda s: F.when(F.size(s) > 0, s).otherwise(whole)))
+    rows = segment.numbered(rows, ["language", "episode", "code", "low_resource"], "text")
     return rows.withColumn("sentence_id", T.sentence_id(F.col("language"), F.col("episode"), T.normalize(F.col("text"), F.col("code"))))
 
 

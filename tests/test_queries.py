@@ -45,6 +45,10 @@ def test_texts_are_cut_once(spark, sf, name):
     assert plan(Q.QUERIES[name](spark, sf)).count("regexp_extract_all(") == 1
 
 
+def test_sentence_table_cuts_once(spark, sf):
+    assert plan(Q.QUERIES["q_sentence_table"](spark, sf)).count("regexp_extract_all(") == 2  # the strict way and the buffered one, of which a row takes one
+
+
 @pytest.mark.parametrize("name", ["q_weak_leading", "q_trailing_fragments"])
 def test_parts_are_cut_once(spark, sf, name):
     """And not once more for each part."""
