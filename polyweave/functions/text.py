@@ -6,10 +6,10 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from polyweave.functions import fixed as X
@@ -17,10 +17,10 @@ from polyweave.functions import fixed as X
 _SPACES = r"(?U)\s+"
 
 
-@pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C; Spark has no built-in for it."""
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+@arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """Unicode normal form C; Spark has no built-in for it, and Arrow's does not compose. One text at a time is a Python string."""
+    return pa.array((None if s is None else unicodedata.normalize("NFC", s) for s in (x.as_py() for x in text)), pa.string(), size=len(text))
 
 
 def _digits() -> tuple[str, str]:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from polyweave import shipping
 from polyweave.tables import clear, land, shared_dir  # noqa: F401
 
-#: Bytes of a batch that Python workers get at a time, where the session sets none; bounds their working set.
-BATCH_BYTES = 8 << 20
-
 #: Rows of Parquet that a task reads at a time, where the session sets none: texts are long, and a batch is held as a whole.
 READER_ROWS = 512
 
@@ -19,11 +16,10 @@ NO_ID = (1 << 63) - 1
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors the package, and batches of bounded size where the session sets none."""
+    """Give executors the package, and batches and reads of bounded size where the session sets none."""
     shipping.ship(spark)
-    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
-        if spark.conf.get(name, None) is None:
-            spark.conf.set(name, str(value))
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", None) is None:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def keyed(documents: DataFrame, *columns: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from polyweave.functions import text as T
 from polyweave.operators import segment
+from polyweave.shipping import ship
 
 
 def one(spark, value, f):
@@ -69,3 +71,14 @@ def test_has_words(spark):
 def test_pieces_at_odd_ends(spark):
     assert one(spark, "　 a b  .\u0085\n\n ‼ c\n  d\u0085", segment.pieces) == ["a b  .", "‼", "c", "d"]
     assert one(spark, " \n ", segment.pieces) == [] and one(spark, "", segment.pieces) == [] and one(spark, None, segment.pieces) is None
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Texts reach Python workers in batches of a bound in bytes, however many rows there are."""
+    own = spark.newSession()
+    ship(own)
+    rows = own.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    size = F.arrow_udf("int")(lambda t: pa.array([len(t)] * len(t), pa.int32()))
+    assert max(r[0] for r in rows.select(size("t")).collect()) <= 9
+    odd = own.createDataFrame([("é",), (None,), ("क़",)], "t string")
+    assert [r[0] for r in odd.select(T.nfc("t")).collect()] == ["é", None, "क़"]
