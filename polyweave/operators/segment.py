@@ -95,27 +95,72 @@ def widths(duplicates: bool = False) -> list[int]:
     return every if duplicates else sorted(set(every))
 
 
-def spans(df: DataFrame, text: str, keys: list[str], min_chars: int = X.MIN_SPAN_CHARS, duplicates: bool = False, script: str | None = None) -> DataFrame:
-    """(keys, s, e, chars, span): every run of the allowed widths, without those that hold a word of mixed script."""
-    lengths = widths(duplicates)
-    most = max(lengths)
-    words = df.select(*keys, T.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+def _chunks(df: DataFrame, text: str, keys: list[str], script: str | None = None) -> DataFrame:
+    """(keys, _at, _w, _n, _x): chunks of the words, so that no row carries the whole text, with running sums of characters and of words of mixed script.
 
-    # rows carry a chunk of the words with running sums over it, then the words of one start only, and not the whole text
-    chunk = lambda at: F.struct(at.alias("at"), F.slice("_w", at + 1, CHUNK + most - 1).alias("w"))
-    chunks = words.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(CHUNK)), chunk)).alias("_c"))
+    Lists that are never empty are exploded as outer ones: else the optimizer makes them once more, in a filter on their size.
+    """
+    words = df.select(*keys, T.words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    chunk = lambda at: F.struct(at.alias("at"), F.slice("_w", at + 1, CHUNK + max(widths()) - 1).alias("w"))
+    chunks = words.select(*keys, F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(CHUNK)), chunk)).alias("_c"))
     running = lambda of: F.aggregate("_c.w", F.array(F.lit(0)), lambda sums, w: F.concat(sums, F.array(F.element_at(sums, -1) + of(w))))
     sums = [running(lambda w: F.length(w) + 1).alias("_n")]
     if script:
         sums.append(running(lambda w: T.mixes_scripts(w, script).cast("int")).alias("_x"))
-    chunks = chunks.select(*keys, F.col("_c.at").alias("_at"), F.col("_c.w").alias("_w"), *sums)
+    return chunks.select(*keys, F.col("_c.at").alias("_at"), F.col("_c.w").alias("_w"), *sums)
+
+
+def _starts(of: Callable[[Column], Column]) -> Column:
+    """``of`` each place of a chunk where spans start."""
+    return F.transform(F.sequence(F.lit(0), F.least(F.size("_w"), F.lit(CHUNK)) - 1), of)
+
+
+def span_sums(df: DataFrame, text: str, keys: list[str], min_chars: int = X.MIN_SPAN_CHARS) -> DataFrame:
+    """(keys, n_spans, chars, first_span) of what ``spans`` gives, for keys that have any: their number, their characters and the smallest.
+
+    A chunk is summed up in its row: groups of spans with a smallest text would be sorted, and spilled, span by span. The widths
+    that a start allows are a range, from the first that has the characters to the last that has the words, whose characters
+    are a difference of running sums. Spans of one start begin with each other, so that the shortest is the smallest of them.
+    """
+    lengths = widths()
+    if lengths != list(range(1, lengths[-1] + 1)):
+        raise ValueError("widths have a gap")
+    n = lambda i: F.get(F.col("_n"), i)
+    enough = lambda i, w: n(i + w) - n(i) - 1 >= min_chars
+
+    def start(i: Column) -> Column:
+        most = F.least(F.lit(lengths[-1]), F.size("_w") - i)
+        least = F.coalesce(*(F.when(enough(i, w), w) for w in (1, 2)), F.get(F.filter(F.array(*map(F.lit, lengths)), lambda w: F.coalesce(enough(i, w), F.lit(False))), F.lit(0)))
+
+        def some(w: Column) -> Column:
+            count = (most - w + 1).cast("long")
+            chars = F.get(F.col("_m"), i + most + 1) - F.get(F.col("_m"), i + w) - count * (n(i) + 1)
+            first = F.when(w == 1, F.get(F.col("_w"), i)).otherwise(F.array_join(F.slice("_w", i + 1, w), " "))
+            return F.when(w <= most, F.struct(count.alias("n"), chars.alias("chars"), first.alias("first")))
+
+        return T.bound(least, some)
+
+    sums = _chunks(df, text, keys)
+    sums = sums.withColumn("_m", F.aggregate("_n", F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))))
+    sums = sums.select(*keys, F.filter(_starts(start), lambda s: s.isNotNull()).alias("_s"))
+    total = lambda c: F.aggregate("_s", F.lit(0).cast("long"), lambda sum, s: sum + s[c])
+    sums = sums.select(*keys, total("n").alias("n_spans"), total("chars").alias("chars"), F.array_min("_s.first").alias("first_span"))
+    return sums.groupBy(*keys).agg(F.sum("n_spans").alias("n_spans"), F.sum("chars").alias("chars"), F.min("first_span").alias("first_span")).where("n_spans > 0")
+
+
+def spans(df: DataFrame, text: str, keys: list[str], min_chars: int = X.MIN_SPAN_CHARS, duplicates: bool = False, script: str | None = None) -> DataFrame:
+    """(keys, s, e, chars, span): every run of the allowed widths, without those that hold a word of mixed script."""
+    lengths = widths(duplicates)
+    most = max(lengths)
+    # rows carry a chunk of the words, then the words of one start only, and not the whole text
+    chunks = _chunks(df, text, keys, script)
 
     def start(i: Column) -> Column:
         since = lambda c: F.transform(F.slice(c, i + 2, most), lambda x: x - F.get(F.col(c), i))
         mixed = [since("_x").alias("x")] if script else []
         return F.struct((F.col("_at") + i).alias("s"), F.array_join(F.slice("_w", i + 1, most), " ").alias("t"), since("_n").alias("n"), *mixed)
 
-    starts = chunks.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("_w"), F.lit(CHUNK)) - 1), start)).alias("_s"))
+    starts = chunks.select(*keys, F.explode_outer(_starts(start)).alias("_s"))
     ok = lambda w: (F.get(F.col("_s.n"), w - 1) > min_chars) & (F.get(F.col("_s.x"), w - 1) == 0 if script else F.lit(True))
     made = starts.select(*keys, "_s.s", "_s.t", "_s.n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda w: F.coalesce(ok(w), F.lit(False)))).alias("_width"))
     chars = F.get(F.col("n"), F.col("_width") - 1) - 1

@@ -144,8 +144,7 @@ def episode_order(spark, sf):
   (select conv_id, turn, array_to_string(w[s + 1:s + k], ' ') as span, length(array_to_string(w[s + 1:s + k], ' ')) as len from s) where len >= 3 group by 1, 2""")
 def span_gen(spark, sf):
     """Spans of every turn, summed up per turn."""
-    made = segment.spans(turns(spark, sf), "text", ["conv_id", "turn"])
-    return made.groupBy("conv_id", "turn").agg(F.count("*").alias("n_spans"), F.sum("chars").alias("chars"), F.min("span").alias("first_span"))
+    return segment.span_sums(turns(spark, sf), "text", ["conv_id", "turn"])
 
 
 @query(r"""with w as (select doc_id, unnest(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) as w from documents)

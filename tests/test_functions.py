@@ -82,3 +82,14 @@ def test_batches_for_python_are_bounded(spark):
     assert max(r[0] for r in rows.select(size("t")).collect()) <= 9
     odd = own.createDataFrame([("é",), (None,), ("क़",)], "t string")
     assert [r[0] for r in odd.select(T.nfc("t")).collect()] == ["é", None, "क़"]
+
+
+def test_span_sums_are_those_of_spans(spark):
+    texts = ["", "a", "ab", "a b", " ab c  def", "é" * 3, " ".join(f"w{i % 7}" for i in range(600)), "x " * 30, "aa b a"]
+    rows = spark.createDataFrame([(n % 8, t) for n, t in enumerate(texts)] + [(9, None)], "k int, t string")
+    made = segment.spans(rows, "t", ["k"]).groupBy("k").agg(F.count("*"), F.sum("chars"), F.min("span"))
+    sums = segment.span_sums(rows, "t", ["k"])
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, made.collect()))
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1  # chunks only: no row per span reaches a group
+    many = segment.span_sums(rows, "t", ["k"], min_chars=9)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, segment.spans(rows, "t", ["k"], min_chars=9).groupBy("k").agg(F.count("*"), F.sum("chars"), F.min("span")).collect()))
